@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,11 +284,15 @@ def nmds_by(long: DataFrame, env: DataFrame, by: str, unit: str = "unit", taxon:
     """One ordination per value of an environment column: `(value, unit, axes, stress)`."""
     if values is None:
         values = [r[0] for r in env.select(by).filter(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
-    parts = []
-    for value in values:
+
+    def one(value) -> DataFrame:
         chosen = env.filter(F.col(by) == value).select(unit)
         coords, stress = nmds(long.join(chosen, unit, "left_semi"), unit=unit, taxon=taxon, x=x, **options)
-        parts.append(coords.select(F.lit(value).alias(by), "*", F.lit(stress).alias("stress")))
+        return coords.select(F.lit(value).alias(by), "*", F.lit(stress).alias("stress"))
+
+    # Subsets are independent: submitting several at once keeps the cluster busy between their rounds.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(inheritable_thread_target(env.sparkSession)(one), values))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -125,8 +125,8 @@ def _solve(spec: Design, matrix: np.ndarray, y_anchor: float, n_dropped: int) ->
     rss = max(0.0, yy - loading @ loading)
     return Fit(
         spec, kept, coefficients, float(y_mean + y_anchor - coefficients @ means), fit.inverse @ fit.inverse.T, means,
-        n, n_dropped, rss / df_residual if df_residual > 0 else float("nan"), df_residual,
-        1 - rss / yy if yy > 0 else None, {"rss": rss, "inverse": fit.inverse},
+        n, n_dropped, float(rss / df_residual) if df_residual > 0 else float("nan"), df_residual,
+        float(1 - rss / yy) if yy > 0 else None, {"rss": rss, "inverse": fit.inverse},
     )
 
 
@@ -142,7 +142,7 @@ def ols(df: DataFrame, y, terms: Sequence) -> Fit:
 def fit_statistics(spark, fit: Fit) -> DataFrame:
     """Size, dropped rows, residual standard error and R squared of a fit."""
     return spark.createDataFrame(
-        [(fit.n, fit.n_dropped, fit.df_residual, math.sqrt(fit.sigma2), fit.r2)],
+        [(fit.n, fit.n_dropped, fit.df_residual, math.sqrt(fit.sigma2), None if fit.r2 is None else float(fit.r2))],
         "n bigint, n_dropped bigint, df_residual bigint, sigma double, r2 double",
     )
 

@@ -204,7 +204,7 @@ _SAMPLES_SQL = tv.CATCH_ENV_SQL + """, samples AS (
 SELECT unit, 1.0 AS x0, CASE WHEN region = 'AMERICA' THEN 1.0 ELSE 0.0 END AS x1, CASE WHEN region = 'ASIA' THEN 1.0 ELSE 0.0 END AS x2,
 CASE WHEN region = 'EUROPE' THEN 1.0 ELSE 0.0 END AS x3, CASE WHEN region = 'MIDDLE EAST' THEN 1.0 ELSE 0.0 END AS x4, ggdist AS x5,
 CASE WHEN region = 'AMERICA' THEN ggdist ELSE 0.0 END AS x6, CASE WHEN region = 'ASIA' THEN ggdist ELSE 0.0 END AS x7,
-CASE WHEN region = 'EUROPE' THEN ggdist ELSE 0.0 END AS x8, CASE WHEN region = 'MIDDLE EAST' THEN ggdist ELSE 0.0 END AS x9 FROM env""".replace("1.0", "CAST(1 AS DOUBLE)").replace("0.0", "CAST(0 AS DOUBLE)"))
+CASE WHEN region = 'EUROPE' THEN ggdist ELSE 0.0 END AS x8, CASE WHEN region = 'MIDDLE EAST' THEN ggdist ELSE 0.0 END AS x9 FROM env""".replace("THEN 1.0 ELSE 0.0", "THEN 1::DOUBLE ELSE 0::DOUBLE").replace(" 1.0 AS x0", " 1::DOUBLE AS x0").replace("ELSE 0.0", "ELSE 0::DOUBLE"))
 def design_rows_query(spark, sf):
     rows, names = design_rows(tv.unit_env(spark, sf), ["region*ggdist"], keep=["unit"])
     return rows.select("unit", *[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(len(names))])
@@ -245,7 +245,7 @@ def linear_model_aliased(spark, sf):
     stations = tv.catch_env(spark, sf).groupBy("station", "region", "site").agg(F.sum("cpue").alias("cpue"))
     fit = reg.ols(stations, F.ln("cpue"), ["region", "site"])
     aliased = len(fit.spec.columns) - len(fit.kept)
-    row = [(round(fit.sigma2 * fit.df_residual, 6), fit.df_residual, aliased)]
+    row = [(round(float(fit.sigma2) * fit.df_residual, 6), fit.df_residual, aliased)]
     return spark.createDataFrame(row, "rss double, df_residual bigint, n_aliased bigint")
 
 
