@@ -109,7 +109,7 @@ def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int
     Dissimilarities are computed once per tile and kept as a written table of tiles. A round is two
     passes over it: mean configuration distance per step of dissimilarity, whose monotone fit has at
     most TIE_STEPS + 1 points, and the majorising move of every unit (De Leeuw 1977) towards it. All
-    random starts move together, and the best is kept, rotated to its principal axes. Dissimilarities
+    starts move together, and the best is kept, rotated to its principal axes. Dissimilarities
     that agree to four decimals count as ties, and ties stay ties in the fit. With `transform`, abundances
     are first square-rooted and doubly standardised, as ordination of community data usually is.
     """
@@ -133,18 +133,35 @@ def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int
 
     tiles = cut(map_tiles(block_tiles(blocks, n_blocks), steps, "bi int, bj int, na int, nb int, level binary"))
 
+    # The first start is classical scaling by landmarks (de Silva and Tenenbaum 2004): the units of one
+    # block, never more than a task holds, are scaled exactly and all others are placed by them.
+    shape = "block int, size int, xy binary"
+    first = blocks.agg(F.min("block")).first()[0]
+    own = tiles.filter((F.col("bi") == first) & (F.col("bj") == first)).first()
+    squared = np.frombuffer(own["level"], dtype=np.int32).reshape(own["na"], own["nb"]).astype(float)
+    squared = (np.maximum(np.maximum(squared, squared.T), 0.0) / TIE_STEPS) ** 2
+    centre = np.eye(len(squared)) - 1.0 / len(squared)
+    values, vectors = np.linalg.eigh(-centre @ squared @ centre / 2)
+    usable = len(squared) > k and values[-k] > 1e-12
+    inverse = vectors[:, ::-1][:, :k] / np.sqrt(np.maximum(values[::-1][:k], 1e-12))
+    mean_squared = squared.mean(0)
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                size = len(row.units)
-                start = np.empty((starts, size, k))
+                level = np.frombuffer(row.level, dtype=np.int32).reshape(row.na, row.nb).astype(float)
+                if row.bj == first:
+                    level = np.maximum(np.maximum(level, level.T), 0.0)
+                start = np.empty((starts, row.nb, k))
                 for s in range(starts):
-                    rng = np.random.default_rng([seed, s, row.block])
-                    start[s] = rng.standard_normal((size, k))
-                yield pd.DataFrame({"block": [row.block], "size": [size], "xy": [start.tobytes()]})
-
-    shape = "block int, size int, xy binary"
-    where = cut(blocks.select("block", "units").mapInPandas(place, shape))
+                    start[s] = np.random.default_rng([seed, s, row.bj]).standard_normal((row.nb, k))
+                if usable:
+                    # A trace of the random start keeps identical units apart.
+                    start[0] *= 1e-3
+                    start[0] += (mean_squared[:, None] - (level / TIE_STEPS) ** 2).T @ inverse / 2
+                yield pd.DataFrame({"block": [row.bj], "size": [row.nb], "xy": [start.tobytes()]})
+
+    where = cut(tiles.filter(F.col("bi") == first).mapInPandas(place, shape))
 
     def with_coordinates(where: DataFrame) -> DataFrame:
         left = where.select(F.col("block").alias("bi"), F.col("xy").alias("xy_a"))
