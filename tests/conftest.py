@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import towline  # noqa: E402, F401
 from towline.session import local_session  # noqa: E402
 
 

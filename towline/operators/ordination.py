@@ -18,6 +18,7 @@ from .blocks import Community, Tile, block_tiles, blocks_of, community, map_tile
 from .dissimilarity import wisconsin
 
 TIE_STEPS = 10000
+LANDMARKS = 128
 
 
 # ---------------------------------------------------------------- tables on an ordination
@@ -134,12 +135,12 @@ def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int
     tiles = cut(map_tiles(block_tiles(blocks, n_blocks), steps, "bi int, bj int, na int, nb int, level binary"))
 
     # The first start is classical scaling by landmarks (de Silva and Tenenbaum 2004): the units of one
-    # block, never more than a task holds, are scaled exactly and all others are placed by them.
+    # block, a bounded number, are scaled exactly and all others are placed by them.
     shape = "block int, size int, xy binary"
     first = blocks.agg(F.min("block")).first()[0]
     own = tiles.filter((F.col("bi") == first) & (F.col("bj") == first)).first()
     squared = np.frombuffer(own["level"], dtype=np.int32).reshape(own["na"], own["nb"]).astype(float)
-    squared = (np.maximum(np.maximum(squared, squared.T), 0.0) / TIE_STEPS) ** 2
+    squared = (np.maximum(np.maximum(squared, squared.T), 0.0) / TIE_STEPS)[:LANDMARKS, :LANDMARKS] ** 2
     centre = np.eye(len(squared)) - 1.0 / len(squared)
     values, vectors = np.linalg.eigh(-centre @ squared @ centre / 2)
     usable = len(squared) > k and values[-k] > 1e-12
@@ -158,7 +159,7 @@ def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int
                 if usable:
                     # A trace of the random start keeps identical units apart.
                     start[0] *= 1e-3
-                    start[0] += (mean_squared[:, None] - (level / TIE_STEPS) ** 2).T @ inverse / 2
+                    start[0] += (mean_squared[:, None] - (level[:LANDMARKS] / TIE_STEPS) ** 2).T @ inverse / 2
                 yield pd.DataFrame({"block": [row.bj], "size": [row.nb], "xy": [start.tobytes()]})
 
     where = cut(tiles.filter(F.col("bi") == first).mapInPandas(place, shape))
