@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cpue, cut, mean_of, n_distinct, sum_of
+from ..functions import cpue, mean_of, n_distinct, sum_of
+from ..functions import cut as bins
+from ..session import cut
 
 
 def slides_to_cpue(
@@ -98,18 +100,22 @@ def share_of_total(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
 def lump_rare(
     df: DataFrame, category: str, col: str, threshold: float, other: str = "other", out: str = "lumped"
 ) -> DataFrame:
-    """Rename categories whose share of the grand total is under a threshold."""
-    shares = share_of_total(df, [category], col).select(
+    """Rename categories whose share of the grand total is under a threshold.
+
+    The shares are written first: with its real size known, a short list of categories is broadcast and
+    the catch is not shuffled by category, where one common category would be one task.
+    """
+    shares = cut(share_of_total(df, [category], col).select(
         F.col(category).alias("__category"),
         F.when(F.col("share") < threshold, F.lit(other)).otherwise(F.col(category)).alias(out),
-    )
+    ))
     return df.join(shares, F.col(category).eqNullSafe(F.col("__category")), "left").drop("__category")
 
 
 def drop_zero_categories(df: DataFrame, category: str, col: str) -> DataFrame:
-    """Remove categories whose total is zero or unknown."""
+    """Remove categories whose total is zero or unknown; the kept ones are written first, as in `lump_rare`."""
     kept = df.groupBy(category).agg(sum_of(col, skip_null=False).alias("__total")).filter("__total != 0")
-    return df.join(kept.select(category), category, "left_semi")
+    return df.join(cut(kept.select(category)), category, "left_semi")
 
 
 def env_table(df: DataFrame, keys: Sequence[str], col: str, out: str = "tot") -> DataFrame:
@@ -148,4 +154,4 @@ def relative_abundance(df: DataFrame, unit: str, taxon: str, x: str, out: str =
 def histogram(df: DataFrame, col: str, breaks: Sequence[float], log_scale: bool = False) -> DataFrame:
     """Rows per right-closed bin; values outside all bins are counted under a NULL bin."""
     value = F.ln(col) if log_scale else F.col(col)
-    return df.select(cut(value, breaks).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(bins(value, breaks).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

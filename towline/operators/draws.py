@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BUCKET = 65536
 
 
@@ -73,7 +75,9 @@ def ess(draws: DataFrame, max_lag: int = 200) -> DataFrame:
     Autocovariances come from an equi-join of each draw with the ones up to `max_lag` later, keyed by
     chain, parameter and iteration; iterations must be consecutive (see `renumber_iterations`).
     """
-    moments = draws.groupBy("chain", "param").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
+    draws = cut(draws)
+    # One row per chain and parameter, written so that its size is known when it is joined.
+    moments = cut(draws.groupBy("chain", "param").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")))
     centred = draws.join(moments, ["chain", "param"]).withColumn("v", F.col("value") - F.col("m"))
     earlier = centred.select("chain", "param", "v", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"),
                              F.col("iter").alias("start")).withColumn("iter", F.col("start") + F.col("lag"))

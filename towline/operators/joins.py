@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .reshape import to_long
 
 log = logging.getLogger(__name__)
@@ -77,11 +78,13 @@ def expand(df: DataFrame, cols: Sequence[str], buckets: int = 16) -> DataFrame:
     """All combinations of the observed values of several key columns.
 
     Each further column joins on a bucket number that every left row visits once, so the product is
-    built by an ordinary hash join over many tasks instead of one task holding a whole value list.
+    built by an ordinary hash join over many tasks instead of one task holding a whole value list. The
+    table itself is read once, for its distinct keys.
     """
-    grid = df.select(cols[0]).distinct()
+    keys = cut(df.select(*cols).distinct())
+    grid = keys.select(cols[0]).distinct()
     for col in cols[1:]:
-        values = df.select(col).distinct().withColumn("__bucket", F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int"))
+        values = keys.select(col).distinct().withColumn("__bucket", F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int"))
         visits = grid.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
         grid = visits.join(values, "__bucket").drop("__bucket")
     return grid

@@ -57,7 +57,7 @@ def group_spider(coords: DataFrame, groups: DataFrame, group: str = "group",
     a, b = axes
     joined = coords.select(unit, a, b).join(groups.select(unit, group), unit)
     # Centres are aggregated and joined back, so that one large group is not one window task.
-    centers = joined.groupBy(group).agg(F.avg(a).alias("center1"), F.avg(b).alias("center2"))
+    centers = cut(joined.groupBy(group).agg(F.avg(a).alias("center1"), F.avg(b).alias("center2")))
     return joined.join(centers, group).select(unit, group, a, b, "center1", "center2")
 
 

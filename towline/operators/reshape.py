@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def to_long(
     df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str], names_to: str = "name", values_to: str = "value"
@@ -81,11 +83,13 @@ def arrange(df: DataFrame, *cols: str) -> DataFrame:
 def balanced(df: DataFrame, strata: Sequence[str], across: str) -> DataFrame:
     """Keep the strata in which every observed value of `across` occurs.
 
-    One distinct pass and a count per stratum replace the product of all key values.
+    One distinct pass and a count per stratum replace the product of all key values. The kept strata are
+    written first, so that their real size decides how they are joined.
     """
-    seen = df.select(*strata, across).distinct()
+    seen = cut(df.select(*strata, across).distinct())
     needed = seen.select(across).distinct().agg(F.count(F.lit(1))).scalar()
     full = seen.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == needed).drop("__n")
+    full = cut(full)
     marked = full.withColumnsRenamed({s: f"__{s}" for s in strata})
     match = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"__{s}")) for s in strata])
     return df.join(marked, match, "left_semi")

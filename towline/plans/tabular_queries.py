@@ -561,10 +561,10 @@ def stacked_totals(spark, sf):
 
 
 @query("relative_abundance", f"""WITH {tv.CATCH_SQL}, c AS (SELECT sample_id, taxon, sum(cpue) AS cpue FROM catch GROUP BY ALL)
-SELECT sample_id, taxon, round(cpue, 9) AS cpue, round(cpue / sum(cpue) OVER (PARTITION BY sample_id), 9) AS relative FROM c""")
+SELECT sample_id, taxon, round(cpue, 9) AS cpue, round(cpue / sum(cpue) OVER (PARTITION BY sample_id), 12) AS relative FROM c""")
 def relative_abundance_query(spark, sf):
     rel = agg.relative_abundance(tv.catch(spark, sf), "sample_id", "taxon", "cpue")
-    return rel.withColumns({"cpue": r("cpue", 9), "relative": r("relative", 9)})
+    return rel.withColumns({"cpue": r("cpue", 9), "relative": r("relative", 12)})
 
 
 @query("arrange_nulls_last", """SELECT p_partkey, nullif(p_size, 7) AS size, p_brand FROM part ORDER BY size NULLS LAST, p_brand, p_partkey""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cpue
 from ..operators.aggregate import slides_to_cpue
+from ..session import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -43,16 +44,29 @@ STATIONS_SQL = """stations AS (
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw count lines with sample, station and taxon attributes."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders")
     part = table(spark, sf_dir, "part")
+    supplier = table(spark, sf_dir, "supplier")
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    # Every side joined is a plain scan, so its real size decides between broadcast and shuffle. The part
+    # join comes last: nothing downstream groups by part, so a later grouping combines before it shuffles
+    # and does not inherit the layout of a skewed join.
     return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
+        .join(nation, supplier.s_nationkey == nation.n_nationkey)
+        .join(region, nation.n_regionkey == region.r_regionkey)
+        .join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(part, lines.l_partkey == part.p_partkey)
-        .join(stations(spark, sf_dir), F.col("l_suppkey") == F.col("station"))
         .select(
             F.col("l_orderkey").alias("sample_id"),
-            "station", "site", "region", "ggdist", "lat", "lon",
+            F.col("s_suppkey").alias("station"),
+            F.col("n_name").alias("site"),
+            F.col("r_name").alias("region"),
+            F.col("s_acctbal").alias("ggdist"),
+            (F.lit(37.8) + F.pmod(F.col("s_suppkey"), F.lit(50)) / F.lit(100.0)).alias("lat"),
+            (F.lit(-122.5) + F.pmod(F.col("s_suppkey"), F.lit(97)) / F.lit(100.0)).alias("lon"),
             F.col("o_orderdate").cast("date").alias("date"),
             F.month("o_orderdate").alias("month"),
             F.year("o_orderdate").alias("year"),
