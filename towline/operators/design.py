@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -83,6 +82,11 @@ def _expand_terms(terms: Sequence) -> list[list[Variable]]:
     return products
 
 
+def term_variables(terms: Sequence) -> list[str]:
+    """Names of the columns that terms use."""
+    return list(dict.fromkeys(v.name for product in _expand_terms(terms) for v in product))
+
+
 def _levels(df: DataFrame, names: list[str]) -> dict[str, list]:
     """Sorted levels of the categorical variables, all in one distinct pass."""
     if not names:
@@ -220,10 +224,6 @@ def factor(matrix: np.ndarray) -> Factor:
     return Factor(n, means, centred, kept, inverse)
 
 
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def design_rows(df: DataFrame, terms: Sequence, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Rows as `x` = array of the intercept and all design columns, and the names of its entries."""
     spec = design(df, terms)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import as_column
 from ..session import cut
-from .design import Design, design, factor, gram
+from .design import Design, design, factor, gram, term_variables
 
 _TABLE = "term string, column string, estimate double, se double, statistic double, p_normal double"
 
@@ -94,12 +94,13 @@ class Fit:
         return spark.createDataFrame(rows, _TABLE)
 
 
-def model_frame(df: DataFrame, y, terms: Sequence) -> tuple[DataFrame, Design, int]:
+def model_frame(df: DataFrame, y, terms: Sequence, keep: Sequence[str] = ()) -> tuple[DataFrame, Design, int]:
     """The response as `__y` with the variables the terms use, written once; and the dropped row count.
 
     Rows with an unknown variable or response (such as the logarithm of zero catch) are dropped.
     """
-    frame = cut(df.withColumn("__y", as_column(y).cast("double")))
+    names = dict.fromkeys([*keep, *term_variables(terms)])
+    frame = cut(df.select(*names, as_column(y).cast("double").alias("__y")))
     spec = design(frame.filter(F.col("__y").isNotNull() & ~F.isnan("__y")), terms)
     good = F.lit(True)
     for name in ["__y", *spec.variables]:
@@ -343,7 +344,7 @@ def lmm_intercept(df: DataFrame, y, terms: Sequence, group: str, points: int = 1
     likelihood needs one weighted Gram matrix over the groups, and a whole grid of ratios is one pass;
     the grid closes in on the best ratio. Groups stay in Spark, however many there are.
     """
-    frame, spec, dropped = model_frame(df.filter(F.col(group).isNotNull()), y, terms)
+    frame, spec, dropped = model_frame(df.filter(F.col(group).isNotNull()), y, terms, keep=[group])
     y_anchor = frame.agg(F.avg("__y")).first()[0] or 0.0
     columns = [F.lit(1.0), *[c.shifted() for c in spec.columns], F.col("__y") - F.lit(y_anchor)]
     matrix = gram(frame, columns)[()]
@@ -362,17 +363,18 @@ def lmm_intercept(df: DataFrame, y, terms: Sequence, group: str, points: int = 1
         number = F.explode(F.array([F.struct(F.lit(i).alias("i"), F.lit(v).alias("ratio")) for i, v in enumerate(ratios)]))
         grid = groups.withColumn("g", number).withColumns({"i": F.col("g.i"), "ratio": F.col("g.ratio")})
         shrink = F.sqrt(F.col("ratio") / (1 + F.col("ratio") * F.col("s0")))
-        determinant = {r["i"]: r["v"] for r in grid.groupBy("i").agg(F.sum(F.log1p(F.col("ratio") * F.col("s0"))).alias("v")).collect()}
-        pulled = gram(grid, [shrink * F.col(f"s{k}") for k in range(width)], by=["i"])
+        # The square of the last column sums to the log determinant, so one pass gives both.
+        determinant = F.sqrt(F.log1p(F.col("ratio") * F.col("s0")))
+        pulled = gram(grid, [*[shrink * F.col(f"s{k}") for k in range(width)], determinant], by=["i"])
         found = {}
         for i, ratio in enumerate(ratios):
-            v = total - pulled[(i,)]
+            v = total - pulled[(i,)][:width, :width]
             xx, xy, yy = v[:p, :p], v[:p, p], v[p, p]
             chol = np.linalg.cholesky(xx)
             loading = np.linalg.solve(chol, xy)
             rss = max(yy - loading @ loading, 1e-300)
             sigma2 = rss / (n - p)
-            criterion = (n - p) * math.log(sigma2) + determinant[i] + 2 * np.log(np.diag(chol)).sum()
+            criterion = (n - p) * math.log(sigma2) + pulled[(i,)][width, width] + 2 * np.log(np.diag(chol)).sum()
             found[ratio] = (criterion, sigma2, np.linalg.solve(chol.T, loading), np.linalg.inv(xx))
         return found
 
