@@ -108,6 +108,12 @@ def test_interaction_adds_up_to_cells(long, env):
     assert abs(full["region"]["ss"] + full["deep"]["ss"] + full["region:deep"]["ss"] - cells["ss"]) < 1e-9
 
 
+def test_a_factor_with_one_level_takes_no_freedom(long, env):
+    got = permanova(long, env.withColumn("same", F.lit("x")), ["same"], permutations=3).collect()
+    assert [(r["term"], r["df"]) for r in got] == [("same", 0), ("residual", UNITS - 1), ("total", UNITS - 1)]
+    assert got[0]["ss"] is None and abs(got[1]["ss"] - got[2]["ss"]) < 1e-12
+
+
 def test_permutations_are_bijections():
     for n in (1, 2, 3, 10, 64, 100, 1001):
         sent = permuted_index(np.arange(n), n, 9, np.arange(6))

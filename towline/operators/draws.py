@@ -73,7 +73,8 @@ def ess(draws: DataFrame, max_lag: int = 200) -> DataFrame:
     """Effective sample size per parameter, by the initial positive sequence (Geyer 1992), summed over chains.
 
     Autocovariances come from an equi-join of each draw with the ones up to `max_lag` later, keyed by
-    chain, parameter and iteration; iterations must be consecutive (see `renumber_iterations`).
+    chain, parameter and iteration; iterations must be consecutive (see `renumber_iterations`). The
+    repeated side is larger than the planner can see, so the join is told to merge.
     """
     draws = cut(draws)
     # One row per chain and parameter, written so that its size is known when it is joined.
@@ -83,7 +84,7 @@ def ess(draws: DataFrame, max_lag: int = 200) -> DataFrame:
                              F.col("iter").alias("start")).withColumn("iter", F.col("start") + F.col("lag"))
     later = centred.select("chain", "param", "iter", F.col("v").alias("w"))
     products = (
-        earlier.join(later, ["chain", "param", "iter"]).groupBy("chain", "param", "lag")
+        earlier.join(later.hint("merge"), ["chain", "param", "iter"]).groupBy("chain", "param", "lag")
         .agg(F.sum(F.col("v") * F.col("w")).alias("c")).join(moments, ["chain", "param"])
         .withColumn("c", F.col("c") / F.col("n"))
     )

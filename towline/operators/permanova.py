@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .blocks import Community, Tile, block_tiles, blocks_of, community, map_tiles
-from .design import design, factor, gram
+from .design import design, factor, gram, term_variables
 from .dissimilarity import group_labels, group_sums
 
 BROADCAST_BYTES = 128 * 2**20
@@ -116,7 +116,8 @@ def _sums_with_join(com, rows, blocks, n, terms_of, n_terms, permutations, seed,
     """The same sums when the design rows are too large to broadcast.
 
     Permuted rows reach their unit by a join on the permuted position, a slice of permutations at a
-    time, and then travel inside the blocks.
+    time, and then travel inside the blocks. Sizes after the expansion are hidden from the planner, so
+    these joins are told to merge.
     """
     width = len(kept)
     sizes = {r["block"]: r["n"] for r in blocks.select("block", F.size("units").alias("n")).collect()}
@@ -142,10 +143,10 @@ def _sums_with_join(com, rows, blocks, n, terms_of, n_terms, permutations, seed,
 
         moves = positions.select("at").mapInPandas(send, "at bigint, perm int, to bigint")
         gathered = (
-            moves.join(targets, "to").groupBy("at")
+            moves.join(targets.hint("merge"), "to").groupBy("at")
             .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("perm", "z"))), lambda s: s.z)).alias("z"))
         )
-        carried = positions.select("unit", "at").join(gathered, "at").select("unit", "z")
+        carried = positions.select("unit", "at").join(gathered.hint("merge"), "at").select("unit", "z").hint("merge")
 
         def kernel(tiles: Iterator[Tile], perms=perms):
             totals = np.zeros((len(perms), n_terms + 1))
@@ -154,8 +155,8 @@ def _sums_with_join(com, rows, blocks, n, terms_of, n_terms, permutations, seed,
                 seen = True
                 d2 = _squares(tile)
                 totals[:, 0] += d2.sum()
-                za = np.frombuffer(tile.row.z_a).reshape(len(tile.a), len(perms), -1)
-                zb = np.frombuffer(tile.row.z_b).reshape(len(tile.b), len(perms), -1)
+                za = np.frombuffer(tile.row.z_a).reshape(len(tile.a), len(perms), -1)[:, :, 1:]
+                zb = np.frombuffer(tile.row.z_b).reshape(len(tile.b), len(perms), -1)[:, :, 1:]
                 qa, qb = ((z[:, :, kept] - means[kept]) @ inverse for z in (za, zb))
                 moved = (d2 @ qb.reshape(len(tile.b), -1)).reshape(len(tile.a), len(perms), width)
                 totals[:, 1:] -= (moved * qa).sum(0) @ member
@@ -188,20 +189,24 @@ def permanova(
     an unknown variable are left out. `p` is NULL when no permutations are asked for.
     """
     com = long if isinstance(long, Community) else community(long, unit, taxon, x)
-    used = env.withColumnRenamed(unit, "unit").join(com.profiles.select("unit"), "unit", "left_semi")
+    names = dict.fromkeys(["unit", *term_variables(terms)])
+    named = env.withColumn("unit", F.col(unit)).select(*names)
+    # Written once: levels, means and products are read from it, not from whatever made `env`.
+    used = cut(named.join(com.profiles.select("unit"), "unit", "left_semi"))
     spec = design(used, terms)
     complete = spec.complete(used)
     matrix = gram(complete, [F.lit(1.0), *[c.shifted() for c in spec.columns]])[()]
     fit = factor(matrix)
     n = int(round(fit.n))
     terms_of = [spec.terms.index(spec.columns[k].term) for k in fit.kept]
-    rows = complete.select("unit", F.array([c.shifted() for c in spec.columns]).alias("z"))
+    # A leading zero keeps the array from being empty when every factor has one level.
+    rows = complete.select("unit", F.array(F.lit(0.0), *[c.shifted() for c in spec.columns]).alias("z"))
     blocks, n_blocks = blocks_of(com, rows)
     blocks = cut(blocks)
     means, inverse, kept = fit.means, fit.inverse, fit.kept
     if n * max(1, len(kept)) * 8 <= broadcast_bytes:
         q_by_block = {
-            r["block"]: (np.frombuffer(r["z"]).reshape(-1, len(spec.columns))[:, kept] - means[kept]) @ inverse
+            r["block"]: (np.frombuffer(r["z"]).reshape(-1, len(spec.columns) + 1)[:, 1:][:, kept] - means[kept]) @ inverse
             for r in blocks.select("block", "z").collect()
         }
         sums = _sums_with_broadcast(blocks, n_blocks, q_by_block, n, terms_of, len(spec.terms), permutations, seed)

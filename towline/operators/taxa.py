@@ -18,6 +18,7 @@ from .design import Design, design, factor, gram
 from .reshape import community_long
 
 MAX_TAXA = 20000
+BROADCAST_BYTES = 64 * 2**20
 
 
 def _units(env: DataFrame, terms: Sequence, unit: str) -> tuple[DataFrame, Design]:
@@ -133,7 +134,7 @@ def _predict(long: DataFrame, env: DataFrame, terms: Sequence, k: int, unit: str
         F.map_from_entries(F.collect_list(F.struct("fold", F.array([F.col(f"s{j}") for j in range(p)])))).alias("own"),
     )
     solver = F.array([F.array([F.array([F.lit(float(v)) for v in row]) for row in rows]) for _, rows in solvers])
-    coefficients = (
+    coefficients = cut(
         by_taxon.select("taxon", "overall", "own", F.posexplode(solver).alias("fold", "inverse"))
         .withColumn("mine", F.try_element_at("own", F.col("fold")) if k > 1 else F.lit(None).cast("array<double>"))
         .withColumn("load", F.when(F.col("mine").isNull(), F.col("overall"))
@@ -146,14 +147,17 @@ def _predict(long: DataFrame, env: DataFrame, terms: Sequence, k: int, unit: str
     filled = units.join(
         observed.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "y"))).alias("seen")), "unit", "left"
     )
-    taxa = by_taxon.agg(F.array_sort(F.collect_set("taxon"))).scalar()
+    taxa = coefficients.agg(F.array_sort(F.collect_set("taxon"))).scalar()
     rows = filled.withColumn("taxon", F.explode(taxa)).withColumn(
         "observed", F.coalesce(F.try_element_at("seen", F.col("taxon")), F.lit(0.0))
     )
     fitted = F.lit(0.0)
     for j in range(p):
         fitted = fitted + names[j] * F.get("beta", F.lit(j))
-    return rows.join(coefficients, ["taxon", "fold"]).select("unit", "taxon", "fold", "observed", fitted.alias("predicted"))
+    # Every unit and taxon meets its coefficients: broadcast them when they are proven small, else merge.
+    small = coefficients.count() * p * 8 <= BROADCAST_BYTES
+    matched = rows.join(F.broadcast(coefficients) if small else coefficients.hint("merge"), ["taxon", "fold"])
+    return matched.select("unit", "taxon", "fold", "observed", fitted.alias("predicted"))
 
 
 def fit_metrics(pred: DataFrame, by: Sequence[str] = ("taxon",)) -> DataFrame:
