@@ -15,7 +15,7 @@ D = datetime.date
 
 @pytest.fixture(scope="module")
 def stations_wide(spark):
-    row = "site string, site2 string, shallowdeep string, ggdist int, sitetype string, region string, FRP string, `20mm` string, EMP string"
+    row = "site string, site2 string, shallowdeep string, ggdist int, sitetype string, region string, shore string, net string, fixed string"
     return spark.createDataFrame([
         ("Grizzly Bay", "G1", "Y", 60, "Tidal", "Suisun Bay", "GB-1", "602", "NZ1"),
         ("Grizzly Bay", "G1", "Y", 60, "Tidal", "Suisun Bay", "GB-1", "602", "NZ1"),
@@ -59,17 +59,18 @@ def test_three_surveys_become_one_table(spark, stations_wide, crosswalk, counts,
         ("NZ1", "E1", D(2019, 6, 3), 1.0, "Adult", "Oddity", "Oddity Adult"),
         ("NZ1", "E2", D(2019, 7, 3), 1.0, "Adult", "Acartia", "Acartia Adult"),
     ], "station string, sample_id string, date date, cpue double, lifestage string, taxname string, taxlifestage string")
-    assert studies.survey_stations(stations_wide, ["FRP", "20mm", "EMP"]).filter("site = 'Grizzly Bay'").count() == 3
-    catch = studies.three_survey_catch(stations_wide, external, crosswalk, counts, newer.drop("lifestage", "analy", "analy2"))
+    assert studies.survey_stations(stations_wide, ["shore", "net", "fixed"]).filter("site = 'Grizzly Bay'").count() == 3
+    catch = studies.three_survey_catch(stations_wide, external, crosswalk, counts, newer.drop("lifestage", "analy", "analy2"),
+                                       ["shore", "net", "fixed"], "shore")
     assert rows(catch, "survey", "sample_id", "cpue", "analy_ls", "month2", "month2_ord") == [
-        ("20mm", "T1", 5.0, "Calanoids", "May", 3), ("20mm", "T2", 7.0, "Cala Juv", "May", 3),
-        ("EMP", "E1", 1.0, None, "Jun", 4),
-        ("FRP", "F1", 0.4, "Cladocera", "Mar", 1), ("FRP", "F1", 0.5, "Calanoids", "Mar", 1),
-        ("FRP", "F2", 3.0, "Cladocera", "Apr", 2),
+        ("fixed", "E1", 1.0, None, "Jun", 4),
+        ("net", "T1", 5.0, "Calanoids", "May", 3), ("net", "T2", 7.0, "Cala Juv", "May", 3),
+        ("shore", "F1", 0.4, "Cladocera", "Mar", 1), ("shore", "F1", 0.5, "Calanoids", "Mar", 1),
+        ("shore", "F2", 3.0, "Cladocera", "Apr", 2),
     ]
     shares = studies.three_survey_composition(catch)
     got = {(r["survey"], r["analy_ls"]): r["share"] for r in shares.collect()}
-    assert got[("20mm", "Calanoids")] == pytest.approx(5 / 12) and got[("20mm", "Cala Juv")] == pytest.approx(7 / 12)
+    assert got[("net", "Calanoids")] == pytest.approx(5 / 12) and got[("net", "Cala Juv")] == pytest.approx(7 / 12)
     per_bar = shares.groupBy("site", "month2", "survey").agg(F.sum("share").alias("t")).collect()
     assert all(abs(r["t"] - 1) < 1e-12 for r in per_bar) and len(per_bar) == 3
 
@@ -77,11 +78,11 @@ def test_three_surveys_become_one_table(spark, stations_wide, crosswalk, counts,
 def test_long_term_catch_seasons_regions_and_biomass(spark, rows):
     schema = "source string, sample_id string, station string, volume double, month int, year int, lat double, lon double, sal double, taxname string, taxlifestage string, cpue double"
     catch = spark.createDataFrame([
-        ("EMP", "a", "s", 1.0, 2, 2000, 38.0, -122.0, 2.0, "Acartia", "Acartia Adult", 9.0),
-        ("EMP", "b", "s", 1.0, 3, 2000, 38.0, -122.0, 2.0, "Acartia", "Acartia Adult", 2.0),
-        ("EMP", "b", "s", 1.0, 3, 2000, 38.0, -122.0, 2.0, "Oddity", "Oddity Adult", 4.0),
-        ("EMP", "c", "s", 1.0, 4, 2000, 38.0, -122.0, 0.0, "Acartia", "Acartia Adult", 6.0),
-        ("EMP", "d", "s", 1.0, 5, 2000, None, -122.0, 0.0, "Acartia", "Acartia Adult", 1.0),
+        ("fixed", "a", "s", 1.0, 2, 2000, 38.0, -122.0, 2.0, "Acartia", "Acartia Adult", 9.0),
+        ("fixed", "b", "s", 1.0, 3, 2000, 38.0, -122.0, 2.0, "Acartia", "Acartia Adult", 2.0),
+        ("fixed", "b", "s", 1.0, 3, 2000, 38.0, -122.0, 2.0, "Oddity", "Oddity Adult", 4.0),
+        ("fixed", "c", "s", 1.0, 4, 2000, 38.0, -122.0, 0.0, "Acartia", "Acartia Adult", 6.0),
+        ("fixed", "d", "s", 1.0, 5, 2000, None, -122.0, 0.0, "Acartia", "Acartia Adult", 1.0),
     ], schema)
     taxa = spark.createDataFrame([("Acartia", "Acartia", "Calanoida")], "taxname string, tax2 string, tax3 string")
     long = studies.long_term_catch(catch, taxa)
@@ -105,13 +106,13 @@ def test_spring_study_runs_as_two_jobs(spark, counts, newer, tmp_path, rows):
     own = load_table(spark, str(tmp_path / "own"))
     assert rows(own, "sample_id", "cpue") == [("F0", 1.6), ("F1", 0.4), ("F1", 0.5), ("F2", 3.0)]
     stations = spark.createDataFrame([
-        ("Grizzly Bay", "G1", "Suisun Bay", "Muted", "FRP", "GB-1", 60), ("Browns", "Decker", "Confluence", "Diked", "FRP", "BR-1", 70),
-        ("Browns", "Decker", "Confluence", "Channel", "EMP", "NZ1", 70),
+        ("Grizzly Bay", "G1", "Suisun Bay", "Muted", "shore", "GB-1", 60), ("Browns", "Decker", "Confluence", "Diked", "shore", "BR-1", 70),
+        ("Browns", "Decker", "Confluence", "Channel", "fixed", "NZ1", 70),
     ], "site string, site2 string, region string, sitetype string, survey string, station string, ggdist int")
     external = spark.createDataFrame([
         ("NZ1", "E1", D(2018, 4, 3), 2.0, "Adult", "Calanoida", "Acartia"), ("NZ1", "E2", D(2018, 4, 3), 2.0, "Adult", "NA", "NA"),
     ], "station string, sample_id string, date date, cpue double, lifestage string, analy string, analy2 string")
-    catch = studies.spring_catch(own, stations, external)
+    catch = studies.spring_catch(own, stations, external, "shore")
     assert rows(catch, "sample_id", "sitetype", "analy_ls") == [
         ("E1", "Channel", "Calanoida Adult"), ("F1", "Muted", "Calanoida Adult"), ("F1", "Muted", "Cladocera Adult"),
         ("F2", "Tidal", "Cladocera Adult")]

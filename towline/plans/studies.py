@@ -57,9 +57,13 @@ def own_catch(stations: DataFrame, catch: DataFrame, crosswalk: DataFrame, own_s
 
 def three_survey_catch(
     stations_wide: DataFrame, external: DataFrame, crosswalk: DataFrame, counts: DataFrame, newer: DataFrame,
-    surveys: Sequence[str] = ("FRP", "20mm", "EMP"), own_survey: str = "FRP",
+    surveys: Sequence[str], own_survey: str,
 ) -> DataFrame:
-    """All surveys as one long catch table for the spring months, with display labels."""
+    """All surveys as one long catch table for the spring months, with display labels.
+
+    `surveys` names the station-code columns of the crosswalk, one per survey; `own_survey` is the one
+    whose slides are in `counts` and `newer`.
+    """
     stations = survey_stations(stations_wide, surveys)
     counted = slides_to_cpue(counts, keys=["station", "date", "sample_id", "dilution", "common_name", "volume"])
     first = own_catch(stations, counted, crosswalk, own_survey)
@@ -121,13 +125,15 @@ def spring_own_catch(counts: DataFrame, codes: DataFrame, newer: DataFrame) -> D
     return stack(drop_keys(newer.select(columns), classified.select("sample_id"), "sample_id"), classified.select(columns))
 
 
-def spring_catch(own: DataFrame, stations: DataFrame, external: DataFrame, months: Sequence[int] = (3, 4)) -> DataFrame:
+def spring_catch(
+    own: DataFrame, stations: DataFrame, external: DataFrame, own_survey: str, months: Sequence[int] = (3, 4)
+) -> DataFrame:
     """Second job: own and external catch at the long station list, with site type changes and labels."""
     place = ["site", "site2", "region", "sitetype", "survey", "station", "ggdist"]
     values = ["sample_id", "date", "cpue", "lifestage", "analy", "analy2"]
-    mine = natural_join(stations.filter("survey = 'FRP'"), own, "left", by=["station"]).select(*place, *values)
+    mine = natural_join(stations.filter(F.col("survey") == own_survey), own, "left", by=["station"]).select(*place, *values)
     mine = as_levels(mine, "region", SPRING_REGIONS).drop("region_ord")
-    theirs = natural_join(stations.filter("survey <> 'FRP'"), external, "left", by=["station"]).select(*place, *values)
+    theirs = natural_join(stations.filter(F.col("survey") != own_survey), external, "left", by=["station"]).select(*place, *values)
     both = stack(mine, theirs).withColumns({"year": F.year("date"), "month": F.month("date")})
     both = both.filter(F.col("year").isin(STUDY_YEARS) & F.col("month").isin(list(months)))
     # The one site whose type changed, and the last year of its old type.

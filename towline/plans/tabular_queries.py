@@ -11,6 +11,7 @@ from ..functions import (
 from ..operators import aggregate as agg
 from ..operators import joins, reshape
 from ..operators.describe import describe_table
+from ..session import cut as cut_lineage
 from ..sources import season_of
 from . import testviews as tv
 from .fixed import REGION_BOXES, SALINITY_BREAKS, SEASON_OF_MONTH
@@ -634,7 +635,8 @@ def environment_and_matrix(spark, sf):
 full_cells AS (SELECT site, month, year FROM m GROUP BY ALL HAVING count(DISTINCT survey) = (SELECT count(DISTINCT survey) FROM m))
 SELECT site, month, survey, year, taxon, round(mean, 6) AS mean FROM m JOIN full_cells USING (site, month, year)""")
 def balanced_strata(spark, sf):
-    means = agg.cascade_mean(tv.catch(spark, sf), [["site", "month", "survey", "year", "taxon"]], "cpue")
+    # The means are read twice, so they are written once.
+    means = cut_lineage(agg.cascade_mean(tv.catch(spark, sf), [["site", "month", "survey", "year", "taxon"]], "cpue"))
     return reshape.balanced(means, ["site", "month", "year"], "survey").withColumn("mean", r("mean"))
 
 
