@@ -29,3 +29,10 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .outliers import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -28,17 +28,20 @@ def _series(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _byte_values(fold_case: bool) -> np.ndarray:
-    values = _series(256, 1 << 20)
-    values[list(_SPACES)] = 0
+def _alphabet(between: bytes, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes separate words, and a number for each byte of a word."""
+    separates = np.zeros(256, bool)
+    separates[list(between)] = True
+    values = np.where(separates, np.uint64(0), _series(256, 1 << 20))
     if fold_case:
         values[65:91] = values[97:123]
-    return values
+    return separates, values
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(_SPACES)] = True
-_VALUES = {False: _byte_values(False), True: _byte_values(True)}
+_NOT_ALNUM = bytes(b for b in range(128) if not chr(b).isalnum())
+PLAIN = _alphabet(_SPACES, False)
+FOLDED = _alphabet(_SPACES, True)  # A-Z count as a-z
+LETTERS = _alphabet(_NOT_ALNUM, True)  # ASCII punctuation separates words too
 _BASE = 0x5851F42D4C957F2D | 1
 _POWERS = np.ones(1, np.uint64)
 
@@ -55,8 +58,8 @@ def _powers(n: int) -> np.ndarray:
 class Words:
     """The words of a block of texts: where they start and end, and the words of text d as first[d]:first[d + 1]."""
 
-    def __init__(self, buffer: np.ndarray, offsets: np.ndarray, fold_case: bool = False, hashed: bool = True):
-        space = _IS_SPACE[buffer]
+    def __init__(self, buffer: np.ndarray, offsets: np.ndarray, alphabet: tuple[np.ndarray, np.ndarray] = PLAIN):
+        space = alphabet[0][buffer]
         before = np.ones(len(buffer), bool)
         before[1:] = space[:-1]
         inside = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -66,18 +69,28 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         limits = np.append(self.starts[1:], len(buffer))
         self.spans = limits - self.starts
-        if not hashed:
-            return
         self.hash = np.zeros(0, np.uint64)
         if len(self.starts):
             lead = self.starts[0]
             place = np.arange(lead, len(buffer), dtype=np.int64) - np.repeat(self.starts, self.spans)
-            part = _VALUES[fold_case][buffer[lead:]] * _powers(int(self.spans.max()))[place]
+            part = alphabet[1][buffer[lead:]] * _powers(int(self.spans.max()))[place]
             self.hash = mix(np.add.reduceat(part, self.starts - lead))
 
+        self._values = alphabet[1]
+
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def heads(self, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of each word, or of all if it has fewer."""
+        total, inside = np.zeros(len(self.starts), np.uint64), np.ones(len(self.starts), bool)
+        for j in range(k):
+            inside = inside & (self.spans > j)
+            value = self._values[self.buffer[np.where(inside, self.starts + j, 0)]]
+            inside = inside & (value != 0)
+            total += np.where(inside, value, 0) * _powers(k)[j]
+        return mix(total)
+
 
 _FACTORS = _series(64, 1 << 30) | np.uint64(1)
 
