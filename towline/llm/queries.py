@@ -36,3 +36,10 @@ def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
 
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
