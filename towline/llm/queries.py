@@ -43,3 +43,10 @@ def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict_languages
 
     return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
