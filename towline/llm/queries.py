@@ -50,3 +50,10 @@ def op9_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import contaminated_words
+
+    return contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
