@@ -57,3 +57,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnow import contaminated_words
 
     return contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_lempel_ziv_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .factors import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
