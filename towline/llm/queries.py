@@ -64,3 +64,10 @@ def op8_lempel_ziv_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .factors import without_repeats
 
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
