@@ -71,3 +71,10 @@ def op10_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_report
 
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
