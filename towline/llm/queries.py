@@ -78,3 +78,10 @@ def op3_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages"))
