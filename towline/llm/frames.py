@@ -36,9 +36,13 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows take at most `limit` bytes; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def bounded(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its rows take at most `limit` bytes; else left to a shuffled join.
+
+    `row_bytes` is the size of every row, or an expression for that of each.
+    """
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

@@ -85,7 +85,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Words of one line for each set that may match another, from the documents that hold it first.
     chosen = first.join(bounded(live, 16), "set").select("set", "times", "first")
     where = chosen.groupBy("first.__a", "first.__b").agg(F.collect_list(F.struct("first.line", "set", "times", "first")).alias("wanted"))
-    where = bounded(cut(where), 512)
+    where = bounded(cut(where), 64 + 96 * F.size("wanted"))
     held = docs.select(*_row_keys(), F.split("text", "\n").alias("lines")).join(where, ["__a", "__b"]).select("lines", F.explode("wanted").alias("w"))
     held = held.select("w.set", "w.times", "w.first", F.get("lines", F.col("w.line")).alias("words")).dropDuplicates(["set"])
     sets = cut(held.select("set", "times", "first", _tokens(F.col("words"), levels).alias("t")))
@@ -112,7 +112,7 @@ def _removed(sets: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
         gone = cut(found if gone is None else gone.union(found).distinct())
     copies = lines.join(first.filter("times > 1").select("set", "first"), "set").filter(F.col("place") != F.col("first")).select("__a", "__b", "line")
     near = lines.join(bounded(gone, 16), "set").select("__a", "__b", "line")
-    return bounded(cut(copies.union(near).groupBy("__a", "__b").agg(F.collect_set("line").alias("gone"))), 128)
+    return bounded(cut(copies.union(near).groupBy("__a", "__b").agg(F.collect_set("line").alias("gone"))), 64 + 4 * F.size("gone"))
 
 
 def _without(docs: DataFrame, columns: list[Column | str]) -> DataFrame:

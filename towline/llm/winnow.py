@@ -87,6 +87,24 @@ def contaminated_words(docs: DataFrame, items: DataFrame) -> DataFrame:
     Rows stay apart when repeated or when doc_id is NULL. NULL and empty texts have no words and no hits. Other columns
     are not read. Without documents the result is empty; without items nothing is hit.
     """
+    marked, result = _hits(docs, items)
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    return marked.select("doc_id", "__a", "__b", "n_words").join(result, ["__a", "__b"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    )
+
+
+def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `docs` that hold no benchmark window, with their columns."""
+    _, result = _hits(docs, items)
+    names = docs.columns
+    keyed = docs.select(F.struct(*names).alias("__row"), *_row_keys()).join(result.select("__a", "__b"), ["__a", "__b"], "left_anti")
+    return keyed.select(*[F.col("__row").getField(c).alias(c) for c in names])
+
+
+def _hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows by their keys with n_words; and n_hit and items of the keys with hits."""
     against = cut(benchmark_windows(items))
     lengths = [r[0] for r in against.select("length").distinct().collect()] or [WINDOW]  # ten numbers at most
     marks = bounded(against.select("length", "fingerprint").distinct(), 32)
@@ -96,7 +114,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     each = marked.select("__a", "__b", F.explode("kept").alias("k")).select("__a", "__b", F.col("k.length").alias("length"), F.explode("k.f").alias("fingerprint"))
     hits = each.join(marks, ["length", "fingerprint"], "left_semi").groupBy("__a", "__b", "length").agg(F.collect_set("fingerprint").alias("f"))
-    hits = bounded(cut(hits), 256)
+    hits = bounded(cut(hits), 48 + 8 * F.size("f"))
 
     # Extend: of documents with hits, the windows with a hit fingerprint, word by word.
     again = docs.select(*_row_keys(), "text").join(hits, ["__a", "__b"])
@@ -107,21 +125,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame) -> DataFrame:
         # A document that is repeated has its windows once for each row: the same ones, so sets suffice below.
         rows = own.select("__a", "__b", "length", F.explode(pieces).alias("x")).select("__a", "__b", "length", "x.at", "x.window")
         found = rows if found is None else found.union(rows)
-    exact = bounded(against.select("length", "window", "items"), 256)
+    exact = bounded(against.select("length", "window", "items"), 64 + F.length("window") * 4 + 32 * F.size("items"))
     matched = found.join(exact, ["length", "window"]).groupBy("__a", "__b").agg(
         F.collect_set(F.struct("at", "length")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1))))
-    result = bounded(cut(matched.select("__a", "__b", F.size(covered).cast("bigint").alias("n_hit"), "items")), 256)
-    none = F.array().cast("array<string>")
-    listed = F.coalesce("items", none)
-    return marked.select("doc_id", "__a", "__b", "n_words").join(result, ["__a", "__b"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
-
-
-def decontaminated(docs: DataFrame, items: DataFrame, most_hit: float = 0.0) -> DataFrame:
-    """The rows of `docs` of whose words at most the share `most_hit` stands in a benchmark window, with their columns."""
-    report = contaminated_words(docs, items)
-    raise_if = report.filter(F.col("n_hit") > most_hit * F.col("n_words")).select("doc_id").distinct()
-    return docs.join(bounded(cut(raise_if), 16).withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return marked, bounded(cut(matched.select("__a", "__b", F.size(covered).cast("bigint").alias("n_hit"), "items")), 64 + 32 * F.size("items"))
