@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from towline.session import cut
 
-from .text import Words, blocks, shingles
+from .text import Words, blocks, mix, shingles
 
 PHRASE = 20
 BLOCK_PHRASES = 4_000_000
@@ -42,16 +42,16 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1]) if len(values) else np.zeros(0, int)
 
 
-_SHIPPED = "block int, docs binary, counts binary, known binary, hashes binary"
+_SHIPPED = "block int, keys binary, places binary, counts binary, known binary, hashes binary"
 
 
 def _ship(batches, bits: int):
-    """Per block: documents, how many distinct phrases each has there, which are answered already, hashes of the others."""
+    """Per block: rows by key and place, how many distinct phrases each has there, which are answered already, hashes of the others."""
     for batch in batches:
-        ids = batch.column("id").to_numpy()
+        places, keys = batch.column("place").to_numpy(), batch.column("key").to_numpy()
         for rows, data, offsets in blocks(batch):
             words = Words(data, offsets)
-            grams, own = shingles(words.hash, PHRASE), ids[rows]
+            grams, own, key = shingles(words.hash, PHRASE), places[rows], keys[rows]
             sets = [np.unique(_phrases(words, d, grams)) for d in range(len(own))]
             sizes = np.array([len(s) for s in sets])
             if not sizes.sum():
@@ -70,49 +70,84 @@ def _ship(batches, bits: int):
             for low, high in zip(edges[:-1], edges[1:]):
                 start = low + _runs(doc[low:high])
                 part = known[low:high]
-                out.append((int(block[low]), own[doc[start]].tobytes(), np.diff(np.append(start, high)).astype(np.int32).tobytes(),
+                out.append((int(block[low]), key[doc[start]].tobytes(), own[doc[start]].tobytes(), np.diff(np.append(start, high)).astype(np.int32).tobytes(),
                             np.packbits(part).tobytes(), hashes[low:high][~part].tobytes()))
-            kinds = [pa.int32()] + [pa.binary()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["block", "docs", "counts", "known", "hashes"])
+            yield _batch(out, _SHIPPED)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Of one block: for each document with a repeated phrase, one bit per distinct phrase it has there, in hash order."""
-    docs, counts, known, hashes = [], [], [], []
-    for _, d, c, k, h in zip(*(table.column(n).to_pylist() for n in ("block", "docs", "counts", "known", "hashes"))):
-        docs.append(np.frombuffer(d, np.int64))
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(f.split() for f in fields.split(", ")))
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types)], names=list(names))
+
+
+_ANSWERED = "part int, block int, keys binary, sizes binary, bits binary"
+
+
+def _answer(table: pa.Table, bits: int) -> pa.Table:
+    """Of one block: for each row with a repeated phrase, one bit per distinct phrase it has there, in hash order; dealt by row."""
+    keys, places, counts, known, hashes = [], [], [], [], []
+    for k, p, c, b, h in zip(*(table.column(n).to_pylist() for n in ("keys", "places", "counts", "known", "hashes"))):
+        keys.append(np.frombuffer(k, np.int64))
+        places.append(np.frombuffer(p, np.int64))
         counts.append(np.frombuffer(c, np.int32))
-        known.append(np.unpackbits(np.frombuffer(k, np.uint8), count=int(counts[-1].sum())).astype(bool))
+        known.append(np.unpackbits(np.frombuffer(b, np.uint8), count=int(counts[-1].sum())).astype(bool))
         hashes.append(np.frombuffer(h, np.uint64))
-    docs, counts, known, hashes = (np.concatenate(x) for x in (docs, counts, known, hashes))
-    owner = np.repeat(docs, counts)[~known]
+    keys, places, counts, known, hashes = (np.concatenate(x) for x in (keys, places, counts, known, hashes))
+    owner = np.repeat(places, counts)[~known]
     order = np.argsort(hashes, kind="stable")
     heads = _runs(hashes[order])
     if len(heads):
         first = np.minimum.reduceat(owner[order], heads)
         later = np.empty(len(hashes), bool)
         later[order] = owner[order] > np.repeat(first, np.diff(np.append(heads, len(hashes))))
-        known = known.copy()
         known[np.flatnonzero(~known)[later]] = True
     ends = np.cumsum(counts)
     total = np.concatenate([[0], np.cumsum(known)])
     some = np.flatnonzero(total[ends] > total[ends - counts])
-    bits = [np.packbits(known[ends[i] - counts[i] : ends[i]]).tobytes() for i in some]
-    return pa.table({
-        "id": pa.array(docs[some]), "block": pa.array(np.full(len(some), table.column("block")[0].as_py()), pa.int32()),
-        "size": pa.array(counts[some]), "bits": pa.array(bits, pa.binary()),
-    })
-
-
-def _repeated(phrases: np.ndarray, answers: list[dict], bits: int) -> np.ndarray:
+    part = _block(mix(keys[some].view(np.uint64)), bits)
+    some, part = some[np.argsort(part, kind="stable")], np.sort(part)
+    edges, out, block = np.append(_runs(part), len(part)), [], table.column("block")[0].as_py()
+    for low, high in zip(edges[:-1], edges[1:]):
+        own = some[low:high]
+        flags = b"".join(np.packbits(known[ends[i] - counts[i] : ends[i]]).tobytes() for i in own)
+        out.append((int(part[low]), block, keys[own].tobytes(), counts[own].tobytes(), flags))
+    return pa.Table.from_batches([_batch(out, _ANSWERED)])
+
+
+_GATHERED = "key bigint, blocks binary, sizes binary, bits binary"
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The answers of all blocks to each row of one part."""
+    keys, block, sizes, flags = [], [], [], []
+    for n, k, c, f in zip(*(table.column(x).to_pylist() for x in ("block", "keys", "sizes", "bits"))):
+        keys.append(np.frombuffer(k, np.int64))
+        sizes.append(np.frombuffer(c, np.int32))
+        block.append(np.full(len(keys[-1]), n, np.int32))
+        ends = np.cumsum((sizes[-1] + 7) // 8)
+        flags += [f[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    keys, block, sizes = (np.concatenate(x) for x in (keys, block, sizes))
+    order = np.lexsort((block, keys))
+    keys, block, sizes = keys[order], block[order], sizes[order]
+    edges = np.append(_runs(keys), len(keys))
+    out = [(int(keys[a]), block[a:b].tobytes(), sizes[a:b].tobytes(), b"".join(flags[i] for i in order[a:b])) for a, b in zip(edges[:-1], edges[1:])]
+    return pa.Table.from_batches([_batch(out, _GATHERED)])
+
+
+def _repeated(phrases: np.ndarray, answer: tuple[bytes, bytes, bytes] | None, bits: int) -> np.ndarray:
     """Which phrases of a document start earlier: in a smaller document by the answers, or before in this one."""
     unique, first, inverse = np.unique(phrases, return_index=True, return_inverse=True)
     earlier = np.zeros(len(unique), bool)
-    edges = np.searchsorted(_block(unique, bits), np.arange((1 << bits) + 1)) if answers else None
-    for a in answers:
-        low, high = edges[a["block"]], edges[a["block"] + 1]
-        if high - low == a["size"]:  # differs only for another row of the same id
-            earlier[low:high] |= np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["size"]).astype(bool)
+    if answer:
+        edges, at = np.searchsorted(_block(unique, bits), np.arange((1 << bits) + 1)), 0
+        flags = np.frombuffer(answer[2], np.uint8)
+        done = -1
+        for block, size in zip(np.frombuffer(answer[0], np.int32), np.frombuffer(answer[1], np.int32)):
+            if block != done:  # a row that is repeated has the same answer once for each
+                earlier[edges[block] : edges[block + 1]] = np.unpackbits(flags[at : at + (size + 7) // 8], count=size)
+            at, done = at + (size + 7) // 8, block
     return earlier[inverse] | (first[inverse] < np.arange(len(phrases)))
 
 
@@ -124,14 +159,14 @@ def factors(repeated: np.ndarray) -> list[tuple[int, int]]:
 
 def _parse(batches, bits: int, spans: bool):
     for batch in batches:
-        answers = batch.column("answers").to_pylist()
+        answers = list(zip(*(batch.column(c).to_pylist() for c in ("blocks", "sizes", "bits"))))
         for rows, data, offsets in blocks(batch):
             words = Words(data, offsets)
             grams = shingles(words.hash, PHRASE)
             n_words, n_removed, digest, found = [], [], [], []
             for d in range(len(offsets) - 1):
                 text = data[offsets[d] : offsets[d + 1]].tobytes().split()
-                own = factors(_repeated(_phrases(words, d, grams), answers[rows.start + d] or [], bits))
+                own = factors(_repeated(_phrases(words, d, grams), answers[rows.start + d] if answers[rows.start + d][0] else None, bits))
                 keep = np.ones(len(text), bool)
                 for a, b in own:
                     keep[a:b] = False
@@ -156,14 +191,14 @@ def without_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
     another, and rows without doc_id come after all others. Other columns are not read. An empty table gives an empty
     result.
     """
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), "text")
-    # Words are fewer than half the bytes, so this bounds the phrases of a block.
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("place")
+    own = docs.select("doc_id", place, F.xxhash64("doc_id", "text").alias("key"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # about six bytes a word
     bits = max(0, int(np.ceil(np.log2(max(1, size / 6) / BLOCK_PHRASES))))
-    shipped = own.select("id", "text").mapInArrow(lambda b: _ship(b, bits), _SHIPPED)
-    answers = shipped.groupBy("block").applyInArrow(lambda t: _answer(t), "id bigint, block int, size int, bits binary")
-    each = cut(answers.groupBy("id").agg(F.collect_list(F.struct("block", "size", "bits")).alias("answers")))
+    shipped = own.select("place", "key", "text").mapInArrow(lambda b: _ship(b, bits), _SHIPPED)
+    answers = shipped.groupBy("block").applyInArrow(lambda t: _answer(t, bits), _ANSWERED)
+    each = cut(answers.groupBy("part").applyInArrow(lambda t: _gather(t), _GATHERED))
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = "kept_text string, factors array<struct<start:int,end:int>>" if spans else "kept_sha256 string"
-    return own.join(each, "id", "left").select("doc_id", "text", "answers").mapInArrow(
+    return own.join(each, "key", "left").select("doc_id", "text", "blocks", "sizes", "bits").mapInArrow(
         lambda b: _parse(b, bits, spans), f"doc_id {kind}, n_words bigint, n_removed bigint, {last}")
