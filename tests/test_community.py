@@ -149,6 +149,15 @@ def test_simper_sums_to_between_group_dissimilarity(long, env, data):
             assert abs(r["mean1"] - a[:, k].mean()) < 1e-12 and abs(r["mean2"] - b[:, k].mean()) < 1e-12
 
 
+def test_simper_has_every_taxon_for_every_pair_of_groups(spark):
+    cells = [("a1", "t0", 2.0), ("a2", "t0", 1.0), ("b1", "t0", 3.0), ("b1", "t1", 1.0), ("c1", "t0", 1.0), ("c1", "t2", 4.0)]
+    long = spark.createDataFrame(cells, "unit string, taxon string, x double")
+    env = spark.createDataFrame([(u, u[0]) for u in ("a1", "a2", "b1", "c1")], "unit string, region string")
+    rows = simper(long, env, "region").collect()
+    assert sorted((r["g1"], r["g2"], r["taxon"]) for r in rows) == sorted((a, b, f"t{k}") for a, b in ("ab", "ac", "bc") for k in range(3))
+    assert {r["average"] for r in rows if (r["g1"], r["g2"], r["taxon"]) == ("a", "b", "t2")} == {0.0}
+
+
 def test_monotone_fit():
     values = np.array([1.0, 3.0, 2.0, 2.0, 5.0, 4.0])
     assert np.allclose(ordi._pooled(values, np.ones(6)), [1, 7 / 3, 7 / 3, 7 / 3, 4.5, 4.5])

@@ -248,10 +248,39 @@ def test_effective_sample_size(spark):
         slow[i] = 0.8 * slow[i - 1] + noise[i]
     rows = [(0, 2 * i + 7, p, float(v)) for p, values in (("iid", noise), ("ar", slow)) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "chain int, iter long, param string, value double")
-    got = {r["param"]: r["ess"] for r in ess(renumber_iterations(df), max_lag=60).collect()}
+    got = {r["param"]: r["ess"] for r in ess(renumber_iterations(df), first_lags=8).collect()}
     assert got["iid"] > 1500 and 120 < got["ar"] < 330
 
 
+def test_effective_sample_size_has_no_greatest_lag(spark):
+    rng = np.random.default_rng(8)
+    v = np.zeros(1500)
+    for i in range(1, 1500):
+        v[i] = 0.98 * v[i - 1] + rng.normal()
+    d = v - v.mean()
+    c = np.array([d[: 1500 - k] @ d[k:] for k in range(1500)]) / 1500
+    gamma, total, least = c[0::2] + c[1::2], 0.0, np.inf
+    for g in gamma:
+        if g <= 0:
+            break
+        least = min(least, g)
+        total += least
+    df = spark.createDataFrame([(0, i, "p", float(x)) for i, x in enumerate(v)], "chain int, iter long, param string, value double")
+    assert ess(df, first_lags=4).first()["ess"] == pytest.approx(min(1500, 1500 * c[0] / (2 * total - c[0])))
+
+
+def test_student_and_f_tails():
+    assert reg.t_quantile(1) == pytest.approx(12.7062047, rel=1e-7) and reg.t_quantile(2) == pytest.approx(4.3026527, rel=1e-7)
+    assert reg.t_quantile(10) == pytest.approx(2.2281389, rel=1e-7)
+    assert reg.t_p(2.0, 1) == pytest.approx(1 - 2 * math.atan(2.0) / math.pi)
+    assert reg.f_p(4.0, 1, 7) == pytest.approx(reg.t_p(2.0, 7)) and reg.f_p(3.0, 2, 2) == pytest.approx(0.25)
+
+
+def test_triple_product_has_all_parts(spark):
+    df = spark.createDataFrame([(a, b, c, 1.0) for a in "xy" for b in "xy" for c in "xy"], "a string, b string, c string, y double")
+    assert [t.replace("_", ":") for t in design(df, ["a*b*c"]).terms] == ["a", "b", "c", "a:b", "a:c", "b:c", "a:b:c"]
+
+
 def test_renumbering_over_bucket_borders(spark):
     iters = [1, 65535, 65536, 70000, 400000]
     df = spark.createDataFrame([(0, i, "p", float(i)) for i in iters], "chain int, iter long, param string, value double")

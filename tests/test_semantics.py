@@ -189,3 +189,13 @@ def test_read_and_write_tables(spark, tmp_path, rows):
     again = read_table(spark, str(tmp_path / "c"), "Station string, Date date, CPUE double, Volume double", date_format="yyyy-MM-dd")
     assert rows(again) == rows(typed)
     assert rows(read_table(spark, str(tmp_path / "t"), "CPUE string", format="parquet"), "CPUE") == [("2.5",), (None,), (None,)]
+
+
+def test_inferred_scan_honours_every_null_token(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("n,v,d,t,e\n1,2.5,2020-01-02,a,\n-999,NA,NA,-999,NA\n,7,2021-03-04,b b,-999\n")
+    from towline.sources import read_table
+
+    got = read_table(spark, str(tmp_path / "x.csv"), null_values=("", "NA", "-999"))
+    assert [t for _, t in got.dtypes] == ["int", "double", "date", "string", "string"]
+    assert [tuple(r) for r in got.collect()] == [
+        (1, 2.5, datetime.date(2020, 1, 2), "a", None), (None, None, None, None, None), (None, 7.0, datetime.date(2021, 3, 4), "b b", None)]

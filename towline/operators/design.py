@@ -1,7 +1,7 @@
 """Design columns from terms, and the Gram matrix they share across models.
 
 Terms are column names, `numeric("month")`, `categorical("year")`, and interactions `"a:b"`; `"a*b"`
-stands for `a, b, a:b`. Text columns are categorical, others numeric. Categorical terms are treatment
+stands for `a, b, a:b`, and `"a*b*c"` for all products of its parts. Text columns are categorical, others numeric. Categorical terms are treatment
 coded against their first level, interactions multiply the columns of their parts.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -69,7 +70,7 @@ def _expand_terms(terms: Sequence) -> list[list[Variable]]:
             parts = [[term]]
         elif "*" in term:
             pieces = [Variable(p.strip()) for p in term.split("*")]
-            parts = [[p] for p in pieces] + [pieces]
+            parts = [list(c) for size in range(1, len(pieces) + 1) for c in combinations(pieces, size)]
         else:
             parts = [[Variable(p.strip()) for p in term.split(":")]]
         for product in parts:

@@ -69,32 +69,40 @@ def psrf(draws: DataFrame, adjust: bool = True) -> DataFrame:
     return by_param.select("param", F.sqrt(correction * F.try_divide(pooled, w)).alias("psrf"))
 
 
-def ess(draws: DataFrame, max_lag: int = 200) -> DataFrame:
+def ess(draws: DataFrame, first_lags: int = 32) -> DataFrame:
     """Effective sample size per parameter, by the initial positive sequence (Geyer 1992), summed over chains.
 
-    Autocovariances come from an equi-join of each draw with the ones up to `max_lag` later, keyed by
-    chain, parameter and iteration; iterations must be consecutive (see `renumber_iterations`). The
+    Autocovariances come from an equi-join of each draw with later ones, keyed by chain, parameter and iteration; iterations
+    must be consecutive (see `renumber_iterations`). Lags are taken in stages, the first of `first_lags` and each twice as long as
+    the one before, for the chains whose sequence is still positive: there is no greatest lag but the chain's length. The
     repeated side is larger than the planner can see, so the join is told to merge.
     """
     draws = cut(draws)
     # One row per chain and parameter, written so that its size is known when it is joined.
     moments = cut(draws.groupBy("chain", "param").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")))
-    centred = draws.join(moments, ["chain", "param"]).withColumn("v", F.col("value") - F.col("m"))
-    earlier = centred.select("chain", "param", "v", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"),
-                             F.col("iter").alias("start")).withColumn("iter", F.col("start") + F.col("lag"))
-    later = centred.select("chain", "param", "iter", F.col("v").alias("w"))
-    products = (
-        earlier.join(later.hint("merge"), ["chain", "param", "iter"]).groupBy("chain", "param", "lag")
-        .agg(F.sum(F.col("v") * F.col("w")).alias("c")).join(moments, ["chain", "param"])
-        .withColumn("c", F.col("c") / F.col("n"))
-    )
-    # Sums of neighbouring autocovariances, up to the first that is not positive, made non-increasing.
-    pairs = products.withColumn("t", F.floor(F.col("lag") / 2)).groupBy("chain", "param", "t").agg(
-        F.sum("c").alias("gamma"), F.max(F.when(F.col("lag") == 0, F.col("c"))).alias("c0"),
-        F.first("n").alias("n"), F.count(F.lit(1)).alias("lags"),
-    ).filter("lags = 2")
+    centred = cut(draws.join(moments, ["chain", "param"]).select("chain", "param", "iter", "n", (F.col("value") - F.col("m")).alias("v")))
+    open_, low, step, gammas = moments.select("chain", "param", "n"), 0, first_lags + first_lags % 2, None
+    while not open_.isEmpty():
+        own = centred.join(open_.select("chain", "param"), ["chain", "param"], "left_semi")
+        lags = F.sequence(F.lit(low), F.least(F.lit(low + step), F.col("n")) - 1)
+        earlier = own.filter(F.col("n") > low).select("chain", "param", "v", F.explode(lags).alias("lag"), F.col("iter").alias("start"))
+        earlier = earlier.select("chain", "param", "v", "lag", (F.col("start") + F.col("lag")).alias("iter"))
+        later = own.select("chain", "param", "iter", "n", F.col("v").alias("w"))
+        products = earlier.join(later.hint("merge"), ["chain", "param", "iter"]).groupBy("chain", "param", "lag").agg(
+            (F.sum(F.col("v") * F.col("w")) / F.first("n")).alias("c"), F.first("n").alias("n"))
+        # Sums of neighbouring autocovariances.
+        part = cut(products.withColumn("t", F.floor(F.col("lag") / 2)).groupBy("chain", "param", "t").agg(
+            F.sum("c").alias("gamma"), F.max(F.when(F.col("lag") == 0, F.col("c"))).alias("c0"), F.first("n").alias("n"), F.count(F.lit(1)).alias("lags"),
+        ).filter("lags = 2").drop("lags"))
+        gammas = part if gammas is None else gammas.union(part)
+        low, step = low + step, 2 * step
+        ended = part.filter("gamma <= 0").select("chain", "param").distinct()
+        open_ = cut(open_.filter(F.col("n") > low).join(ended, ["chain", "param"], "left_anti"))
+    if gammas is None:
+        return moments.select("param", F.lit(None).cast("double").alias("ess"), "n")
+    # Up to the first sum that is not positive, made non-increasing.
     order = Window.partitionBy("chain", "param").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    lowest = pairs.withColumns({"least": F.min("gamma").over(order), "c0": F.max("c0").over(order)})
+    lowest = gammas.withColumns({"least": F.min("gamma").over(order), "c0": F.max("c0").over(order)})
     initial = lowest.filter("least > 0").groupBy("chain", "param").agg(
         F.sum("least").alias("total"), F.max("c0").alias("c0"), F.first("n").alias("n")
     )

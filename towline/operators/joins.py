@@ -74,22 +74,27 @@ def drop_keys(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> Da
     return natural_join(left, right, "left_anti", by=[key] if isinstance(key, str) else key)
 
 
-def expand(df: DataFrame, cols: Sequence[str], buckets: int = 16) -> DataFrame:
-    """All combinations of the observed values of several key columns.
-
-    Each further column joins on a bucket number that every left row visits once, so the product is
-    built by an ordinary hash join over many tasks instead of one task holding a whole value list. The
-    table itself is read once, for its distinct keys.
-    """
+def expand(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """All combinations of the observed values of several key columns. The table itself is read once, for its distinct keys."""
     keys = cut(df.select(*cols).distinct())
     grid = keys.select(cols[0]).distinct()
     for col in cols[1:]:
-        values = keys.select(col).distinct().withColumn("__bucket", F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int"))
-        visits = grid.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        grid = visits.join(values, "__bucket").drop("__bucket")
+        grid = expand_tables(grid, keys.select(col).distinct())
     return grid
 
 
+def expand_tables(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of one table with every row of another.
+
+    The right rows are dealt into as many buckets as the cluster has cores, and each left row visits every bucket once, so the product
+    is built by an ordinary hash join over all cores instead of one task holding a whole table.
+    """
+    buckets = max(1, left.sparkSession.sparkContext.defaultParallelism)
+    values = right.withColumn("__bucket", F.pmod(F.xxhash64(*right.columns), F.lit(buckets)).cast("int"))
+    visits = left.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return visits.join(values, "__bucket").drop("__bucket")
+
+
 def join_audit(left: DataFrame, right: DataFrame, by: Sequence[str], compare: Sequence[str] = ()) -> DataFrame:
     """What a join would lose or multiply: `(kind, key, n)`.
 

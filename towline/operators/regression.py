@@ -15,7 +15,7 @@ from ..functions.scalar import as_column
 from ..session import cut
 from .design import Design, design, factor, gram, term_variables
 
-_TABLE = "term string, column string, estimate double, se double, statistic double, p_normal double"
+_TABLE = "term string, column string, estimate double, se double, statistic double, p double"
 
 
 def normal_p(statistic: float) -> float:
@@ -23,13 +23,49 @@ def normal_p(statistic: float) -> float:
     return math.erfc(abs(statistic) / math.sqrt(2))
 
 
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction (modified Lentz steps)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d, m, value = 1.0, 1 / max(tiny, 1 - (a + b) * x / (a + 1)), 0, 0.0
+    value = d
+    while True:
+        m += 1
+        before = value
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            c = 1 + top / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            value *= c * d
+        if abs(value - before) <= 1e-15 * abs(value):
+            return front * value
+
+
+def t_p(statistic: float, df: float) -> float:
+    """Two-sided p-value of Student's t."""
+    return float(incomplete_beta(df / 2, 0.5, df / (df + statistic * statistic))) if df > 0 else float("nan")
+
+
+def f_p(statistic: float, df1: float, df2: float) -> float:
+    """Upper tail of the F distribution."""
+    return incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * statistic)) if df1 > 0 and df2 > 0 else float("nan")
+
+
 def t_quantile(df: float) -> float:
-    """97.5 % point of Student's t, by the expansion around the normal point."""
-    z = 1.959963984540054
+    """97.5 % point of Student's t, by bisection on its p-value."""
     if df <= 0:
         return float("nan")
-    return (z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
-            + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3))
+    low, high = 0.0, 2.0
+    while t_p(high, df) > 0.05:
+        high *= 2
+    while high - low > 1e-12 * high:
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_p(middle, df) > 0.05 else (low, middle)
+    return high
 
 
 @dataclass
@@ -81,8 +117,9 @@ class Fit:
         se = np.sqrt(np.diag(self.covariance()))
 
         def line(term, name, estimate, error):
-            t = estimate / error if error > 0 else float("nan")
-            return term, name, float(estimate), float(error), float(t), normal_p(t)
+            t = float(estimate / error) if error > 0 else float("nan")
+            # Least squares estimates its error variance, so Student's t; the other fits are asymptotic.
+            return term, name, float(estimate), float(error), float(t), t_p(t, self.df_residual) if "rss" in self.extra else normal_p(t)
 
         rows = [line("(intercept)", "(intercept)", self.intercept, se[0])]
         place = {k: i for i, k in enumerate(self.kept)}
@@ -148,6 +185,16 @@ def fit_statistics(spark, fit: Fit) -> DataFrame:
     )
 
 
+def model_test(spark, fit: Fit) -> DataFrame:
+    """Overall F test of a least-squares fit against its mean alone, and its Akaike criterion."""
+    k, rss = len(fit.kept), fit.extra["rss"]
+    f = None if fit.r2 is None or fit.r2 >= 1 or k == 0 or fit.df_residual <= 0 else (fit.r2 / k) / ((1 - fit.r2) / fit.df_residual)
+    aic = fit.n * (math.log(2 * math.pi * rss / fit.n) + 1) + 2 * (k + 2) if rss > 0 else None
+    return spark.createDataFrame(
+        [(k, fit.df_residual, f, None if f is None else f_p(f, k, fit.df_residual), aic)], "df_model bigint, df_residual bigint, f double, p double, aic double",
+    )
+
+
 def diagnostics(df: DataFrame, y, fit: Fit) -> DataFrame:
     """Add fitted value, residual, leverage, standardised residual and Cook's distance to every usable row."""
     rows = fit.spec.complete(df.withColumn("__y", as_column(y).cast("double")), "__y")

@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .blocks import Community, Tile, community, map_tiles, tiles_of
 from .dissimilarity import group_labels
+from .joins import expand_tables
 
 
 def _contribution_sums(com: Community, groups: DataFrame, group: str) -> DataFrame:
@@ -60,7 +62,10 @@ def simper(
         profiles.select("label", F.explode(F.arrays_zip("taxa", "xs")).alias("cell"))
         .groupBy("label", F.col("cell.taxa").alias("taxon")).agg(F.sum("cell.xs").alias("total"))
     )
-    sums = _contribution_sums(com, groups, group)
+    # A taxon that both groups lack contributes nothing, whether or not a tile holds it.
+    found = cut(_contribution_sums(com, groups, group))
+    sums = expand_tables(found.select("g1", "g2").distinct(), totals.select("taxon").distinct()).join(found, ["g1", "g2", "taxon"], "left").select(
+        "g1", "g2", "taxon", F.coalesce("c1", F.lit(0.0)).alias("c1"), F.coalesce("c2", F.lit(0.0)).alias("c2"))
 
     def side(name: str, table: DataFrame, value: str, keys: list[str]) -> DataFrame:
         return table.withColumnsRenamed({"label": name, value: f"{value}_{name}"}).select(name, *keys, f"{value}_{name}")

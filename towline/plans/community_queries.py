@@ -401,6 +401,16 @@ def renumbered_draws(spark, sf):
     return dr.renumber_iterations(tv.draws(spark, sf))
 
 
-@query("effective_sample_size")
+@query("effective_sample_size", f"""WITH {tv.DRAWS_SQL}, d AS (
+  SELECT chain, param, row_number() OVER (PARTITION BY chain, param ORDER BY iter) - 1 AS iter, value - avg(value) OVER (PARTITION BY chain, param) AS v,
+         count(*) OVER (PARTITION BY chain, param) AS n FROM draws
+), c AS (
+  SELECT a.chain, a.param, b.iter - a.iter AS lag, sum(a.v * b.v) / any_value(a.n) AS c, any_value(a.n) AS n
+  FROM d a JOIN d b ON a.chain = b.chain AND a.param = b.param AND b.iter >= a.iter GROUP BY ALL
+), g AS (
+  SELECT chain, param, lag // 2 AS t, sum(c) AS gamma, max(CASE WHEN lag = 0 THEN c END) AS c0, any_value(n) AS n FROM c GROUP BY ALL HAVING count(*) = 2
+), l AS (SELECT chain, param, n, min(gamma) OVER w AS low, max(c0) OVER w AS c0 FROM g WINDOW w AS (PARTITION BY chain, param ORDER BY t)),
+e AS (SELECT chain, param, any_value(n) AS n, sum(low) AS total, max(c0) AS c0 FROM l WHERE low > 0 GROUP BY ALL)
+SELECT param, round(sum(least(n, n * c0 / (2 * total - c0))), 4) AS ess, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY 1""")
 def effective_sample_size(spark, sf):
-    return dr.ess(dr.renumber_iterations(tv.draws(spark, sf)), max_lag=50)
+    return dr.ess(dr.renumber_iterations(tv.draws(spark, sf))).withColumn("ess", r("ess", 4))

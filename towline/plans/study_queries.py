@@ -61,15 +61,17 @@ def long_term_monthly_community(spark, sf):
     return monthly.withColumns({"cpue": r("cpue"), "sal": r("sal")})
 
 
+_TAXA2 = [f"Brand#{k}" for k in range(1, 10)]
+_TAXA2_SQL = ", ".join(f"round(sum(CASE WHEN tax2 = '{t}' THEN cpue END), 6) AS \"{t}\"" for t in _TAXA2)
+
+
 @query("long_term_monthly_matrix_literal", f"""WITH {_MONTHLY_SQL}
-SELECT month, year, region, season, round(sal, 9) AS sal, round(sum(CASE WHEN tax2 = 'Brand#1' THEN cpue END), 6) AS "Brand#1",
-round(sum(CASE WHEN tax2 = 'Brand#2' THEN cpue END), 6) AS "Brand#2" FROM monthly GROUP BY month, year, region, season, round(sal, 9)""")
+SELECT month, year, region, season, round(sal, 9) AS sal, {_TAXA2_SQL} FROM monthly GROUP BY month, year, region, season, round(sal, 9)""")
 def long_term_monthly_matrix_literal(spark, sf):
     # Mean salinity is one of the identifying columns here, so taxa with different means get rows of their own.
     monthly = studies.monthly_community(_long_term(spark, sf), ["sample_id", "station", "volume"])
-    matrix = community_matrix(monthly.withColumn("sal", r("sal", 9)), ["month", "year", "region", "season", "sal"],
-                              "tax2", "cpue", ["Brand#1", "Brand#2"], fill=None)
-    return matrix.withColumns({c: r(f"`{c}`") for c in ("Brand#1", "Brand#2")})
+    matrix = community_matrix(monthly.withColumn("sal", r("sal", 9)), ["month", "year", "region", "season", "sal"], "tax2", "cpue", _TAXA2, fill=None)
+    return matrix.withColumns({c: r(f"`{c}`") for c in _TAXA2})
 
 
 def _monthly_units(spark, sf):
@@ -84,7 +86,7 @@ def _monthly_units(spark, sf):
 def long_term_permanova(spark, sf):
     monthly = _monthly_units(spark, sf)
     env = monthly.groupBy("unit", "region", "season", "year").agg(F.avg("sal").alias("sal"))
-    return pm.permanova(monthly, env, ["region", "season", "year"], permutations=199, seed=11, x="cpue", taxon="tax2")
+    return pm.permanova(monthly, env, ["region", "season", "year"], permutations=999, seed=11, x="cpue", taxon="tax2")
 
 
 @query("spring_site_means", f"""WITH {tv.CATCH_ENV_SQL}, s AS (SELECT sample_id, site, region, survey, year, sum(cpue) AS cpue FROM catch_env GROUP BY ALL),
@@ -97,7 +99,15 @@ def spring_site_means(spark, sf):
     return stats.withColumns({"mean": r("mean"), "sd": r("sd"), "se": r("se", 9)})
 
 
-@query("long_term_source_month_model")
+@query("long_term_source_month_model", f"""WITH {tv.CATCH_ENV_SQL}, s AS (
+  SELECT survey, month, year, sample_id, sum(cpue) AS cpue FROM catch_env GROUP BY ALL
+), y AS (SELECT survey, month, ln(cpue) AS y FROM s WHERE cpue > 0 AND survey IS NOT NULL AND month IS NOT NULL), c AS (
+  SELECT y, y - avg(y) OVER (PARTITION BY survey, month) AS e, y - avg(y) OVER () AS d FROM y
+) SELECT count(*) AS n, (SELECT count(*) FROM s) - count(*) AS n_dropped, count(*) - (SELECT count(*) FROM (SELECT DISTINCT survey, month FROM y)) AS df_residual,
+round(sqrt(sum(e * e) / (count(*) - (SELECT count(*) FROM (SELECT DISTINCT survey, month FROM y)))), 6) AS sigma, round(1 - sum(e * e) / sum(d * d), 6) AS r2 FROM c""")
 def long_term_source_month_model(spark, sf):
+    # Month is a factor, so the model has a mean for each cell of survey and month.
     samples = tv.catch_env(spark, sf).groupBy("survey", "month", "year", "sample_id").agg(F.sum("cpue").alias("cpue"))
-    return reg.fit_statistics(spark, reg.ols(samples, F.ln("cpue"), ["survey*month"]))
+    samples = samples.withColumn("month", F.col("month").cast("string"))
+    statistics = reg.fit_statistics(spark, reg.ols(samples, F.ln("cpue"), ["survey*month"]))
+    return statistics.withColumns({c: r(c) for c in ("sigma", "r2")})

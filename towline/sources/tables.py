@@ -50,8 +50,7 @@ def read_table(
         return table.select([F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
     reader = spark.read.option("header", True)
     if schema is None:
-        null_token = next((t for t in tokens if t), "")
-        return reader.option("nullValue", null_token).option("inferSchema", True).csv(path)
+        return _inferred(reader.option("inferSchema", False).csv(path), tokens)
     table = reader.option("inferSchema", False).csv(path)
     missing = [f.name for f in schema if f.name not in table.columns]
     if missing:
@@ -62,6 +61,19 @@ def read_table(
     return blanked.select([_typed(f.name, f.dataType, date_format, timestamp_format).alias(f.name) for f in schema])
 
 
+def _inferred(table: DataFrame, tokens: list[str]) -> DataFrame:
+    """Text columns with every null token blanked, as the narrowest type that all remaining values of a column have."""
+    blanked = table.select([F.when(~F.col(f"`{c}`").isin(tokens), F.trim(f"`{c}`")).alias(c) for c in table.columns])
+    kinds = ("int", "bigint", "double", "boolean", "date", "timestamp")
+    counts = blanked.agg(*[
+        F.count(F.col(f"`{c}`") if kind == "string" else F.col(f"`{c}`").try_cast(kind)).alias(f"{i}_{kind}")
+        for i, c in enumerate(table.columns) for kind in ("string", *kinds)
+    ]).first()
+    chosen = [next((k for k in kinds if counts[f"{i}_string"] and counts[f"{i}_{k}"] == counts[f"{i}_string"]), "string") for i in range(len(table.columns))]
+    original = [F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")) for c in table.columns]
+    return table.select([(x if k == "string" else x.try_cast(k)).alias(c) for x, k, c in zip(original, chosen, table.columns)])
+
+
 def save_table(df: DataFrame, path: str, partition_by: Iterable[str] = (), mode: str = "overwrite") -> None:
     """Keep an intermediate table for the next job; partition a large catch table by year."""
     writer = df.write.mode(mode)
