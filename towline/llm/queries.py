@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_transactions": oracles.WARC, "op4_winnowing": oracles.WINNOW, "op8_lempel_ziv_factors": oracles.FACTORS,
+    "op9_divide_skip_join": oracles.SIMILAR,
+}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -84,4 +88,4 @@ def op3_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
-    return round_trip(spark, table(spark, sf_dir, "pages"))
+    return round_trip(spark, table(spark, sf_dir, "pages")).drop("capture_id")
