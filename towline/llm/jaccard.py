@@ -8,9 +8,9 @@ A document is its set of 5-word shingles. Documents with equal sets form one cla
 2. The others divide their lists as DivideSkip does: by rarity, the n - T longest lists that cannot alone hold a partner
    are set aside as long, and every partner must be met in one of the short lists. Rarity comes from a count sketch of fixed size; any
    order that all classes share gives the same links.
-3. Short lists are merged by sorting, in two rounds. First each class meets only the least class of each of its lists, so
-   that a large group of near copies is tied together with one pair per member and list head. Then only classes
-   of different components that share a short list meet, which are few.
+3. Short lists are merged by sorting, in rounds. First each class meets only one class of each of its lists, the one that has
+   the smallest share of shingles of its own, so that a large group of near copies is tied to its original with few pairs for each
+   copy. Then only classes of different components that share a short list meet, which are few.
 4. A pair that was met is verified by binary probes of the long lists' shingles in the partner's sorted set, and of the
    short ones only if those can still make up the required overlap.
 """
@@ -22,7 +22,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from towline.session import cut
@@ -33,8 +33,10 @@ from .text import FOLDED, Words, blocks, mix, shingles, whole
 
 K = 5
 PART, WHOLE = 75, 100  # linked if WHOLE * intersection >= PART * union
-BUCKET_POSTINGS = 4_000_000
+BUCKET_POSTINGS = 2_000_000
 SKETCH_BITS = 18
+# Heads of lists in the rounds: first the set with the fewest shingles of its own, as the original of a group of near copies has.
+HEADS = (("plain / n", "set_id"), ("set_id",))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -106,7 +108,6 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
 
 def _ship(batches, bits: int):
     """Postings of a task's texts. What stands in several of its sets is known to be listed and is shipped once, unowned."""
-    turn = 0
     for batch in batches:
         for rows, data, offsets in blocks(batch):
             own = {set_id(s): s for s in shingle_sets(data, offsets) if len(s)}
@@ -122,25 +123,26 @@ def _ship(batches, bits: int):
             first, to = hashes[heads], np.where(single, ids[owner[heads]], np.uint64(0))
             out = _packed(_top(first, bits), to, np.where(single, sizes[owner[heads]], 0), first, False)
             several = np.repeat(~single, length)
-            turn += 1
-            here = np.full(np.count_nonzero(several), turn % (1 << bits))
+            here = np.full(np.count_nonzero(several), _top(ids[:1], bits)[0])
             out += _packed(here, ids[owner[several]], sizes[owner[several]], hashes[several], True)
             yield _table(out)
 
 
 def _listed(table: pa.Table, bits: int) -> pa.Table:
     """Of one bucket: the postings whose shingle stands in two sets or more, dealt by set."""
-    known = _unpacked(table.filter(table.column("listed")))
-    sets, sizes, hashes = _unpacked(table.filter(pc.invert(table.column("listed"))))
-    order = np.argsort(hashes, kind="stable")
-    sets, sizes, hashes = sets[order], sizes[order], hashes[order]
-    heads = _runs(hashes)
-    if len(heads):
-        several = np.minimum.reduceat(sets, heads) != np.maximum.reduceat(sets, heads)
-        keep = np.repeat(several, np.diff(np.append(heads, len(hashes)))) & (sets != 0)
-        sets, sizes, hashes = sets[keep], sizes[keep], hashes[keep]
-    sets, sizes, hashes = (np.concatenate([a, b]) for a, b in zip((sets, sizes, hashes), known))
-    return pa.Table.from_batches([_table(_packed(_top(sets, bits), sets, sizes, hashes, True))])
+    rows = []
+    for known in (True, False):
+        mask = table.column("listed") if known else pc.invert(table.column("listed"))
+        sets, sizes, hashes = _unpacked(table.filter(mask))
+        if not known and len(hashes):
+            order = np.argsort(hashes, kind="stable")
+            hashes, sets = hashes[order], sets[order]
+            heads = _runs(hashes)
+            several = np.minimum.reduceat(sets, heads) != np.maximum.reduceat(sets, heads)
+            keep = np.repeat(several, np.diff(np.append(heads, len(hashes)))) & (sets != 0)
+            sets, sizes, hashes = sets[keep], sizes[order[keep]], hashes[keep]
+        rows += _packed(_top(sets, bits), sets, sizes, hashes, True)
+    return pa.Table.from_batches([_table(rows)])
 
 
 def _survivors(table: pa.Table) -> pa.Table:
@@ -185,16 +187,20 @@ def _by_rarity(hashes: np.ndarray, n: int, level: np.ndarray) -> tuple[np.ndarra
 
 
 def _postings(batches, level: np.ndarray):
+    """(shingle, set_id, n, rest, plain) of short lists: `rest` counts the listed shingles from this one on, `plain` those unlisted."""
     for batch in batches:
-        shingle, owner, size = [], [], []
+        shingle, owner, size, rest, plain = [], [], [], [], []
         for s, n, h in zip(*(batch.column(c).to_pylist() for c in ("set_id", "n", "hashes"))):
             ordered, short = _by_rarity(np.frombuffer(h, np.uint64), n, level)
             shingle.append(ordered[:short])
             owner.append(np.full(short, s, np.int64))
             size.append(np.full(short, n, np.int32))
+            rest.append(np.arange(len(ordered), len(ordered) - short, -1, dtype=np.int32))
+            plain.append(np.full(short, n - len(ordered), np.int32))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cat(shingle, np.uint64).view(np.int64)), pa.array(cat(owner, np.int64)), pa.array(cat(size, np.int32))], names=["shingle", "set_id", "n"])
+            [pa.array(cat(shingle, np.uint64).view(np.int64)), pa.array(cat(owner, np.int64)), *(pa.array(cat(x, np.int32)) for x in (size, rest, plain))],
+            names=["shingle", "set_id", "n", "rest", "plain"])
 
 
 def _probe(batches, level: np.ndarray):
@@ -220,8 +226,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, level: np.ndarray) -> DataFrame
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "ha", "hb").mapInArrow(partial(_probe, level=level), "a bigint, b bigint"))
 
 
-def _near_size(n: str, m: str):
-    return WHOLE * F.least(n, m) >= PART * F.greatest(n, m)
+def _can_link() -> Column:
+    """Size and position filters on a shingle that sets of n and m shingles share.
+
+    If it is the rarest that they share, no more than the listed shingles from there on are shared.
+    """
+    near = WHOLE * F.least("n", "m") >= PART * F.greatest("n", "m")
+    return near & ((PART + WHOLE) * F.least("rest", "left") >= PART * (F.col("n") + F.col("m")))
+
+
+def _other(short: DataFrame, *more: Column) -> DataFrame:
+    return short.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("left"), *more)
 
 
 def linked_sets(docs: DataFrame, n_postings: int) -> DataFrame:
@@ -231,23 +246,32 @@ def linked_sets(docs: DataFrame, n_postings: int) -> DataFrame:
     listed = shipped.groupBy("bucket").applyInArrow(lambda rows: _listed(rows, bits), _PACKED)
     sets = cut(listed.groupBy("bucket").applyInArrow(lambda rows: _survivors(rows), "set_id bigint, n int, hashes binary"))
     level = _sketch(sets)
-    short = cut(sets.mapInArrow(partial(_postings, level=level), "shingle bigint, set_id bigint, n int"))
+    short = cut(sets.mapInArrow(partial(_postings, level=level), "shingle bigint, set_id bigint, n int, rest int, plain int"))
+
+    ties, met, roots = None, None, None
+    for order in HEADS:
+        placed = short.withColumn("root", F.col("set_id")) if roots is None else _mixed(short, roots)
+        heads = placed.groupBy("shingle").agg(F.min_by(F.struct("set_id", "n", "rest", "root"), F.struct(*[F.expr(x) for x in order])).alias("h"))
+        heads = heads.select("shingle", F.col("h.set_id").alias("b"), F.col("h.n").alias("m"), F.col("h.rest").alias("left"), F.col("h.root").alias("other"))
+        pairs = placed.join(heads, "shingle").filter((F.col("root") != F.col("other")) & _can_link())
+        pairs = pairs.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
+        pairs = cut(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
+        found = _verified(pairs, sets, level)
+        met, ties = (pairs, found) if met is None else (met.union(pairs), ties.union(found))
+        roots = components(ties)
+
+    placed = cut(_mixed(short, roots))
+    rest = placed.join(_other(placed, F.col("root").alias("other")), "shingle").filter(
+        (F.col("set_id") < F.col("b")) & (F.col("root") != F.col("other")) & _can_link())
+    rest = rest.select(F.col("set_id").alias("a"), "b").distinct().join(met, ["a", "b"], "left_anti")
+    return components(ties.union(_verified(rest, sets, level)))
 
-    heads = short.groupBy("shingle").agg(F.min(F.struct("set_id", "n")).alias("head"), F.count(F.lit(1)).alias("length")).filter("length > 1")
-    met = short.join(heads.select("shingle", F.col("head.set_id").alias("b"), F.col("head.n").alias("m")), "shingle")
-    met = met.filter((F.col("set_id") != F.col("b")) & _near_size("n", "m")).select(F.col("set_id").alias("a"), "b").distinct()
-    ties = _verified(met, sets, level)
 
-    roots = components(ties)
-    root = F.coalesce("root", "set_id").alias("root")
-    placed = short.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("shingle", "set_id", "n", root)
+def _mixed(short: DataFrame, roots: DataFrame) -> DataFrame:
+    """Postings of the lists that hold sets of several components, with the component."""
+    placed = short.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).filter("__low <> __high").select("shingle")
-    placed = cut(placed.join(mixed, "shingle"))
-    other = placed.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = placed.join(other, "shingle").filter((F.col("set_id") < F.col("b")) & (F.col("root") != F.col("other")) & _near_size("n", "m"))
-    # The first round has settled the pairs with list heads, so pairs of it that failed are not met again.
-    rest = rest.select(F.col("set_id").alias("a"), "b").distinct().join(met.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return components(ties.union(_verified(rest, sets, level)))
+    return placed.join(mixed, "shingle")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
