@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .reshape import to_long
+from .reshape import expand_tables, to_long
 
 log = logging.getLogger(__name__)
 
@@ -83,18 +83,6 @@ def expand(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return grid
 
 
-def expand_tables(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every row of one table with every row of another.
-
-    The right rows are dealt into as many buckets as the cluster has cores, and each left row visits every bucket once, so the product
-    is built by an ordinary hash join over all cores instead of one task holding a whole table.
-    """
-    buckets = max(1, left.sparkSession.sparkContext.defaultParallelism)
-    values = right.withColumn("__bucket", F.pmod(F.xxhash64(*right.columns), F.lit(buckets)).cast("int"))
-    visits = left.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return visits.join(values, "__bucket").drop("__bucket")
-
-
 def join_audit(left: DataFrame, right: DataFrame, by: Sequence[str], compare: Sequence[str] = ()) -> DataFrame:
     """What a join would lose or multiply: `(kind, key, n)`.
 

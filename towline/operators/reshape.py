@@ -46,22 +46,34 @@ def community_long(
 ) -> DataFrame:
     """`(unit, taxon, x)` with one row per pair; `zero_fill` adds the absent taxa of every unit.
 
-    Zero filling needs no product of tables: a unit's taxa are folded into one map (never more
-    entries than there are taxa) and the taxon list is read off against it.
+    The catch is aggregated and written once; its units and taxa are read off that. A unit whose rows all lack a taxon has
+    zeros only.
     """
     long = df.groupBy(unit, taxon).agg(F.sum(x).alias(x))
     if not zero_fill:
         return long
+    long = cut(long)
+    known = long.filter(F.col(taxon).isNotNull())
     if taxa is not None:
-        names = F.array([F.lit(t) for t in taxa])
+        names = df.sparkSession.createDataFrame([(t,) for t in taxa], f"`{taxon}` string")
     else:
-        names = df.filter(F.col(taxon).isNotNull()).agg(F.array_sort(F.collect_set(taxon))).scalar()
-    per_unit = long.filter(F.col(taxon).isNotNull()).groupBy(unit).agg(
-        F.map_from_entries(F.collect_list(F.struct(taxon, x))).alias("__cells")
-    )
-    return per_unit.withColumn(taxon, F.explode(names)).select(
-        unit, taxon, F.coalesce(F.try_element_at("__cells", F.col(taxon)), F.lit(0.0)).alias(x)
-    )
+        names = known.select(taxon).distinct()
+    grid = expand_tables(long.select(unit).distinct(), names)
+    cells = known.select(F.col(unit).alias("__unit"), F.col(taxon).alias("__taxon"), F.col(x).alias("__x"))
+    match = F.col(unit).eqNullSafe(F.col("__unit")) & (F.col(taxon) == F.col("__taxon"))
+    return grid.join(cells, match, "left").select(unit, taxon, F.coalesce("__x", F.lit(0.0)).alias(x))
+
+
+def expand_tables(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of one table with every row of another.
+
+    The right rows are dealt into as many buckets as the cluster has cores, and each left row visits every bucket once, so the product
+    is built by an ordinary hash join over all cores instead of one task holding a whole table.
+    """
+    buckets = max(1, left.sparkSession.sparkContext.defaultParallelism)
+    values = right.withColumn("__bucket", F.pmod(F.xxhash64(*right.columns), F.lit(buckets)).cast("int"))
+    visits = left.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return visits.join(values, "__bucket").drop("__bucket")
 
 
 def stack(*dfs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .blocks import Community, Tile, community, map_tiles, tiles_of
 from .dissimilarity import group_labels
-from .joins import expand_tables
+from .reshape import expand_tables
 
 
 def _contribution_sums(com: Community, groups: DataFrame, group: str) -> DataFrame:

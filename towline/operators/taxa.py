@@ -5,7 +5,7 @@ Absent taxa are zeros: they add nothing to sums of x*y, so the long table is nev
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,6 @@ from ..session import cut
 from .design import Design, design, factor, gram
 from .reshape import community_long
 
-MAX_TAXA = 20000
 BROADCAST_BYTES = 64 * 2**20
 
 
@@ -169,50 +168,49 @@ def fit_metrics(pred: DataFrame, by: Sequence[str] = ("taxon",)) -> DataFrame:
     )
 
 
-def taxon_association(resid: DataFrame, level: float = 0.5, unit: str = "unit", taxon: str = "taxon", value: str = "resid") -> DataFrame:
+def taxon_association(
+    resid: DataFrame, level: float = 0.5, unit: str = "unit", taxon: str = "taxon", value: str = "resid", block_taxa: int = 512, block_units: int = 4096
+) -> DataFrame:
     """Correlation of residuals for every pair of taxa `(a, b, r, shown)`; `shown` is zero below the level.
 
-    A unit's residuals form one array row in taxon order. Tasks multiply their rows as a matrix and give
-    one partial per task, so the pairs of a unit are never written out.
+    Taxa and units are hashed into blocks. A unit's residuals in one block of taxa are an array row; rows of two blocks of taxa
+    meet by unit, and each group of a pair of blocks and a block of units gives the sums of its products. No task holds more than a tile,
+    whatever the numbers of taxa and units. Pairs are correlated over the units that have both taxa.
     """
-    found = [r[0] for r in resid.select(F.col(taxon).cast("string")).distinct().limit(MAX_TAXA + 1).collect()]
-    if len(found) > MAX_TAXA:
-        raise ValueError(f"more than {MAX_TAXA} taxa")
-    taxa = sorted(found)
-    place = {t: k for k, t in enumerate(taxa)}
-    packed = resid.filter(F.col(value).isNotNull()).groupBy(unit).agg(
-        F.collect_list(F.struct(F.col(taxon).cast("string").alias("t"), F.col(value).cast("double").alias("v"))).alias("cells")
-    ).select(F.col("cells.t").alias("t"), F.col("cells.v").alias("v"))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = len(taxa)
-        total, first, count = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
-        seen = False
-        for batch in batches:
-            seen = True
-            rows = np.repeat(np.arange(len(batch)), batch["t"].map(len))
-            at = np.array([place[t] for t in np.concatenate(batch["t"].to_numpy())])
-            values, present = np.zeros((len(batch), k)), np.zeros((len(batch), k))
-            values[rows, at] = np.concatenate(batch["v"].to_numpy())
-            present[rows, at] = 1.0
-            total += values.T @ values
-            first += values.T @ present
-            count += present.T @ present
-        if seen:
-            a, b = np.triu_indices(k)
-            square = np.diag(total)
-            yield pd.DataFrame({"a": a, "b": b, "ab": total[a, b], "sa": first[a, b], "sb": first[b, a],
-                                "n": count[a, b], "aa": square[a], "bb": square[b]})
-
-    schema = "a int, b int, ab double, sa double, sb double, n double, aa double, bb double"
-    sums = packed.mapInPandas(partial, schema).groupBy("a", "b").agg(
+    cells = cut(resid.filter(F.col(value).isNotNull()).select(
+        F.col(unit).alias("u"), F.col(taxon).cast("string").alias("t"), F.col(value).cast("double").alias("v")))
+    sizes = cells.agg(F.approx_count_distinct("t"), F.approx_count_distinct("u")).first()
+    taxon_blocks, unit_blocks = (max(1, -(-n // size)) for n, size in zip(sizes, (block_taxa, block_units)))
+    packed = cells.withColumn("k", F.pmod(F.xxhash64("t"), F.lit(taxon_blocks)).cast("int")).groupBy("u", "k").agg(
+        F.collect_list("t").alias("t"), F.collect_list("v").alias("v"))
+    other = packed.select("u", F.col("k").alias("m"), F.col("t").alias("s"), F.col("v").alias("w"))
+    tiles = packed.join(other.hint("merge"), "u").filter("k <= m").withColumn("c", F.pmod(F.xxhash64("u"), F.lit(unit_blocks)).cast("int"))
+
+    def matrix(names: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        taxa, at = np.unique(np.concatenate(names.to_numpy()).astype(object), return_inverse=True)
+        rows = np.repeat(np.arange(len(names)), names.map(len))
+        x, present = np.zeros((len(names), len(taxa))), np.zeros((len(names), len(taxa)))
+        x[rows, at], present[rows, at] = np.concatenate(values.to_numpy()), 1.0
+        return taxa, x, present
+
+    def products(tile: pd.DataFrame) -> pd.DataFrame:
+        (a, x, p), (b, y, q) = matrix(tile["t"], tile["v"]), matrix(tile["s"], tile["w"])
+        i, j = (v.ravel() for v in np.indices((len(a), len(b))))
+        sums = {"ab": x.T @ y, "sa": x.T @ q, "sb": p.T @ y, "n": p.T @ q, "aa": (x * x).T @ q, "bb": p.T @ (y * y)}
+        frame = pd.DataFrame({"a": a[i], "b": b[j]} | {name: m.ravel() for name, m in sums.items()})
+        frame = frame[frame["n"] > 0]
+        if tile["k"].iloc[0] == tile["m"].iloc[0]:
+            return frame[frame["a"] <= frame["b"]]
+        swap = frame["a"] > frame["b"]
+        for left, right in (("a", "b"), ("sa", "sb"), ("aa", "bb")):
+            frame.loc[swap, [left, right]] = frame.loc[swap, [right, left]].to_numpy()
+        return frame
+
+    schema = "a string, b string, ab double, sa double, sb double, n double, aa double, bb double"
+    sums = tiles.groupBy("k", "m", "c").applyInPandas(products, schema).groupBy("a", "b").agg(
         *[F.sum(c).alias(c) for c in ("ab", "sa", "sb", "n", "aa", "bb")]
     )
     cov = F.col("ab") - F.col("sa") * F.col("sb") / F.col("n")
     spread = F.sqrt((F.col("aa") - F.col("sa") * F.col("sa") / F.col("n")) * (F.col("bb") - F.col("sb") * F.col("sb") / F.col("n")))
-    names = F.array([F.lit(t) for t in taxa])
     r = F.try_divide(cov, spread)
-    return sums.select(
-        F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), r.alias("r"),
-        F.when(F.abs(r) > level, r).otherwise(F.lit(0.0)).alias("shown"),
-    )
+    return sums.select("a", "b", r.alias("r"), F.when(F.abs(r) > level, r).otherwise(F.lit(0.0)).alias("shown"))

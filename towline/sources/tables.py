@@ -21,6 +21,9 @@ def _typed(name: str, dtype: T.DataType, date_format: str | None, timestamp_form
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         parsed = F.try_to_timestamp(text, F.lit(timestamp_format)) if timestamp_format else text.try_cast("timestamp")
         return parsed.cast(dtype)
+    if isinstance(dtype, T.NumericType):
+        # A grouping comma stands before three digits.
+        text = F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?!\d))", "")
     return text.try_cast(dtype)
 
 
