@@ -1,14 +1,15 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
-A line is the set of its words. It goes if an earlier line of any document has a Jaccard similarity of at least 0.8 with
-it; earlier means a smaller (doc_id, row, line number), judged on the input. Lines without words stay.
+A line is the set of its words, which are its parts between spaces and tabs. It goes if an earlier line of any document
+equals it or has a Jaccard similarity of at least 0.8 with it; earlier means a smaller (doc_id, row, line number), judged
+on the input. Lines without words stay.
 
 Words are ordered by rarity, the same order for all lines. Words of a prefix alone would meet in lists that grow with the
 corpus, so a prefix holds pairs of neighbours in that order. If linked sets of n and m words share T, each word that one
 of them has alone breaks at most two pairs of the one and one of the other, at most 0.4 n of n's pairs in all: of its first
 0.4 n + 1 pairs one is whole, and the first whole pair is the same for both. Size and position filters go with each
-pair, and what remains is verified on the whole sets. Pairs of lines are met in rounds: first with one line of
-each list, the most frequent and then the earliest; only lines not yet removed meet all earlier ones.
+pair, and what remains is verified on the whole sets. Lines are met in rounds: first with one line of each list, the
+most frequent and then the earliest; only lines not yet removed meet all earlier ones.
 """
 
 from __future__ import annotations
@@ -19,16 +20,15 @@ from pyspark.sql import functions as F
 from towline.session import cut
 
 from .frames import bounded
-from .winnow import _let, _row_keys, words
+from .winnow import _row_keys
 
 SLOTS = 1 << 15  # counters of the frequency sketch that ranks words; any common ranking gives the same result
 LAST = (1 << 63) - 1
 _HASH_BITS = 58
 
 
-def _least_shared(n: Column, m: Column) -> Column:
-    """The least intersection of sets of n and m words with a Jaccard similarity of 0.8."""
-    return F.ceil(4 * (n + m) / 9)
+def _parts(text: Column) -> Column:
+    return F.split(F.replace(text, F.lit("\t"), F.lit(" ")), " ")
 
 
 def _slot(h: Column) -> Column:
@@ -37,26 +37,25 @@ def _slot(h: Column) -> Column:
 
 def _levels(docs: DataFrame) -> Column:
     """For each slot the binary logarithm of how many words of the corpus fall into it, as a constant array."""
-    slots = F.transform(words(F.col("text")), lambda x: _slot(F.xxhash64(x)))
-    counts = docs.select(F.explode(slots).alias("slot")).groupBy("slot").count()
-    level = ["0"] * SLOTS
+    words = docs.select(F.explode(_parts(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
+    counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).count()
+    level = [0] * SLOTS
     for slot, n in counts.select("slot", F.log2("count").cast("int")).collect():  # SLOTS rows at most
-        level[slot] = str(n)
-    return F.split(F.lit(",".join(level)), ",").cast("array<bigint>")
+        level[slot] = n
+    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")  # the optimiser makes it one literal
 
 
-def _tokens(text: Column, levels: Column) -> Column:
-    """Distinct words of a text as numbers, from rare to frequent; ties by hash."""
-    rank = lambda h: F.shiftleft(F.get(levels, _slot(h)), _HASH_BITS) + F.shiftrightunsigned(h, 64 - _HASH_BITS)
-    hashes = F.transform(words(text), lambda x: F.xxhash64(x))
-    return F.sort_array(F.array_distinct(F.transform(hashes, rank)))
+def _tokens(line: str, levels: Column) -> Column:
+    """Distinct words of a line as numbers, from rare to frequent; ties by hash."""
+    hashes = F.transform(F.filter(_parts(F.col(line)), lambda x: x != ""), lambda x: F.xxhash64(x))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, _slot(h)), _HASH_BITS) + F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
 
-def _pairs(t: Column) -> Column:
-    """(key, at) of the prefix of pairs of neighbours; sets of fewer than four words are linked with equal ones only."""
-    n = F.size(t)
-    kept = F.when(n >= 4, F.least(n - 1, F.floor(0.4 * n).cast("int") + 1)).otherwise(0)
-    return F.transform(F.slice(t, 1, kept), lambda x, i: F.struct(F.xxhash64(x, F.get(t, i + 1)).alias("key"), i.alias("at")))
+def _keyed(lines: DataFrame, *columns: str) -> DataFrame:
+    """`columns`, n, and key and at of each pair of the prefix of the tokens `t`; of fewer than four words, their set is the only key."""
+    kept = F.least(F.size("t") - 1, F.floor(0.4 * F.size("t")).cast("int") + 1)
+    pairs = F.transform(F.slice("t", 1, kept), lambda x, i: F.xxhash64(x, F.get("t", i + 1)))
+    return lines.select(*columns, F.size("t").alias("n"), F.posexplode(F.when(F.size("t") >= 4, pairs).otherwise(F.array(F.xxhash64("t")))).alias("at", "key"))
 
 
 def _can_match(n: Column, at: Column, m: Column, other: Column) -> Column:
@@ -65,59 +64,68 @@ def _can_match(n: Column, at: Column, m: Column, other: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per document row (keys __a, __b): the numbers of its removed lines; and all lines with words, as written."""
-    levels = _levels(docs)
-    split = docs.select("doc_id", *_row_keys(), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    own = lambda t: F.struct(F.xxhash64(t).alias("set"), F.size(t).alias("n"), _pairs(t).alias("pairs"))
-    every = split.select("doc_id", "__a", "__b", "line", _let(_tokens(F.col("words"), levels), own).alias("own")).filter("own.n > 0")
+def _has_words(line: str) -> Column:
+    return F.trim(F.replace(F.col(line), F.lit("\t"), F.lit(" "))) != ""
+
 
-    postings = every.select("own.set", "own.n", F.explode("own.pairs").alias("p")).select("set", "n", "p.key", "p.at")
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """Per document row (keys __a, __b): the numbers of its removed lines, as written."""
+    levels = _levels(docs)
+    every = docs.select(F.explode(F.split("text", "\n")).alias("words")).filter(_has_words("words"))
+    postings = _keyed(every.select(F.xxhash64("words").alias("line"), _tokens("words", levels).alias("t")), "line")
     x, y = postings.alias("x"), postings.alias("y")
-    matches = (F.col("x.key") == F.col("y.key")) & (F.col("x.set") != F.col("y.set")) & _can_match(
+    matches = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") != F.col("y.line")) & _can_match(
         F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    live = cut(x.join(y.hint("merge"), matches, "left_semi").select("set").distinct())
-
-    place = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), "__a", "__b", "line")
-    lines = cut(every.select("__a", "__b", "line", F.col("own.set").alias("set"), place.alias("place")))
-    first = cut(lines.groupBy("set").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")))
-
-    # Words of one line for each set that may match another, from the documents that hold it first.
-    chosen = first.join(bounded(live, 16), "set").select("set", "times", "first")
-    where = chosen.groupBy("first.__a", "first.__b").agg(F.collect_list(F.struct("first.line", "set", "times", "first")).alias("wanted"))
-    where = bounded(cut(where), 64 + 96 * F.size("wanted"))
-    held = docs.select(*_row_keys(), F.split("text", "\n").alias("lines")).join(where, ["__a", "__b"]).select("lines", F.explode("wanted").alias("w"))
-    held = held.select("w.set", "w.times", "w.first", F.get("lines", F.col("w.line")).alias("words")).dropDuplicates(["set"])
-    sets = cut(held.select("set", "times", "first", _tokens(F.col("words"), levels).alias("t")))
-    return _removed(sets, lines, first), lines
-
-
-def _removed(sets: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
-    listed = cut(sets.select("set", "times", "first", F.size("t").alias("n"), F.explode(_pairs(F.col("t"))).alias("p")).select("set", "times", "first", "n", "p.key", "p.at"))
+    live = cut(x.join(y.hint("merge"), matches, "left_semi").select("line").distinct())
+
+    split = docs.select("doc_id", *_row_keys(), F.posexplode(F.split("text", "\n")).alias("number", "words")).filter(_has_words("words"))
+    place = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), "__a", "__b", "number")
+    lines = cut(split.select(F.xxhash64("words").alias("line"), place.alias("place")))
+    first = cut(lines.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")))
+
+    # Words of the lines that may match another, from the documents that hold them first.
+    chosen = first.join(bounded(live, 16), "line")
+    where = chosen.groupBy(F.col("first.__a").alias("__a"), F.col("first.__b").alias("__b")).agg(F.collect_list(F.struct("first.number", "line", "times", "first.id")).alias("wanted"))
+    where = bounded(cut(where), 64 + 64 * F.size("wanted"))
+    held = docs.select(*_row_keys(), F.split("text", "\n").alias("all")).join(where, ["__a", "__b"]).select("all", F.explode("wanted").alias("w"))
+    held = held.select("w.line", "w.times", "w.id", F.get("all", F.col("w.number")).alias("words"))
+    sets = cut(held.select("line", "times", "id", _tokens("words", levels).alias("t")))
+    gone = _matched(sets, first)
+
+    copies = lines.join(first.filter("times > 1").select("line", "first"), "line").filter(F.col("place") != F.col("first")).select("place")
+    near = lines.join(gone, "line").select("place")
+    parts = copies.union(near).groupBy(F.col("place.__a").alias("__a"), F.col("place.__b").alias("__b"))
+    return bounded(cut(parts.agg(F.collect_set("place.number").alias("gone"))), 64 + 4 * F.size("gone"))
+
+
+def _matched(sets: DataFrame, first: DataFrame) -> DataFrame:
+    """The lines of `sets` that have an earlier match."""
+    listed = cut(_keyed(sets.dropDuplicates(["line"]), "line", "times", "id"))
     gone, met = None, None
-    for head in (F.struct(-F.col("times"), "first"), F.col("first"), None):
-        later = listed if gone is None else listed.join(bounded(gone, 16), "set", "left_anti")
+    for head in (F.struct(-F.col("times"), "id", "line"), F.struct("id", "line"), None):
+        later = (listed if gone is None else listed.join(gone, "line", "left_anti")).select("key", "line", "id", "n", "at")
         if head is None:
-            earlier = listed.select("key", F.struct("set", "n", "at", "first").alias("h"))
+            earlier = listed.select("key", F.struct("line", "id", "n", "at").alias("h"))
         else:
-            earlier = listed.groupBy("key").agg(F.min_by(F.struct("set", "n", "at", "first"), head).alias("h"))
-        both = later.join(earlier, "key").filter(
-            (F.col("h.first") < F.col("first")) & _can_match(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at")))
-        pairs = both.select("set", F.col("h.set").alias("other")).distinct()
-        pairs = cut(pairs if met is None else pairs.join(met, ["set", "other"], "left_anti"))
+            earlier = listed.groupBy("key").agg(F.min_by(F.struct("line", "id", "n", "at"), head).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        # Ids bound the order, lines of one document are told apart below.
+        both = later.join(earlier, "key").filter((F.col("h.id") <= F.col("id")) & (F.col("h.line") != F.col("line")) & _can_match(
+            F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at")))
+        pairs = both.select("line", F.col("h.line").alias("other")).distinct()
+        pairs = cut(pairs if met is None else pairs.join(met, ["line", "other"], "left_anti"))
         met = pairs if met is None else met.union(pairs)
-        left, right = sets.select("set", "t"), sets.select(F.col("set").alias("other"), F.col("t").alias("u"))
-        shared = F.size(F.array_intersect("t", "u")) >= _least_shared(F.size("t"), F.size("u"))
-        found = pairs.join(left, "set").join(right, "other").filter(shared).select("set").distinct()
-        gone = cut(found if gone is None else gone.union(found).distinct())
-    copies = lines.join(first.filter("times > 1").select("set", "first"), "set").filter(F.col("place") != F.col("first")).select("__a", "__b", "line")
-    near = lines.join(bounded(gone, 16), "set").select("__a", "__b", "line")
-    return bounded(cut(copies.union(near).groupBy("__a", "__b").agg(F.collect_set("line").alias("gone"))), 64 + 4 * F.size("gone"))
+        left, right = sets.select("line", "t"), sets.select(F.col("line").alias("other"), F.col("t").alias("u"))
+        alike = 9 * F.size(F.array_intersect("t", "u")) >= 4 * (F.size("t") + F.size("u"))
+        found = pairs.join(left, "line").join(right, "other").filter(alike).select("line", "other")
+        after = first.select("line", "first"), first.select(F.col("line").alias("other"), F.col("first").alias("before"))
+        found = cut(found).join(after[0], "line").join(after[1], "other").filter(F.col("before") < F.col("first")).select("line")
+        gone = bounded(cut(found.distinct() if gone is None else gone.union(found).distinct()), 16)
+    return gone
 
 
 def _without(docs: DataFrame, columns: list[Column | str]) -> DataFrame:
     """`columns` of each row, with `__lines` all its lines and `__kept` those that stay."""
-    gone, _ = removed_lines(docs)
+    gone = removed_lines(docs)
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), *_row_keys()).join(gone, ["__a", "__b"], "left")
     parts = keyed.select("__row", "gone", F.split("__row.text", "\n").alias("__lines"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "gone")
