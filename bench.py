@@ -17,7 +17,7 @@ HEADLINES = [
     "slides_to_cpue", "percent_composition", "mean_of_totals", "community_matrix", "community_long_zero_filled",
     "balanced_strata", "biomass", "describe_table", "bray_curtis_pairs", "permanova_oneway", "permanova_permutations",
     "simper", "linear_model", "poisson_model", "taxa_regression", "cross_prediction", "scale_reduction",
-    "effective_sample_size",
+    "effective_sample_size", "negative_binomial_model", "random_intercept_model", "taxon_association", "long_term_permanova",
 ]
 
 
