@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -102,10 +103,21 @@ def _distances(tile_a: np.ndarray, tile_b: np.ndarray) -> np.ndarray:
     return np.sqrt(((tile_a[:, :, None, :] - tile_b[:, None, :, :]) ** 2).sum(-1))
 
 
-def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int = 60, seed: int = 1,
+class Ordination(NamedTuple):
+    """Coordinates of the best start and its stress; whether every start came to rest within the rounds allowed, how many rounds were
+    made, and whether a second start reached the best stress too."""
+
+    coords: DataFrame
+    stress: float
+    converged: bool
+    iterations: int
+    found_twice: bool
+
+
+def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int = 300, seed: int = 1,
          tolerance: float = 1e-4, unit: str = "unit", taxon: str = "taxon", x: str = "x",
-         transform: bool = True) -> tuple[DataFrame, float]:
-    """Non-metric multidimensional scaling of Bray-Curtis dissimilarity: coordinates and stress.
+         transform: bool = True) -> Ordination:
+    """Non-metric multidimensional scaling of Bray-Curtis dissimilarity.
 
     Dissimilarities are computed once per tile and kept as a written table of tiles. A round is two
     passes over it: mean configuration distance per step of dissimilarity, whose monotone fit has at
@@ -243,10 +255,11 @@ def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int
                 yield pd.DataFrame({"block": [row.block], "size": [len(row.g) // (starts * k)],
                                     "xy": [np.asarray(row.g, dtype=float).tobytes()]})
 
-    best = None
-    for _ in range(max_iter):
+    best, converged, iterations = None, False, 0
+    for iterations in range(max_iter):
         fit, stress = fitted(where)
         if best is not None and np.all(best - stress < tolerance * np.maximum(best, 1e-12)):
+            converged = True
             break
         best = stress
         moved = with_coordinates(where).mapInPandas(mover(fit), "block int, at int, g double")
@@ -258,7 +271,9 @@ def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int
         where = cut(packed_again.mapInPandas(repack, shape))
     else:
         _, stress = fitted(where)
+        iterations = max_iter
     chosen = int(np.argmin(stress))
+    found_twice = int(np.sum(stress <= stress[chosen] * 1.005 + 1e-9)) > 1
 
     def release(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -268,7 +283,7 @@ def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int
 
     fields = [T.StructField("unit", com.unit_type()), *[T.StructField(f"axis{j + 1}", T.DoubleType()) for j in range(k)]]
     raw = blocks.select("block", "units").join(where.select("block", "xy"), "block").mapInPandas(release, T.StructType(fields))
-    return principal_axes(raw, k), float(stress[chosen])
+    return Ordination(principal_axes(raw, k), float(stress[chosen]), converged, iterations, found_twice)
 
 
 def principal_axes(coords: DataFrame, k: int) -> DataFrame:
@@ -299,14 +314,14 @@ def principal_axes(coords: DataFrame, k: int) -> DataFrame:
 
 def nmds_by(long: DataFrame, env: DataFrame, by: str, unit: str = "unit", taxon: str = "taxon", x: str = "x",
             values: Sequence | None = None, **options) -> DataFrame:
-    """One ordination per value of an environment column: `(value, unit, axes, stress)`."""
+    """One ordination per value of an environment column: `(value, unit, axes, stress, converged)`."""
     if values is None:
         values = [r[0] for r in env.select(by).filter(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
 
     def one(value) -> DataFrame:
         chosen = env.filter(F.col(by) == value).select(unit)
-        coords, stress = nmds(long.join(chosen, unit, "left_semi"), unit=unit, taxon=taxon, x=x, **options)
-        return coords.select(F.lit(value).alias(by), "*", F.lit(stress).alias("stress"))
+        found = nmds(long.join(chosen, unit, "left_semi"), unit=unit, taxon=taxon, x=x, **options)
+        return found.coords.select(F.lit(value).alias(by), "*", F.lit(found.stress).alias("stress"), F.lit(found.converged).alias("converged"))
 
     # Subsets are independent: submitting several at once keeps the cluster busy between their rounds.
     with ThreadPoolExecutor(max_workers=4) as pool:

@@ -141,13 +141,13 @@ def dissimilarity_summary(spark, sf):
 
 @query("nmds")
 def nmds(spark, sf):
-    coords, stress = ordi.nmds(tv.community(spark, sf), starts=4, max_iter=12, seed=3)
-    return coords.withColumn("stress", F.lit(stress))
+    found = ordi.nmds(tv.community(spark, sf), starts=4, seed=3)
+    return found.coords.withColumns({"stress": F.lit(found.stress), "converged": F.lit(found.converged), "found_twice": F.lit(found.found_twice)})
 
 
 @query("nmds_by_region")
 def nmds_by_region(spark, sf):
-    return ordi.nmds_by(tv.community(spark, sf), tv.unit_env(spark, sf), "region", starts=2, max_iter=6, seed=3)
+    return ordi.nmds_by(tv.community(spark, sf), tv.unit_env(spark, sf), "region", starts=4, seed=3)
 
 
 @query("taxon_scores", f"""WITH {tv.COMMUNITY_SQL}, {tv.COORDS_SQL}
