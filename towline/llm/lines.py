@@ -7,7 +7,7 @@ on the input. Lines without words stay.
 Words are ordered by rarity, the same order for all lines. Words of a prefix alone would meet in lists that grow with the
 corpus, so a prefix holds pairs of neighbours in that order. If linked sets of n and m words share T, each word that one
 of them has alone breaks at most two pairs of the one and one of the other, at most 0.4 n of n's pairs in all: of its first
-0.4 n + 1 pairs one is whole, and the first whole pair is the same for both. Size and position filters go with each
+0.4 n + 1 pairs one is whole, and the first whole pair is the same for both. Prefixes hold two pairs more, so three must be shared. Size and position filters go with each
 pair, and what remains is verified on the whole sets. Lines are met in rounds: first with one line of each list, the
 most frequent and then the earliest; only lines not yet removed meet all earlier ones.
 """
@@ -25,6 +25,7 @@ from .winnow import _row_keys
 SLOTS = 1 << 15  # counters of the frequency sketch that ranks words; any common ranking gives the same result
 LAST = (1 << 63) - 1
 _HASH_BITS = 58
+SPARE = 2  # pairs of a prefix beyond those that guarantee a shared one; so many more must be shared then
 
 
 def _parts(text: Column) -> Column:
@@ -51,11 +52,26 @@ def _tokens(line: str, levels: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, _slot(h)), _HASH_BITS) + F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
 
+def _broken(n: Column) -> Column:
+    """The most of its pairs that a set of n words can lack in a linked one."""
+    return F.floor(0.4 * n).cast("int")
+
+
+def _kept(n: Column) -> Column:
+    """How many pairs the prefix of a set holds; sets of fewer than four words are linked with equal ones only, by one key."""
+    return F.when(n >= 4, F.least(n - 1, _broken(n) + 1 + SPARE)).otherwise(1)
+
+
+def _least_keys(n: Column) -> Column:
+    """How many keys a set must share with a linked one: of each prefix, these are whole, and the same ones."""
+    return F.when(n >= 4, _kept(n) - _broken(n)).otherwise(1)
+
+
 def _keyed(lines: DataFrame, *columns: str) -> DataFrame:
-    """`columns`, n, and key and at of each pair of the prefix of the tokens `t`; of fewer than four words, their set is the only key."""
-    kept = F.least(F.size("t") - 1, F.floor(0.4 * F.size("t")).cast("int") + 1)
-    pairs = F.transform(F.slice("t", 1, kept), lambda x, i: F.xxhash64(x, F.get("t", i + 1)))
-    return lines.select(*columns, F.size("t").alias("n"), F.posexplode(F.when(F.size("t") >= 4, pairs).otherwise(F.array(F.xxhash64("t")))).alias("at", "key"))
+    """`columns`, n, and key and at of each pair of the prefix of the tokens `t`."""
+    n = F.size("t")
+    pairs = F.transform(F.slice("t", 1, _kept(n)), lambda x, i: F.xxhash64(x, F.get("t", i + 1)))
+    return lines.select(*columns, n.alias("n"), F.posexplode(F.when(n >= 4, pairs).otherwise(F.array(F.xxhash64("t")))).alias("at", "key"))
 
 
 def _can_match(n: Column, at: Column, m: Column, other: Column) -> Column:
@@ -76,20 +92,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     x, y = postings.alias("x"), postings.alias("y")
     matches = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") != F.col("y.line")) & _can_match(
         F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    live = cut(x.join(y.hint("merge"), matches, "left_semi").select("line").distinct())
+    # A line that others have too has each of its keys once for each of them.
+    shared = x.join(y.hint("merge"), matches, "left_semi").select("line", "n", "at").distinct().groupBy("line", "n").count()
+    live = cut(shared.filter(F.col("count") >= _least_keys(F.col("n"))).select("line").distinct())
 
     split = docs.select("doc_id", *_row_keys(), F.posexplode(F.split("text", "\n")).alias("number", "words")).filter(_has_words("words"))
     place = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), "__a", "__b", "number")
     lines = cut(split.select(F.xxhash64("words").alias("line"), place.alias("place")))
     first = cut(lines.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")))
 
-    # Words of the lines that may match another, from the documents that hold them first.
-    chosen = first.join(bounded(live, 16), "line")
-    where = chosen.groupBy(F.col("first.__a").alias("__a"), F.col("first.__b").alias("__b")).agg(F.collect_list(F.struct("first.number", "line", "times", "first.id")).alias("wanted"))
-    where = bounded(cut(where), 64 + 64 * F.size("wanted"))
-    held = docs.select(*_row_keys(), F.split("text", "\n").alias("all")).join(where, ["__a", "__b"]).select("all", F.explode("wanted").alias("w"))
-    held = held.select("w.line", "w.times", "w.id", F.get("all", F.col("w.number")).alias("words"))
-    sets = cut(held.select("line", "times", "id", _tokens("words", levels).alias("t")))
+    # Words of the lines that may match another. Copies of a line in one task are one row before the shuffle.
+    held = every.select(F.xxhash64("words").alias("line"), "words").join(bounded(live, 16), "line", "left_semi").groupBy("line").agg(F.min("words").alias("words"))
+    known = held.join(first.select("line", "times", F.col("first.id").alias("id")), "line")
+    sets = cut(known.select("line", "times", "id", _tokens("words", levels).alias("t")))
     gone = _matched(sets, first)
 
     copies = lines.join(first.filter("times > 1").select("line", "first"), "line").filter(F.col("place") != F.col("first")).select("place")
@@ -100,7 +115,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def _matched(sets: DataFrame, first: DataFrame) -> DataFrame:
     """The lines of `sets` that have an earlier match."""
-    listed = cut(_keyed(sets.dropDuplicates(["line"]), "line", "times", "id"))
+    listed = cut(_keyed(sets, "line", "times", "id"))
     gone, met = None, None
     for head in (F.struct(-F.col("times"), "id", "line"), F.struct("id", "line"), None):
         later = (listed if gone is None else listed.join(gone, "line", "left_anti")).select("key", "line", "id", "n", "at")
@@ -111,7 +126,10 @@ def _matched(sets: DataFrame, first: DataFrame) -> DataFrame:
         # Ids bound the order, lines of one document are told apart below.
         both = later.join(earlier, "key").filter((F.col("h.id") <= F.col("id")) & (F.col("h.line") != F.col("line")) & _can_match(
             F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at")))
-        pairs = both.select("line", F.col("h.line").alias("other")).distinct()
+        pairs = both.groupBy("line", F.col("h.line").alias("other")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least(_least_keys(F.col("n")), _least_keys(F.col("h.n")))).alias("r"))
+        if head is None:
+            pairs = pairs.filter("c >= r")
+        pairs = pairs.select("line", "other")
         pairs = cut(pairs if met is None else pairs.join(met, ["line", "other"], "left_anti"))
         met = pairs if met is None else met.union(pairs)
         left, right = sets.select("line", "t"), sets.select(F.col("line").alias("other"), F.col("t").alias("u"))
