@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from towline.llm import factors, jaccard, lines, outliers, packing, quality, toxicity, warc, winnow
 from towline.llm.components import components
 from towline.llm.langid import predict_languages
+from towline.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,6 +279,17 @@ def test_packing(spark, docs, texts):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def test_packing_parts_near_copies(spark, tmp_path):
+    rng = random.Random(8)
+    base = prose(rng, 80, 4000)
+    rows = [(0, base, "a"), (1, base.replace(base.split()[40], "changed"), "b"), (2, "ÜNÏ cödé " * 3, "c"), (3, "\n\tünï CÖDÉ " * 3 + "\n", "d"), (4, prose(rng, 80, 4000), "e")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = {r["doc_id"]: (r["shard"], r["bin"]) for r in QUERIES["op3_conflict_packing"](spark, str(tmp_path)).collect()}
+    assert len(own) == 5 and own[0] != own[1] and own[2] != own[3]
+    plain = {r["doc_id"]: (r["shard"], r["bin"]) for r in packing.packed(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert plain[2] != plain[3]
+
+
 def test_packing_is_best_fit():
     import numpy as np
     import pandas as pd

@@ -274,27 +274,36 @@ def _mixed(short: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "shingle")
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of `docs`.
+def clusters(docs: DataFrame, keep: list[str], least: str | Column) -> DataFrame:
+    """`keep`, n_shingles, cluster and least for each row of `docs`.
 
-    Documents without words are linked with nothing and their component is their own doc_id. Rows with equal sets are
-    linked, so repeated rows share a component. A NULL doc_id is never the least of a component; a component of NULL ids
-    only has a NULL id. Other columns are not read. An empty table gives an empty result.
+    `cluster` is a number that linked rows share, and `least` the least value of that expression of `keep` among them. Both are NULL
+    for rows that are linked with no other, as those without words are. Rows with equal sets are linked.
     """
 
     def sizes(data, offsets):
         sets = shingle_sets(data, offsets)
         return [np.array([len(s) for s in sets], np.int64), np.array([set_id(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)]
 
-    own = cut(map_texts(docs, ["doc_id"], sizes, "n_shingles bigint, set_id bigint").withColumn("set_id", F.when(F.col("n_shingles") > 0, F.col("set_id"))))
-    classes = own.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    own = cut(map_texts(docs, keep, sizes, "n_shingles bigint, set_id bigint").withColumn("set_id", F.when(F.col("n_shingles") > 0, F.col("set_id"))))
+    classes = own.filter("set_id is not null").groupBy("set_id").agg(F.min(least).alias("__least"))
     roots = linked_sets(docs, own.agg(F.sum("n_shingles")).first()[0] or 0)
     named = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = cut(named)
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("__classes"))
+    groups = named.groupBy("root").agg(F.min("__least").alias("least"), F.count(F.lit(1)).alias("__classes"))
     # Only classes with several documents or links need a look-up; the others name themselves.
     many = own.filter("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("__rows"))
-    look = named.join(groups, "root").join(many, "set_id").filter("__rows > 1 or __classes > 1").select("set_id", "component_id", F.lit(True).alias("__named"))
-    look = bounded(cut(look), 24)
-    component = F.when(F.col("__named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    return own.join(look, "set_id", "left").select("doc_id", "n_shingles", component)
+    look = named.join(groups, "root").join(many, "set_id").filter("__rows > 1 or __classes > 1").select("set_id", F.col("root").alias("cluster"), "least")
+    look = bounded(cut(look), 40)
+    return own.join(look, "set_id", "left").select(*keep, "n_shingles", "cluster", "least")
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of `docs`.
+
+    Documents without words are linked with nothing and their component is their own doc_id. Rows with equal sets are
+    linked, so repeated rows share a component. A NULL doc_id is never the least of a component; a component of NULL ids
+    only has a NULL id. Other columns are not read. An empty table gives an empty result.
+    """
+    component = F.when(F.col("cluster").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+    return clusters(docs, ["doc_id"], "doc_id").select("doc_id", "n_shingles", component)

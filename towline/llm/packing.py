@@ -1,6 +1,7 @@
 """Best-fit packing with conflicts: pieces of documents into bins of a fixed number of words.
 
-Two pieces may not share a bin if they are of the same source or of the same duplicate cluster. Pieces are dealt into
+Two pieces may not share a bin if they are of the same source or of the same duplicate cluster, which is one of near copies as `jaccard`
+links them, or of equal texts only where the near copies are known to be gone. Pieces are dealt into
 shards of bounded size by a hash of their document, so that a hot source or a large cluster spreads over all shards,
 and each shard is packed by itself: bins are kept ordered by residual capacity with bitmaps of their sources and clusters, a piece is
 offered to the bin of the least sufficient residual, and the search goes on to the successors until a bin without
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from towline.session import cut
 
+from .jaccard import clusters
+
 CAPACITY = 2048  # words
 SHARD_PIECES = 20_000
 _SCAN = 256  # bins looked at together
@@ -80,34 +83,37 @@ def pack(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     f = pieces.sort_values(["n_tokens", "doc_id", "__row", "piece"], ascending=[False, True, True, True], na_position="last").reset_index(drop=True)
     source = f["source"].where(f["source"].notna(), None)
     source = pd.factorize(source.fillna("\0none"))[0]
-    cluster, n_clusters = np.full(len(f), -1), 0
-    repeated = f["__cluster"].duplicated(keep=False) & f["__cluster"].notna()
-    if repeated.any():
-        cluster[repeated.to_numpy()], names = pd.factorize(f.loc[repeated, "__cluster"])
-        n_clusters = len(names)
-    n_sources = int(source.max(initial=-1)) + 1
-    bins = Bins(capacity, n_sources + n_clusters)
-    placed = [
-        bins.place(int(n), [int(s)] + ([n_sources + int(c)] if c >= 0 else [])) for n, s, c in zip(f["n_tokens"], source, cluster)
-    ]
+    own, n_bits = [[int(s)] for s in source], int(source.max(initial=-1)) + 1
+    for column in f.columns.intersection(["__cluster", "__folded"]):
+        repeated = f[column].duplicated(keep=False) & f[column].notna()
+        if repeated.any():
+            codes, names = pd.factorize(f.loc[repeated, column])
+            for at, code in zip(np.flatnonzero(repeated), codes):
+                own[at].append(n_bits + int(code))
+            n_bits += len(names)
+    bins = Bins(capacity, n_bits)
+    placed = [bins.place(int(n), bits) for n, bits in zip(f["n_tokens"], own)]
     f["__bin"], f["start"] = [p[0] for p in placed], [p[1] for p in placed]
     return f
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, cluster: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, cluster: str | None = None, near: bool = False) -> DataFrame:
     """(doc_id, piece, n_tokens, source, shard, bin, start): each piece, its bin within its shard, and where it starts there.
 
     A text is cut into pieces of `capacity` words, the last one shorter; words are runs without ASCII white space. A NULL,
     empty or blank text is one piece of no words, which takes no room but still conflicts. Duplicate clusters are column
-    `cluster`, or equal texts up to case and white space. NULL sources are one source; NULL clusters conflict with nothing.
+    `cluster`, or equal texts up to case and white space; with `near`, documents that `jaccard.clusters` links conflict too. NULL sources are one source; NULL clusters conflict with nothing.
     Pieces of one document conflict with one another. Repeated rows are packed one by one. An empty table gives an empty
     result.
     """
-    folded = F.lower(F.regexp_replace(F.trim(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-    key = F.col(cluster).cast("string") if cluster else F.when(F.length(F.trim("text")) > 0, F.xxhash64(folded).cast("string"))
+    folded = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ")))
     n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    rows = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n.cast("bigint").alias("__n"), key.alias("__cluster"),
-                           F.xxhash64("doc_id", "text").alias("__row")))
+    key = F.col(cluster).cast("string") if cluster else F.when(n > 0, F.xxhash64(folded).cast("string"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n.cast("bigint").alias("__n"),
+                       key.alias("__folded" if near else "__cluster"), F.xxhash64("doc_id", "text").alias("__row"), "text")
+    kept = [c for c in rows.columns if c != "text"]
+    rows = cut(clusters(rows, kept, "__row").select(*kept, F.col("cluster").alias("__cluster")) if near else rows.select(*kept))
+    keys = [c for c in ("__cluster", "__folded") if c in rows.columns]
     last = F.greatest(F.ceil(F.col("__n") / capacity).cast("int") - 1, F.lit(0))
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.withColumn("n_tokens", F.least(F.col("__n") - F.col("piece") * capacity, F.lit(capacity)).cast("bigint"))
@@ -122,4 +128,4 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pack(frame, capacity).rename(columns={"__bin": "bin"})[columns]
 
-    return dealt.select("doc_id", "source", "__cluster", "__row", "piece", "n_tokens", "shard").groupBy("shard").applyInPandas(run, schema)
+    return dealt.select("doc_id", "source", *keys, "__row", "piece", "n_tokens", "shard").groupBy("shard").applyInPandas(run, schema)

@@ -81,7 +81,7 @@ def op10_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), near=True)
 
 
 @query
