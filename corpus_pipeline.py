@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from towline.llm.frames import bounded, table
-from towline.llm.jaccard import similar_documents
+from towline.llm.jaccard import clusters
 from towline.llm.lines import without_repeated_lines
 from towline.llm.packing import packed
 from towline.llm.quality import keep_good
@@ -28,17 +28,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of similar ones. Of several rows with that id the one with the least
-    text stays; rows without doc_id stay."""
-    groups = similar_documents(docs)
-    later = groups.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(bounded(cut(later), 16), F.col("doc_id") == F.col("__id"), "left_anti")
-    repeated = docs.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1 and __id is not null").select("__id")
-    repeated = bounded(cut(repeated), 16)
-    once = kept.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    first = kept.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-    return once.union(first)
+    """The first row of each group of similar ones: that with the least doc_id, NULL last, and then the least hash of its text.
+    Rows are judged one by one, so rows that share an id but no text stay. Rows without words are similar to none and stay."""
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    first = F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("__key") == F.col("least.key"))
+    rows = clusters(keyed, ["doc_id", "__key"], place).filter("cluster is not null")
+    rows = cut(rows.groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), first.alias("__first")).count())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))
+    kept = keyed.join(bounded(cut(rows.filter("not __first").select("__id", "__of")), 24), same, "left_anti")
+    # Rows with the id and text of the first one: the least of their other columns.
+    repeated = bounded(cut(rows.filter("__first and count > 1").select("__id", "__of")), 24)
+    once = kept.join(repeated, same, "left_anti").drop("__key")
+    again = kept.join(repeated, same, "left_semi").groupBy("doc_id", "__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.union(again.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

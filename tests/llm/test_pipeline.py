@@ -60,6 +60,16 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == {i for i, _ in rows[3]}
 
 
+def test_near_duplicates_by_row(spark):
+    text = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    near = text[0].replace("a20", "changed")
+    rows = [(1, text[0], "x"), (2, near, "x"), (2, text[1], "x"), (3, text[2], "x"), (3, text[3], "x"), (3, text[3], "y"), (3, text[3], "x"),
+            (None, text[2], "x"), (None, "n " + text[1], "x"), (None, "m1 m2 m3 m4 m5 m6", "x"), (None, "m1 m2 m3 m4 m5 m6", "x"), (None, None, "x"), (None, "", "x")]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), SF)
+    expected = [rows[0], rows[2], rows[3], rows[4], rows[9], rows[11], rows[12]]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in pipeline.STAGES:
