@@ -332,6 +332,13 @@ def test_warc(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_keeps_urls_apart(spark):
+    rows = [(None, "u", "none"), (None, "v", "none"), (None, None, "none"), (1, "a", "same"), (1, "b", "same"), (0, "c", "same"), (None, "d", "same"), (None, "e", "same")]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    expected = [(None, 4, "response", None)] * 3 + [(1, 4, "response", None)] * 2 + [(0, 4, "revisit", 1)] + [(None, 4, "revisit", 1)] * 2
+    same(got, expected, "page_id", "payload_bytes", "record_type", "refers_to")
+
+
 def test_transactions_follow_chains(spark):
     fields = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, payload_bytes long, fields string"
     rows = [("r", "response", None), ("q", "request", ["r"]), ("m", "metadata", ["q"]), ("m2", "metadata", ["m"]), ("lost", "request", ["gone"]), ("own", "metadata", None), ("s", "response", None)]

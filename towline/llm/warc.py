@@ -58,19 +58,22 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     Of captures with equal payloads of at least `least_bytes` bytes, the one with the largest page_id is a response and
     the others are revisits of it; smaller payloads are always responses. NULL html is an empty payload; a NULL url has no
     target. NULL page_ids are smaller than all others and never revisited unless all are NULL. Rows with the same
-    page_id and payload are one capture, whose record is written again.
+    page_id, url and payload are one capture, whose record is written again.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("body"), base32_sha1(payload.cast("binary")).alias("digest"))
     # Only payloads that recur: with the written size known, a small table is sent to all tasks and the pages are not shuffled.
     copies = rows.filter(F.octet_length("body") >= least_bytes).groupBy("digest").agg(
-        F.max("page_id").alias("keep"), F.min("page_id").alias("__min"), F.count("page_id").alias("__ids"), F.count(F.lit(1)).alias("__all"))
-    copies = cut(copies.filter("keep is not null and (keep <> __min or __ids < __all)").select("digest", "keep"))
-    rows = rows.join(bounded(copies, 80), "digest", "left")
+        F.max(F.struct("page_id", "url")).alias("__first"), F.min("page_id").alias("__min"), F.count("page_id").alias("__ids"), F.count(F.lit(1)).alias("__all"))
+    copies = copies.select("digest", F.col("__first.page_id").alias("keep"), F.col("__first.url").alias("keep_url"), "__min", "__ids", "__all")
+    copies = cut(copies.filter("keep is not null and (keep <> __min or __ids < __all)").select("digest", "keep", "keep_url"))
+    rows = rows.join(bounded(copies, F.lit(80) + F.coalesce(F.octet_length("keep_url"), F.lit(0))), "digest", "left")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
 
-    name = _record_id("response", F.col("page_id"), F.col("digest"))
-    original = _record_id("response", F.col("keep"), F.col("digest"))
+    # The url comes last and is marked, so that no two captures read alike.
+    own = [F.col("page_id"), F.col("digest"), F.concat(F.lit("url "), "url")]
+    name = _record_id("response", *own)
+    original = _record_id("response", F.col("keep"), F.col("digest"), F.concat(F.lit("url "), "keep_url"))
     size = F.octet_length("body").cast("string")
     target, when = _header("WARC-Target-URI", F.col("url")), _header("WARC-Date", F.lit(date))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), size, F.lit(_END + _END))
@@ -82,11 +85,11 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     ], http)
     beside = [target, when, _header("WARC-Concurrent-To", name)]
     request = _record("request", [
-        _header("WARC-Record-ID", _record_id("request", F.col("page_id"), F.col("digest"))), *beside,
+        _header("WARC-Record-ID", _record_id("request", *own)), *beside,
         _header("Content-Type", F.lit("application/http;msgtype=request")),
     ], F.concat(F.lit("GET "), F.regexp_replace(F.coalesce("url", F.lit("/")), r"[\x00-\x20\x7f]", "%20"), F.lit(f" HTTP/1.1{_END}{_END}")))
     metadata = _record("metadata", [
-        _header("WARC-Record-ID", _record_id("metadata", F.col("page_id"), F.col("digest"))), *beside, _header("Content-Type", F.lit("application/warc-fields")),
+        _header("WARC-Record-ID", _record_id("metadata", *own)), *beside, _header("Content-Type", F.lit("application/warc-fields")),
     ], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_END)))
     records = rows.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
     # Files are read whole, so their sizes are bounded by rows of mean size; one huge record is a file of its own at most.
