@@ -182,6 +182,19 @@ def test_no_group_variance_gives_least_squares(spark):
     assert abs(fit.fit.intercept) < 1e-12
 
 
+def test_random_intercept_with_groups_far_apart(spark):
+    rng = np.random.default_rng(6)
+    means, noise = rng.normal(0, 1000.0, 8), rng.normal(0, 0.5, (8, 5))
+    y = means[:, None] + noise
+    df = spark.createDataFrame([(f"g{g}", float(v)) for g in range(8) for v in y[g]], "g string, y double")
+    fit = reg.lmm_intercept(df, "y", [], "g")
+    # Balanced groups have a closed form.
+    inner, outer = y.var(1, ddof=1).mean(), y.mean(1).var(ddof=1)
+    assert fit.converged
+    assert abs(fit.sigma2 / inner - 1) < 1e-5
+    assert abs(fit.group_variance / (outer - inner / 5) - 1) < 1e-5
+
+
 @pytest.fixture(scope="module")
 def long(spark):
     rng = np.random.default_rng(4)

@@ -369,6 +369,10 @@ def glm_negbin(df: DataFrame, y, terms: Sequence, max_iter: int = 60, tolerance:
 # ---------------------------------------------------------------- random intercept
 
 
+# Logarithms of the variance ratios between which double precision tells one from another; a fit at the largest has not converged.
+SMALLEST, LARGEST = -36.0, 24.0
+
+
 @dataclass
 class MixedFit:
     fit: Fit
@@ -376,6 +380,7 @@ class MixedFit:
     group_variance: float
     n_groups: int
     criterion: float
+    converged: bool
 
     def table(self, spark) -> DataFrame:
         """Fixed effects, then the two variances."""
@@ -384,12 +389,14 @@ class MixedFit:
         return self.fit.table(spark).unionByName(spark.createDataFrame(rows, _TABLE))
 
 
-def lmm_intercept(df: DataFrame, y, terms: Sequence, group: str, points: int = 16, rounds: int = 7) -> MixedFit:
+def lmm_intercept(df: DataFrame, y, terms: Sequence, group: str, points: int = 16, rounds: int = 40,
+                  tolerance: float = 1e-7) -> MixedFit:
     """Linear model with a random intercept per group, fitted by restricted likelihood.
 
     A group enters only through its size and its sums of x and y. For a variance ratio the restricted
     likelihood needs one weighted Gram matrix over the groups, and a whole grid of ratios is one pass;
-    the grid closes in on the best ratio. Groups stay in Spark, however many there are.
+    the grid moves on while the best ratio is at its edge, then closes in on it until neighbouring ratios differ by less than
+    `tolerance`; `converged` says whether that was reached within `rounds`. Groups stay in Spark, however many there are.
     """
     frame, spec, dropped = model_frame(df.filter(F.col(group).isNotNull()), y, terms, keep=[group])
     y_anchor = frame.agg(F.avg("__y")).first()[0] or 0.0
@@ -406,16 +413,22 @@ def lmm_intercept(df: DataFrame, y, terms: Sequence, group: str, points: int = 1
     total = matrix[np.ix_(used, used)]
     n, p = base.n, len(chosen)
 
+    within = total - gram(groups, [F.col(f"s{k}") / F.sqrt("s0") for k in range(width)])[()]
+    # Columns that are constant in every group have only rounding there.
+    constant = np.diag(within) <= 1e-12 * np.diag(total)
+    within[constant, :], within[:, constant] = 0.0, 0.0
+
     def evaluate(ratios: list[float]) -> dict[float, tuple]:
         number = F.explode(F.array([F.struct(F.lit(i).alias("i"), F.lit(v).alias("ratio")) for i, v in enumerate(ratios)]))
         grid = groups.withColumn("g", number).withColumns({"i": F.col("g.i"), "ratio": F.col("g.ratio")})
-        shrink = F.sqrt(F.col("ratio") / (1 + F.col("ratio") * F.col("s0")))
+        # What a group's means keep; with the squares within groups this stays exact where ratios are large.
+        shrink = F.sqrt(1 / (F.col("s0") * (1 + F.col("ratio") * F.col("s0"))))
         # The square of the last column sums to the log determinant, so one pass gives both.
         determinant = F.sqrt(F.log1p(F.col("ratio") * F.col("s0")))
         pulled = gram(grid, [*[shrink * F.col(f"s{k}") for k in range(width)], determinant], by=["i"])
         found = {}
         for i, ratio in enumerate(ratios):
-            v = total - pulled[(i,)][:width, :width]
+            v = within + pulled[(i,)][:width, :width]
             xx, xy, yy = v[:p, :p], v[:p, p], v[p, p]
             chol = np.linalg.cholesky(xx)
             loading = np.linalg.solve(chol, xy)
@@ -427,14 +440,24 @@ def lmm_intercept(df: DataFrame, y, terms: Sequence, group: str, points: int = 1
 
     low, high = -12.0, 8.0
     best_ratio, best = 0.0, evaluate([0.0])[0.0]
+    converged = False
     for _ in range(rounds):
         places = np.linspace(low, high, points)
         found = evaluate([float(math.exp(v)) for v in places])
         order = sorted(found, key=lambda ratio: found[ratio][0])
-        if found[order[0]][0] < best[0]:
+        if found[order[0]][0] < best[0] - (1e-12 * abs(best[0]) if best_ratio == 0 else 0):
             best_ratio, best = order[0], found[order[0]]
         at, gap = math.log(order[0]), (high - low) / (points - 1)
-        low, high = at - gap, at + gap
+        # Only while places are far apart: close to the optimum rounding decides which is best.
+        if gap > 1 and high - at < gap / 2 and at < LARGEST:
+            low, high = at - gap, min(at - gap + 20, LARGEST)
+        elif gap > 1 and at - low < gap / 2 and at > SMALLEST:
+            low, high = at + gap - 20, at + gap
+        elif gap < tolerance:
+            converged = at < LARGEST - 1e-3
+            break
+        else:
+            low, high = at - gap, min(at + gap, LARGEST)
     criterion, sigma2, beta, inverse = best
     anchors = np.array([spec.columns[k].anchor for k in base.kept])
     # The design was shifted by its anchors: undo that in the intercept and its covariance.
@@ -443,4 +466,4 @@ def lmm_intercept(df: DataFrame, y, terms: Sequence, group: str, points: int = 1
     beta, covariance = back @ beta, back @ inverse @ back.T
     fit = Fit(spec, base.kept, beta[1:], float(beta[0] + y_anchor), covariance[1:, 1:], base.means, n, dropped, sigma2,
               base.df_residual, None, base.extra | {"covariance": covariance * sigma2})
-    return MixedFit(fit, float(sigma2), float(best_ratio * sigma2), n_groups, float(criterion))
+    return MixedFit(fit, float(sigma2), float(best_ratio * sigma2), n_groups, float(criterion), converged)
