@@ -1,4 +1,7 @@
-"""Substring dedup: relative Lempel-Ziv factors of documents against indexed reference blocks.
+"""Substring dedup: repeated 20-word phrases of documents, looked up in indexed reference blocks.
+
+This is a phrase look-up in place of relative Lempel-Ziv parsing: a factor below is a run of phrases that each start earlier somewhere, maybe
+in different documents; its reference position and length are not known. The result needs only the bits.
 
 The reference of a document is all text that starts earlier. It is indexed as phrases of 20 words: phrases are dealt
 into blocks by hash, and a block keeps, sorted, the first document that each of its phrases starts in. A document's
