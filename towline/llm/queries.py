@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .frames import table
@@ -12,7 +13,8 @@ from .frames import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_warc_transactions": oracles.WARC, "op4_winnowing": oracles.WINNOW, "op8_lempel_ziv_factors": oracles.FACTORS,
-    "op9_divide_skip_join": oracles.SIMILAR,
+    "op9_divide_skip_join": oracles.SIMILAR, "op11_periodic_runs": oracles.RUNS, "op12_vantage_points": oracles.NEAREST,
+    "op13_hard_negatives": oracles.NEGATIVES,
 }
 
 
@@ -89,3 +91,30 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(spark, table(spark, sf_dir, "pages")).drop("capture_id")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs(docs, planted=F.crc32(F.col("doc_id").cast("string").cast("binary"))).drop("n_words")
+
+
+@query
+def op12_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), factor=1.0)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+    from .vectors import finite
+
+    vectors = table(spark, sf_dir, "embeddings").filter(finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
