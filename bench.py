@@ -18,6 +18,7 @@ HEADLINES = [
     "balanced_strata", "biomass", "describe_table", "bray_curtis_pairs", "permanova_oneway", "permanova_permutations",
     "simper", "linear_model", "poisson_model", "taxa_regression", "cross_prediction", "scale_reduction",
     "effective_sample_size", "negative_binomial_model", "random_intercept_model", "taxon_association", "long_term_permanova",
+    "nmds", "nmds_by_region",
 ]
 
 

@@ -158,31 +158,6 @@ def test_simper_has_every_taxon_for_every_pair_of_groups(spark):
     assert {r["average"] for r in rows if (r["g1"], r["g2"], r["taxon"]) == ("a", "b", "t2")} == {0.0}
 
 
-def test_monotone_fit():
-    values = np.array([1.0, 3.0, 2.0, 2.0, 5.0, 4.0])
-    assert np.allclose(ordi._pooled(values, np.ones(6)), [1, 7 / 3, 7 / 3, 7 / 3, 4.5, 4.5])
-    assert np.allclose(ordi._pooled(np.array([2.0, 1.0]), np.array([3.0, 1.0])), [1.75, 1.75])
-
-
-def test_ordination_lowers_stress_and_recovers_a_gradient(spark):
-    rng = np.random.default_rng(2)
-    place = np.sort(rng.random(24))
-    cells = [(i, f"t{k}", float(np.exp(-((place[i] - k / 8) ** 2) * 12) * 100)) for i in range(24) for k in range(9)]
-    long = spark.createDataFrame(cells, "unit long, taxon string, x double")
-    early = ordi.nmds(long, starts=2, max_iter=2, seed=1, transform=False)
-    assert not early.converged and early.iterations == 2
-    early = early.stress
-    coords, late = ordi.nmds(long, starts=2, max_iter=8, seed=1, transform=False)[:2]
-    assert late <= early + 1e-9
-    table = {r["unit"]: (r["axis1"], r["axis2"]) for r in coords.collect()}
-    xy = np.array([table[i] for i in range(24)])
-    assert np.allclose(xy.mean(0), 0, atol=1e-9) and xy[:, 0].var() >= xy[:, 1].var()
-    d = np.array([matrix(np.array([[c[2] for c in cells if c[0] == i] for i in range(24)]))]).squeeze()
-    e = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
-    upper = np.triu_indices(24, 1)
-    assert np.corrcoef(d[upper], e[upper])[0, 1] > 0.7
-
-
 def test_tables_on_an_ordination(spark, rows):
     coords = spark.createDataFrame([("a", 0.0, 0.0), ("b", 2.0, 0.0), ("c", 0.0, 2.0)], "unit string, axis1 double, axis2 double")
     groups = spark.createDataFrame([("a", "g"), ("b", "g"), ("c", "h")], "unit string, group string")

@@ -1,28 +1,14 @@
-"""Non-metric ordination, and the tables drawn on top of an ordination."""
+"""Tables drawn on top of an ordination."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from typing import NamedTuple
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut
-from .blocks import Community, Tile, block_tiles, blocks_of, community, map_tiles
-from .dissimilarity import wisconsin
-
-TIE_STEPS = 10000
-LANDMARKS = 128
-
-
-# ---------------------------------------------------------------- tables on an ordination
 
 
 def taxon_scores(coords: DataFrame, long: DataFrame, axes: Sequence[str] = ("axis1", "axis2"),
@@ -77,256 +63,3 @@ def surface_grid(coords: DataFrame, env: DataFrame, col: str, nx: int = 10, ny:
     return joined.groupBy(cell(a, nx).alias("gx"), cell(b, ny).alias("gy")).agg(
         F.avg(col).alias("mean"), F.count(F.lit(1)).alias("n")
     )
-
-
-# ---------------------------------------------------------------- non-metric scaling
-
-
-def _pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Non-decreasing weighted least-squares fit (pool adjacent violators)."""
-    level, mass, size = [], [], []
-    for v, w in zip(values.tolist(), weights.tolist()):
-        level.append(v)
-        mass.append(w)
-        size.append(1)
-        while len(level) > 1 and level[-2] > level[-1]:
-            w_sum = mass[-2] + mass[-1]
-            level[-2] = (level[-2] * mass[-2] + level[-1] * mass[-1]) / w_sum
-            mass[-2] = w_sum
-            size[-2] += size[-1]
-            del level[-1], mass[-1], size[-1]
-    return np.repeat(level, size)
-
-
-def _distances(tile_a: np.ndarray, tile_b: np.ndarray) -> np.ndarray:
-    """Euclidean distances for every start: (starts, len a, len b)."""
-    return np.sqrt(((tile_a[:, :, None, :] - tile_b[:, None, :, :]) ** 2).sum(-1))
-
-
-class Ordination(NamedTuple):
-    """Coordinates of the best start and its stress; whether every start came to rest within the rounds allowed, how many rounds were
-    made, and whether a second start reached the best stress too."""
-
-    coords: DataFrame
-    stress: float
-    converged: bool
-    iterations: int
-    found_twice: bool
-
-
-def nmds(long: DataFrame | Community, k: int = 2, starts: int = 4, max_iter: int = 300, seed: int = 1,
-         tolerance: float = 1e-4, unit: str = "unit", taxon: str = "taxon", x: str = "x",
-         transform: bool = True) -> Ordination:
-    """Non-metric multidimensional scaling of Bray-Curtis dissimilarity.
-
-    Dissimilarities are computed once per tile and kept as a written table of tiles. A round is two
-    passes over it: mean configuration distance per step of dissimilarity, whose monotone fit has at
-    most TIE_STEPS + 1 points, and the majorising move of every unit (De Leeuw 1977) towards it. All
-    starts move together, and the best is kept, rotated to its principal axes. Dissimilarities
-    that agree to four decimals count as ties, and ties stay ties in the fit. With `transform`, abundances
-    are first square-rooted and doubly standardised, as ordination of community data usually is.
-    """
-    if isinstance(long, Community):
-        com = long
-    else:
-        table = wisconsin(long, unit, taxon, x) if transform else long
-        com = community(table, unit, taxon, x)
-    spark = com.profiles.sparkSession
-    n = com.n_units
-    packed, n_blocks = blocks_of(com)
-    blocks = cut(packed)
-
-    def steps(tiles: Iterator[Tile]):
-        for tile in tiles:
-            level = np.full((len(tile.a), len(tile.b)), -1, dtype=np.int32)
-            for rows, mask in tile.strips():
-                level[rows] = np.where(mask, np.rint(tile.dissimilarity(rows) * TIE_STEPS), -1)
-            yield {"bi": [tile.row.bi], "bj": [tile.row.bj], "na": [len(tile.a)], "nb": [len(tile.b)],
-                   "level": [level.tobytes()]}
-
-    tiles = cut(map_tiles(block_tiles(blocks, n_blocks), steps, "bi int, bj int, na int, nb int, level binary"))
-
-    # The first start is classical scaling by landmarks (de Silva and Tenenbaum 2004): the units of one
-    # block, a bounded number, are scaled exactly and all others are placed by them.
-    shape = "block int, size int, xy binary"
-    first = blocks.agg(F.min("block")).first()[0]
-    own = tiles.filter((F.col("bi") == first) & (F.col("bj") == first)).first()
-    squared = np.frombuffer(own["level"], dtype=np.int32).reshape(own["na"], own["nb"]).astype(float)
-    squared = (np.maximum(np.maximum(squared, squared.T), 0.0) / TIE_STEPS)[:LANDMARKS, :LANDMARKS] ** 2
-    centre = np.eye(len(squared)) - 1.0 / len(squared)
-    values, vectors = np.linalg.eigh(-centre @ squared @ centre / 2)
-    usable = len(squared) > k and values[-k] > 1e-12
-    inverse = vectors[:, ::-1][:, :k] / np.sqrt(np.maximum(values[::-1][:k], 1e-12))
-    mean_squared = squared.mean(0)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                level = np.frombuffer(row.level, dtype=np.int32).reshape(row.na, row.nb).astype(float)
-                if row.bj == first:
-                    level = np.maximum(np.maximum(level, level.T), 0.0)
-                start = np.empty((starts, row.nb, k))
-                for s in range(starts):
-                    start[s] = np.random.default_rng([seed, s, row.bj]).standard_normal((row.nb, k))
-                if usable:
-                    # A trace of the random start keeps identical units apart.
-                    start[0] *= 1e-3
-                    start[0] += (mean_squared[:, None] - (level[:LANDMARKS] / TIE_STEPS) ** 2).T @ inverse / 2
-                yield pd.DataFrame({"block": [row.bj], "size": [row.nb], "xy": [start.tobytes()]})
-
-    where = cut(tiles.filter(F.col("bi") == first).mapInPandas(place, shape))
-
-    def with_coordinates(where: DataFrame) -> DataFrame:
-        left = where.select(F.col("block").alias("bi"), F.col("xy").alias("xy_a"))
-        right = where.select(F.col("block").alias("bj"), F.col("xy").alias("xy_b"))
-        return tiles.join(left, "bi").join(right, "bj")
-
-    def unpacked(row):
-        level = np.frombuffer(row.level, dtype=np.int32).reshape(row.na, row.nb)
-        a = np.frombuffer(row.xy_a).reshape(starts, row.na, k)
-        b = np.frombuffer(row.xy_b).reshape(starts, row.nb, k)
-        return level, a, b
-
-    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((3, starts, TIE_STEPS + 1))
-        seen = False
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                seen = True
-                level, a, b = unpacked(row)
-                mask = level >= 0
-                at = level[mask]
-                d = _distances(a, b)
-                for s in range(starts):
-                    ds = d[s][mask]
-                    sums[0, s] += np.bincount(at, minlength=TIE_STEPS + 1)
-                    sums[1, s] += np.bincount(at, ds, TIE_STEPS + 1)
-                    sums[2, s] += np.bincount(at, ds * ds, TIE_STEPS + 1)
-        if seen:
-            s_at, l_at = np.nonzero(sums[0])
-            yield pd.DataFrame({"s": s_at, "level": l_at, "n": sums[0][s_at, l_at], "d": sums[1][s_at, l_at],
-                                "d2": sums[2][s_at, l_at]})
-
-    def fitted(where: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Monotone fit per start and step, and the stress of each start."""
-        rows = (
-            with_coordinates(where).mapInPandas(profile, "s int, level int, n double, d double, d2 double")
-            .groupBy("s", "level").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("d2").alias("d2")).collect()
-        )
-        fit, stress = np.zeros((starts, TIE_STEPS + 1)), np.zeros(starts)
-        for s in range(starts):
-            mine = sorted((r for r in rows if r["s"] == s), key=lambda r: r["level"])
-            weight = np.array([r["n"] for r in mine])
-            mean = np.array([r["d"] for r in mine]) / weight
-            square = np.array([r["d2"] for r in mine]).sum()
-            hat = _pooled(mean, weight)
-            fit[s, [r["level"] for r in mine]] = hat
-            # Within a step the fit is one value, so the spread around the step's mean counts as misfit.
-            misfit = square - (weight * mean**2).sum() + (weight * (mean - hat) ** 2).sum()
-            stress[s] = math.sqrt(misfit / square) if square > 0 else 0.0
-            # Targets keep the size of the configuration, which would otherwise shrink round by round.
-            norm = (weight * hat**2).sum()
-            fit[s] *= math.sqrt(square / norm) if norm > 0 else 1.0
-        return fit, stress
-
-    def mover(fit: np.ndarray):
-        def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            totals: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    level, a, b = unpacked(row)
-                    d = _distances(a, b)
-                    mask = (level >= 0)[None] & (d > 1e-12)
-                    ratio = np.where(mask, fit[:, np.maximum(level, 0)] / np.where(mask, d, 1.0), 0.0)
-                    # Sum over partners of ratio * (x_i - x_j), for both ends of every pair.
-                    for_a = ratio.sum(2)[:, :, None] * a - ratio @ b
-                    for_b = ratio.sum(1)[:, :, None] * b - ratio.transpose(0, 2, 1) @ a
-                    for block, part in ((row.bi, for_a), (row.bj, for_b)):
-                        totals[block] = totals[block] + part if block in totals else part
-            for block, total in totals.items():
-                flat = total.ravel()
-                yield pd.DataFrame({"block": np.full(len(flat), block), "at": np.arange(len(flat)), "g": flat / n})
-
-        return move
-
-    def repack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield pd.DataFrame({"block": [row.block], "size": [len(row.g) // (starts * k)],
-                                    "xy": [np.asarray(row.g, dtype=float).tobytes()]})
-
-    best, converged, iterations = None, False, 0
-    for iterations in range(max_iter):
-        fit, stress = fitted(where)
-        if best is not None and np.all(best - stress < tolerance * np.maximum(best, 1e-12)):
-            converged = True
-            break
-        best = stress
-        moved = with_coordinates(where).mapInPandas(mover(fit), "block int, at int, g double")
-        packed_again = (
-            moved.groupBy("block", "at").agg(F.sum("g").alias("g")).groupBy("block")
-            .agg(F.sort_array(F.collect_list(F.struct("at", "g"))).alias("c"))
-            .select("block", F.col("c.g").alias("g"))
-        )
-        where = cut(packed_again.mapInPandas(repack, shape))
-    else:
-        _, stress = fitted(where)
-        iterations = max_iter
-    chosen = int(np.argmin(stress))
-    found_twice = int(np.sum(stress <= stress[chosen] * 1.005 + 1e-9)) > 1
-
-    def release(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                xy = np.frombuffer(row.xy).reshape(starts, len(row.units), k)[chosen]
-                yield pd.DataFrame({"unit": row.units, **{f"axis{j + 1}": xy[:, j] for j in range(k)}})
-
-    fields = [T.StructField("unit", com.unit_type()), *[T.StructField(f"axis{j + 1}", T.DoubleType()) for j in range(k)]]
-    raw = blocks.select("block", "units").join(where.select("block", "xy"), "block").mapInPandas(release, T.StructType(fields))
-    return Ordination(principal_axes(raw, k), float(stress[chosen]), converged, iterations, found_twice)
-
-
-def principal_axes(coords: DataFrame, k: int) -> DataFrame:
-    """Centre coordinates, rotate them to their principal axes and fix the signs by the third moment."""
-    names = [f"axis{j + 1}" for j in range(k)]
-    moments = coords.agg(
-        *[F.avg(a).alias(f"m{i}") for i, a in enumerate(names)],
-        *[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)],
-    ).first()
-    mean = np.array([moments[f"m{i}"] for i in range(k)])
-    _, vectors = np.linalg.eigh(np.array([[moments[f"c{i}_{j}"] for j in range(k)] for i in range(k)]))
-    vectors = vectors[:, ::-1]
-
-    def rotated(signs):
-        parts = []
-        for j in range(k):
-            axis = F.lit(0.0)
-            for i, a in enumerate(names):
-                axis = axis + (F.col(a) - F.lit(float(mean[i]))) * F.lit(float(vectors[i, j] * signs[j]))
-            parts.append(axis)
-        return parts
-
-    plain = rotated(np.ones(k))
-    skew = coords.agg(*[F.sum(c * c * c).alias(f"s{j}") for j, c in enumerate(plain)]).first()
-    signs = np.array([1.0 if skew[f"s{j}"] >= 0 else -1.0 for j in range(k)])
-    return coords.select("unit", *[c.alias(names[j]) for j, c in enumerate(rotated(signs))])
-
-
-def nmds_by(long: DataFrame, env: DataFrame, by: str, unit: str = "unit", taxon: str = "taxon", x: str = "x",
-            values: Sequence | None = None, **options) -> DataFrame:
-    """One ordination per value of an environment column: `(value, unit, axes, stress, converged)`."""
-    if values is None:
-        values = [r[0] for r in env.select(by).filter(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
-
-    def one(value) -> DataFrame:
-        chosen = env.filter(F.col(by) == value).select(unit)
-        found = nmds(long.join(chosen, unit, "left_semi"), unit=unit, taxon=taxon, x=x, **options)
-        return found.coords.select(F.lit(value).alias(by), "*", F.lit(found.stress).alias("stress"), F.lit(found.converged).alias("converged"))
-
-    # Subsets are independent: submitting several at once keeps the cluster busy between their rounds.
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        parts = list(pool.map(inheritable_thread_target(env.sparkSession)(one), values))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result

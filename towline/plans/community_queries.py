@@ -10,6 +10,7 @@ from ..operators import draws as dr
 from ..operators import ordination as ordi
 from ..operators import permanova as pm
 from ..operators import regression as reg
+from ..operators import scaling
 from ..operators import taxa as tx
 from ..operators.design import categorical, design_rows, numeric
 from ..operators.simper import simper
@@ -141,13 +142,13 @@ def dissimilarity_summary(spark, sf):
 
 @query("nmds")
 def nmds(spark, sf):
-    found = ordi.nmds(tv.community(spark, sf), starts=4, seed=3)
+    found = scaling.nmds(tv.community(spark, sf), starts=8, max_starts=16, seed=3)
     return found.coords.withColumns({"stress": F.lit(found.stress), "converged": F.lit(found.converged), "found_twice": F.lit(found.found_twice)})
 
 
 @query("nmds_by_region")
 def nmds_by_region(spark, sf):
-    return ordi.nmds_by(tv.community(spark, sf), tv.unit_env(spark, sf), "region", starts=4, seed=3)
+    return scaling.nmds_by(tv.community(spark, sf), tv.unit_env(spark, sf), "region", starts=8, max_starts=16, seed=3)
 
 
 @query("taxon_scores", f"""WITH {tv.COMMUNITY_SQL}, {tv.COORDS_SQL}
