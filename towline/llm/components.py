@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from towline.session import cut
+from towline.session import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,20 +19,24 @@ def components(edges: DataFrame) -> DataFrame:
     left = cut(edges.filter("a <> b").select(most.alias("a"), least.alias("b")).distinct())
     roots = None
     while not left.isEmpty():
-        hooks = cut(left.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"))
+        written = hooks = cut(left.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"))
         while True:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("__up"))
             jumped = cut(hooks.join(up, "root", "left").select("node", F.coalesce("__up", "root").alias("root"), F.col("__up").isNotNull().alias("__moved")))
-            hooks = jumped.select("node", "root")
+            drop(written)
+            hooks, written = jumped.select("node", "root"), jumped
             if jumped.filter("__moved").isEmpty():
                 break
         if roots is None:
             low = left.select(F.col("b").alias("node")).distinct().join(hooks, "node", "left_anti").select("node", F.col("node").alias("root"))
             roots = cut(hooks.union(low))
         else:
-            roots = cut(_through(roots, hooks, "root"))
+            before, roots = roots, cut(_through(roots, hooks, "root"))
+            drop(before)
         moved = _through(_through(left, hooks, "a"), hooks, "b").filter("a <> b")
-        left = cut(moved.select(most.alias("a"), least.alias("b")).distinct())
+        shrunk = cut(moved.select(most.alias("a"), least.alias("b")).distinct())
+        drop(left, written)
+        left = shrunk
     return roots if roots is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -42,7 +42,11 @@ def bounded(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES
     `row_bytes` is the size of every row, or an expression for that of each.
     """
     size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    if size > limit:
+        return df
+    small = F.broadcast(df)
+    small._written_to = getattr(df, "_written_to", None)  # so that it can be dropped like the table itself
+    return small
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from towline.session import cut
+from towline.session import cut, drop
 
 from .components import components
 from .frames import bounded, map_texts
@@ -248,7 +248,7 @@ def linked_sets(docs: DataFrame, n_postings: int) -> DataFrame:
     level = _sketch(sets)
     short = cut(sets.mapInArrow(partial(_postings, level=level), "shingle bigint, set_id bigint, n int, rest int, plain int"))
 
-    ties, met, roots = None, None, None
+    ties, met, roots, written = None, None, None, [sets, short]
     for order in HEADS:
         placed = short.withColumn("root", F.col("set_id")) if roots is None else _mixed(short, roots)
         heads = placed.groupBy("shingle").agg(F.min_by(F.struct("set_id", "n", "rest", "root"), F.struct(*[F.expr(x) for x in order])).alias("h"))
@@ -259,12 +259,17 @@ def linked_sets(docs: DataFrame, n_postings: int) -> DataFrame:
         found = _verified(pairs, sets, level)
         met, ties = (pairs, found) if met is None else (met.union(pairs), ties.union(found))
         roots = components(ties)
+        written += [pairs, found, roots]
 
     placed = cut(_mixed(short, roots))
     rest = placed.join(_other(placed, F.col("root").alias("other")), "shingle").filter(
         (F.col("set_id") < F.col("b")) & (F.col("root") != F.col("other")) & _can_link())
     rest = rest.select(F.col("set_id").alias("a"), "b").distinct().join(met, ["a", "b"], "left_anti")
-    return components(ties.union(_verified(rest, sets, level)))
+    last = _verified(rest, sets, level)
+    drop(sets, short, placed)
+    result = components(ties.union(last))
+    drop(last, *written)
+    return result
 
 
 def _mixed(short: DataFrame, roots: DataFrame) -> DataFrame:
@@ -295,6 +300,7 @@ def clusters(docs: DataFrame, keep: list[str], least: str | Column) -> DataFrame
     many = own.filter("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("__rows"))
     look = named.join(groups, "root").join(many, "set_id").filter("__rows > 1 or __classes > 1").select("set_id", F.col("root").alias("cluster"), "least")
     look = bounded(cut(look), 40)
+    drop(roots, named)
     return own.join(look, "set_id", "left").select(*keep, "n_shingles", "cluster", "least")
 
 

@@ -5,11 +5,13 @@ equals it or has a Jaccard similarity of at least 0.8 with it; earlier means a s
 on the input. Lines without words stay.
 
 Words are ordered by rarity, the same order for all lines. Words of a prefix alone would meet in lists that grow with the
-corpus, so a prefix holds pairs of neighbours in that order. If linked sets of n and m words share T, each word that one
-of them has alone breaks at most two pairs of the one and one of the other, at most 0.4 n of n's pairs in all: of its first
-0.4 n + 1 pairs one is whole, and the first whole pair is the same for both. Prefixes hold two pairs more, so three must be shared. Size and position filters go with each
-pair, and what remains is verified on the whole sets. Lines are met in rounds: first with one line of each list, the
-most frequent and then the earliest; only lines not yet removed meet all earlier ones.
+corpus, so a prefix holds groups of three neighbours in that order. If linked sets of n and m words share T, then T is at
+least 0.8 (n + what the other has alone). A word that the one of n words has alone breaks at most three of its groups, one
+that the other has alone at most two, at most 0.6 n in all: of its first 0.6 n + 1 groups one is whole, and the first whole
+group is the same for both. Sets of up to six words have pairs too, of which 0.4 n may be broken; sets of fewer than four
+are linked with equal ones only. Size and position filters go with each group, and what remains is verified on the whole
+sets. All this is done for distinct lines. Lines are met in rounds: first with one line of each list, the most frequent and
+then the earliest; only lines not yet removed meet all earlier ones.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from towline.session import cut
+from towline.session import cut, drop
 
 from .frames import bounded
 from .winnow import _row_keys
@@ -25,7 +27,7 @@ from .winnow import _row_keys
 SLOTS = 1 << 15  # counters of the frequency sketch that ranks words; any common ranking gives the same result
 LAST = (1 << 63) - 1
 _HASH_BITS = 58
-SPARE = 2  # pairs of a prefix beyond those that guarantee a shared one; so many more must be shared then
+PAIRED = 6  # words of a set that has pairs too: the least size with a whole group of three
 
 
 def _parts(text: Column) -> Column:
@@ -52,26 +54,16 @@ def _tokens(line: str, levels: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, _slot(h)), _HASH_BITS) + F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
 
-def _broken(n: Column) -> Column:
-    """The most of its pairs that a set of n words can lack in a linked one."""
-    return F.floor(0.4 * n).cast("int")
-
-
-def _kept(n: Column) -> Column:
-    """How many pairs the prefix of a set holds; sets of fewer than four words are linked with equal ones only, by one key."""
-    return F.when(n >= 4, F.least(n - 1, _broken(n) + 1 + SPARE)).otherwise(1)
-
-
-def _least_keys(n: Column) -> Column:
-    """How many keys a set must share with a linked one: of each prefix, these are whole, and the same ones."""
-    return F.when(n >= 4, _kept(n) - _broken(n)).otherwise(1)
-
-
 def _keyed(lines: DataFrame, *columns: str) -> DataFrame:
-    """`columns`, n, and key and at of each pair of the prefix of the tokens `t`."""
+    """`columns`, n, and key and at of each group of the prefix of the tokens `t`."""
     n = F.size("t")
-    pairs = F.transform(F.slice("t", 1, _kept(n)), lambda x, i: F.xxhash64(x, F.get("t", i + 1)))
-    return lines.select(*columns, n.alias("n"), F.posexplode(F.when(n >= 4, pairs).otherwise(F.array(F.xxhash64("t")))).alias("at", "key"))
+    grouped = lambda size, share: F.transform(
+        F.slice("t", 1, F.least(n - size + 1, F.floor(share * n).cast("int") + 1)), lambda x, i: F.xxhash64(x, *[F.get("t", i + k) for k in range(1, size)]))
+    keys = F.when(n > PAIRED, grouped(3, 0.6)).when(n == PAIRED, F.concat(grouped(3, 0.6), grouped(2, 0.4))).when(n >= 4, grouped(2, 0.4)).otherwise(F.array(F.xxhash64("t")))
+    exploded = lines.select(*columns, n.alias("n"), F.posexplode(keys).alias("place", "key"))
+    threes = min(PAIRED - 2, 6 * PAIRED // 10 + 1)  # of a set with both, these come first
+    at = F.when((F.col("n") == PAIRED) & (F.col("place") >= threes), F.col("place") - threes).otherwise(F.col("place"))
+    return exploded.select(*columns, "n", at.alias("at"), "key")
 
 
 def _can_match(n: Column, at: Column, m: Column, other: Column) -> Column:
@@ -87,36 +79,41 @@ def _has_words(line: str) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Per document row (keys __a, __b): the numbers of its removed lines, as written."""
     levels = _levels(docs)
-    every = docs.select(F.explode(F.split("text", "\n")).alias("words")).filter(_has_words("words"))
-    postings = _keyed(every.select(F.xxhash64("words").alias("line"), _tokens("words", levels).alias("t")), "line")
-    x, y = postings.alias("x"), postings.alias("y")
-    matches = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") != F.col("y.line")) & _can_match(
-        F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    # A line that others have too has each of its keys once for each of them.
-    shared = x.join(y.hint("merge"), matches, "left_semi").select("line", "n", "at").distinct().groupBy("line", "n").count()
-    live = cut(shared.filter(F.col("count") >= _least_keys(F.col("n"))).select("line").distinct())
-
     split = docs.select("doc_id", *_row_keys(), F.posexplode(F.split("text", "\n")).alias("number", "words")).filter(_has_words("words"))
     place = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), "__a", "__b", "number")
     lines = cut(split.select(F.xxhash64("words").alias("line"), place.alias("place")))
     first = cut(lines.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")))
 
-    # Words of the lines that may match another. Copies of a line in one task are one row before the shuffle.
-    held = every.select(F.xxhash64("words").alias("line"), "words").join(bounded(live, 16), "line", "left_semi").groupBy("line").agg(F.min("words").alias("words"))
+    # Distinct lines with their words. Only copies are gathered, and those of one task are one row before the shuffle.
+    several = bounded(cut(first.filter("times > 1").select("line")), 16)
+    every = docs.select(F.explode(F.split("text", "\n")).alias("words")).filter(_has_words("words")).select(F.xxhash64("words").alias("line"), "words")
+    copied = cut(every.join(several, "line", "left_semi").groupBy("line").agg(F.min("words").alias("words")))
+    distinct = every.join(several, "line", "left_anti").unionByName(copied)
+
+    postings = _keyed(distinct.select("line", _tokens("words", levels).alias("t")), "line")
+    x, y = postings.alias("x"), postings.alias("y")
+    matches = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") != F.col("y.line")) & _can_match(
+        F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    live = cut(x.join(y.hint("merge"), matches, "left_semi").select("line").distinct())
+
+    held = distinct.join(bounded(live, 16), "line", "left_semi")
     known = held.join(first.select("line", "times", F.col("first.id").alias("id")), "line")
     sets = cut(known.select("line", "times", "id", _tokens("words", levels).alias("t")))
+    drop(several, copied, live)
     gone = _matched(sets, first)
 
     copies = lines.join(first.filter("times > 1").select("line", "first"), "line").filter(F.col("place") != F.col("first")).select("place")
     near = lines.join(gone, "line").select("place")
     parts = copies.union(near).groupBy(F.col("place.__a").alias("__a"), F.col("place.__b").alias("__b"))
-    return bounded(cut(parts.agg(F.collect_set("place.number").alias("gone"))), 64 + 4 * F.size("gone"))
+    found = cut(parts.agg(F.collect_set("place.number").alias("gone")))
+    drop(lines, first, sets, gone)
+    return bounded(found, 64 + 4 * F.size("gone"))
 
 
 def _matched(sets: DataFrame, first: DataFrame) -> DataFrame:
     """The lines of `sets` that have an earlier match."""
     listed = cut(_keyed(sets, "line", "times", "id"))
-    gone, met = None, None
+    gone, met = None, []
     for head in (F.struct(-F.col("times"), "id", "line"), F.struct("id", "line"), None):
         later = (listed if gone is None else listed.join(gone, "line", "left_anti")).select("key", "line", "id", "n", "at")
         if head is None:
@@ -126,18 +123,20 @@ def _matched(sets: DataFrame, first: DataFrame) -> DataFrame:
         # Ids bound the order, lines of one document are told apart below.
         both = later.join(earlier, "key").filter((F.col("h.id") <= F.col("id")) & (F.col("h.line") != F.col("line")) & _can_match(
             F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at")))
-        pairs = both.groupBy("line", F.col("h.line").alias("other")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least(_least_keys(F.col("n")), _least_keys(F.col("h.n")))).alias("r"))
-        if head is None:
-            pairs = pairs.filter("c >= r")
-        pairs = pairs.select("line", "other")
-        pairs = cut(pairs if met is None else pairs.join(met, ["line", "other"], "left_anti"))
-        met = pairs if met is None else met.union(pairs)
+        pairs = both.select("line", F.col("h.line").alias("other")).distinct()
+        for before in met:
+            pairs = pairs.join(before, ["line", "other"], "left_anti")
+        pairs = cut(pairs)
+        met.append(pairs)
         left, right = sets.select("line", "t"), sets.select(F.col("line").alias("other"), F.col("t").alias("u"))
         alike = 9 * F.size(F.array_intersect("t", "u")) >= 4 * (F.size("t") + F.size("u"))
-        found = pairs.join(left, "line").join(right, "other").filter(alike).select("line", "other")
+        found = cut(pairs.join(left, "line").join(right, "other").filter(alike).select("line", "other"))
         after = first.select("line", "first"), first.select(F.col("line").alias("other"), F.col("first").alias("before"))
-        found = cut(found).join(after[0], "line").join(after[1], "other").filter(F.col("before") < F.col("first")).select("line")
-        gone = bounded(cut(found.distinct() if gone is None else gone.union(found).distinct()), 16)
+        later = found.join(after[0], "line").join(after[1], "other").filter(F.col("before") < F.col("first")).select("line")
+        now = cut(later.distinct() if gone is None else gone.union(later).distinct())
+        drop(found, *([gone] if gone is not None else []))
+        gone = now
+    drop(listed, *met)
     return gone
 
 
