@@ -1,9 +1,11 @@
 """Toxicity: maximum-scoring segments over token log-odds.
 
-Each word scores its log-odds of standing in a toxic rather than a clean document, under a Dirichlet prior that leans on
-the words with the same beginning, less a margin for the uncertainty of few counts. One linear scan finds all disjoint
-maximal segments of a text. Extreme-value statistics of segment scores in clean texts tell which are significant, and
-the surprise of a text's significant segments is turned into a probability.
+Each word of the labelled sample scores its log-odds of standing in a toxic rather than a clean document, under a
+Dirichlet prior that leans on the words with the same beginning, less a margin for the uncertainty of few counts; a word
+that the sample lacks scores as its beginning does. One linear scan finds all disjoint maximal segments of a text.
+Extreme-value statistics of segment scores in clean texts tell which are significant, and the surprise of a text's
+significant segments is turned into a probability. Both are fitted with every text of the sample scored as if it had
+not been counted.
 """
 
 from __future__ import annotations
@@ -15,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from towline.session import cut
+from towline.session import cut, drop
 
 from .frames import held_out, labelled_sample, map_texts
 from .text import LETTERS, Words, blocks
 
 HEAD_BYTES = 4
 PRIOR = 8.0  # pseudo-counts of the Dirichlet prior of a word
-LEAST_TOXIC = 5  # a word met in fewer toxic texts scores as its beginning does
-MARGIN = 2.0  # standard errors taken off a positive log-odds
+LEAST_PRIOR = 0.5  # pseudo-counts of either kind at least, however clear the beginning is
+MARGIN = 2.0  # standard errors taken off a log-odds of either sign
 
 
 def _token_counts(sample: DataFrame) -> DataFrame:
@@ -48,20 +50,42 @@ def _token_counts(sample: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Scores of words and of beginnings by sorted hash, and the calibration of segments."""
+    """Numbers of toxic and clean texts by sorted hash of words and of beginnings, and the calibration of segments.
+
+    `up` and `down` weigh toxic and clean texts so that both kinds count alike.
+    """
 
     words: np.ndarray
-    word_scores: np.ndarray
+    word_counts: np.ndarray
     heads: np.ndarray
-    head_scores: np.ndarray
-    rest: float = 0.0
+    head_counts: np.ndarray
+    up: float = 1.0
+    down: float = 1.0
+    shift: float = 0.0
     decay: float = 1.0
     density: float = 1.0
     weights: tuple[float, float] = (0.0, 1.0)
 
-    def token_scores(self, words: Words) -> np.ndarray:
-        out = _lookup(self.heads, self.head_scores, words.heads(HEAD_BYTES), np.full(len(words.hash), self.rest))
-        return _lookup(self.words, self.word_scores, words.hash, out)
+    def _head_scores(self, counts: np.ndarray) -> np.ndarray:
+        half = np.full(len(counts), 0.5)
+        return _log_odds(counts[:, 0] * self.up, counts[:, 1] * self.down, half)
+
+    def _scores(self, words: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """From the (toxic, clean) counts of each token's word and beginning."""
+        toxic, clean = heads[:, 0] * self.up, heads[:, 1] * self.down
+        by_head = self._head_scores(heads)
+        by_word = _log_odds(words[:, 0] * self.up, words[:, 1] * self.down, (toxic + PRIOR) / (toxic + clean + 2 * PRIOR))
+        # A word never met in a clean text is as toxic as its beginning at least.
+        by_word = np.where(words[:, 1] == 0, np.maximum(by_word, by_head), by_word)
+        return np.where(words.any(1), by_word, by_head) - self.shift
+
+    def token_scores(self, words: Words, labels: np.ndarray | None = None) -> np.ndarray:
+        """Scores of tokens; with a label for each token, as if its text had not been counted."""
+        own, begin = _counts(self.words, self.word_counts, words.hash), _counts(self.heads, self.head_counts, words.heads(HEAD_BYTES))
+        if labels is not None:
+            mine = np.stack([labels, 1 - labels], 1)
+            own, begin = np.maximum(own - mine, 0), np.maximum(begin - mine, 0)
+        return self._scores(own, begin)
 
     def surprise(self, segments: list[tuple[int, int, float]], n_words: int) -> tuple[float, int]:
         """Sum of -log E over segments with an expected number E below 1 in clean text of this length, and how many they are."""
@@ -72,11 +96,19 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1] * np.sqrt(surprise), -35, 35)))
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: np.ndarray) -> np.ndarray:
+def _log_odds(toxic: np.ndarray, clean: np.ndarray, share: np.ndarray) -> np.ndarray:
+    a = toxic + np.maximum(PRIOR * share, LEAST_PRIOR)
+    b = clean + np.maximum(PRIOR * (1 - share), LEAST_PRIOR)
+    value = np.log(a / b)
+    return np.sign(value) * np.maximum(0, np.abs(value) - MARGIN * np.sqrt(1 / (a + 1) + 1 / (b + 1)))
+
+
+def _counts(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """(toxic, clean) of each wanted hash; zeros for those that are not there."""
     if not len(keys):
-        return default
+        return np.zeros((len(wanted), 2))
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+    return np.where((keys[at] == wanted)[:, None], counts[at], 0.0)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -107,10 +139,10 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high, _ in open_]
 
 
-def _scored(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray):
-    """For each text: its segments and number of words."""
+def _scored(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray | None = None):
+    """For each text: its segments and number of words. With labels, texts are scored as if they had not been counted."""
     words = Words(data, offsets, LETTERS)
-    scores = lexicon.token_scores(words)
+    scores = lexicon.token_scores(words, None if labels is None else np.repeat(labels, words.counts()))
     for d in range(len(offsets) - 1):
         own = scores[words.first[d] : words.first[d + 1]]
         yield maximal_segments(own), len(own)
@@ -143,65 +175,69 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[floa
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, max_labelled: int = 20_000) -> Lexicon:
     """Learn from at most `max_labelled` labelled documents outside the held-out part; equal texts count once.
 
-    The driver gets one row per word that stands in at least LEAST_TOXIC toxic texts and one per beginning, both bounded
-    by the sample, and three numbers per text of the sample.
+    The driver gets one row per word and one per beginning of the sample, and three numbers per text of it: all bounded by the sample.
     """
     sample = labelled_sample(docs, labels, "toxic", parts, part, max_labelled).groupBy("text").agg(F.max("y").alias("y"))
     sample = cut(sample)
     counts = cut(_token_counts(sample))
-    heads = counts.groupBy("head").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas().set_index("head")
-    empty, toxic, clean = np.zeros(0), float(heads["toxic"].sum()), float(heads["clean"].sum())
+
+    def ordered(key: str, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = rows.groupBy(key).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
+        keys = table[key].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], table[["toxic", "clean"]].to_numpy(float)[order]
+
+    heads = ordered("head", counts)
+    toxic, clean = heads[1].sum(0) if len(heads[0]) else (0.0, 0.0)
     if not toxic or not clean:
-        return Lexicon(empty.astype(np.uint64), empty, empty.astype(np.uint64), empty, rest=-1.0, weights=(-3.0, 1.0))
-    up, down = (toxic + clean) / (2 * toxic), (toxic + clean) / (2 * clean)
-    lean = (heads["toxic"] * up + PRIOR) / (heads["toxic"] * up + heads["clean"] * down + 2 * PRIOR)
+        empty = np.zeros(0, np.uint64), np.zeros((0, 2))
+        return Lexicon(*empty, *empty, shift=1.0, weights=(-3.0, 1.0))
+    lexicon = Lexicon(*ordered("word", counts), *heads, up=(toxic + clean) / (2 * toxic), down=(toxic + clean) / (2 * clean))
+    drop(counts)
+    return _calibrated(sample, lexicon)
 
-    def log_odds(a, b, share):
-        a, b = a * up + PRIOR * share, b * down + PRIOR * (1 - share)
-        value = np.log(a / b)
-        return np.sign(value) * np.maximum(0, np.abs(value) - MARGIN * np.sqrt(1 / a + 1 / b))
 
-    words = counts.filter(F.col("toxic") >= LEAST_TOXIC).toPandas()
-    head_scores = log_odds(heads["toxic"].to_numpy(float), heads["clean"].to_numpy(float), np.full(len(heads), 0.5))
-    word_scores = log_odds(words["toxic"].to_numpy(float), words["clean"].to_numpy(float), lean.loc[words["head"]].to_numpy())
+def _labelled_texts(sample: DataFrame, make, fields: str) -> DataFrame:
+    """y and the arrays that `make(bytes, offsets, labels)` gives for a block of texts."""
+    names = ["y", *(field.split()[0] for field in fields.split(","))]
 
-    def ordered(keys, values):
-        keys = np.asarray(keys).astype(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], np.asarray(values)[order]
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in blocks(batch):
+                y = batch.column("y").slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([y, *(pa.array(x) for x in make(data, offsets, y.to_numpy()))], names=names)
 
-    lexicon = Lexicon(*ordered(words["word"], word_scores), *ordered(heads.index, head_scores))
-    return _calibrated(sample, lexicon)
+    return sample.select("y", "text").mapInArrow(run, f"y int, {fields}")
 
 
 def _calibrated(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
     """Shift scores so that clean words average -1; then fit decay and density of clean segments, and the logistic."""
 
-    def tokens(data, offsets):
+    def tokens(data, offsets, labels):
         words = Words(data, offsets, LETTERS)
-        s = np.round(lexicon.token_scores(words), 1)
-        return [[list(s[words.first[d] : words.first[d + 1]]) for d in range(len(offsets) - 1)]]
+        s = np.round(lexicon.token_scores(words, np.repeat(labels, words.counts())), 1)
+        return [[s[words.first[d] : words.first[d + 1]].tolist() for d in range(len(offsets) - 1)]]
 
-    clean = map_texts(sample.filter("y = 0"), [], tokens, "s array<double>")
+    clean = _labelled_texts(sample.filter("y = 0"), tokens, "s array<double>")
     bins = clean.select(F.explode("s").alias("s")).groupBy("s").count().toPandas()
     values, weight = bins["s"].to_numpy(float), bins["count"].to_numpy(float)
-    shift = float(np.average(values, weights=weight)) + 1.0
-    lexicon = Lexicon(lexicon.words, lexicon.word_scores - shift, lexicon.heads, lexicon.head_scores - shift, rest=-shift)
-    lexicon.decay = _decay(np.repeat(values - shift, np.maximum(1, np.round(weight / weight.sum() * 100_000)).astype(int)))
+    lexicon.shift = float(np.average(values, weights=weight)) + 1.0
+    lexicon.decay = _decay(np.repeat(values - lexicon.shift, np.maximum(1, np.round(weight / weight.sum() * 100_000)).astype(int)))
 
-    def best(data, offsets):
-        found = list(_scored(lexicon, data, offsets))
+    def best(data, offsets, labels):
+        found = list(_scored(lexicon, data, offsets, labels))
         return [np.array([max((s for *_, s in x), default=0.0) for x, _ in found], float), np.array([n for _, n in found], np.int64)]
 
-    rows = map_texts(sample, ["y"], best, "best double, n bigint").toPandas()
+    rows = _labelled_texts(sample, best, "best double, n bigint").toPandas()
     own = rows[rows["y"] == 0]
     lexicon.density = float(len(own) / max(1e-300, np.sum(np.maximum(own["n"], 1) * np.exp(-lexicon.decay * own["best"]))))
 
-    def surprises(data, offsets):
-        return [np.array([lexicon.surprise(x, n)[0] for x, n in _scored(lexicon, data, offsets)], float)]
+    def surprises(data, offsets, labels):
+        return [np.array([lexicon.surprise(x, n)[0] for x, n in _scored(lexicon, data, offsets, labels)], float)]
 
-    rows = map_texts(sample, ["y"], surprises, "x double").toPandas()
+    rows = _labelled_texts(sample, surprises, "x double").toPandas()
     lexicon.weights = _logistic(np.sqrt(rows["x"].to_numpy(float)), rows["y"].to_numpy(float))
+    drop(sample)
     return lexicon
 
 
