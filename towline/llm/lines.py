@@ -94,25 +94,25 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     x, y = postings.alias("x"), postings.alias("y")
     matches = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") != F.col("y.line")) & _can_match(
         F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    live = cut(x.join(y.hint("merge"), matches, "left_semi").select("line").distinct())
-
-    held = distinct.join(bounded(live, 16), "line", "left_semi")
-    known = held.join(first.select("line", "times", F.col("first.id").alias("id")), "line")
-    sets = cut(known.select("line", "times", "id", _tokens("words", levels).alias("t")))
+    # Only the groups that another line has are met again below.
+    shared = cut(x.join(y.hint("merge"), matches, "left_semi").select("line", "n", "at", "key"))
+    live = cut(shared.select("line").distinct())
+    sets = cut(distinct.join(bounded(live, 16), "line", "left_semi").select("line", _tokens("words", levels).alias("t")))
     drop(several, copied, live)
-    gone = _matched(sets, first)
+    listed = cut(shared.join(first.select("line", "times", F.col("first.id").alias("id")), "line"))
+    drop(shared)
+    gone = _matched(listed, sets, first)
 
     copies = lines.join(first.filter("times > 1").select("line", "first"), "line").filter(F.col("place") != F.col("first")).select("place")
     near = lines.join(gone, "line").select("place")
     parts = copies.union(near).groupBy(F.col("place.__a").alias("__a"), F.col("place.__b").alias("__b"))
     found = cut(parts.agg(F.collect_set("place.number").alias("gone")))
-    drop(lines, first, sets, gone)
+    drop(lines, first, listed, sets, gone)
     return bounded(found, 64 + 4 * F.size("gone"))
 
 
-def _matched(sets: DataFrame, first: DataFrame) -> DataFrame:
-    """The lines of `sets` that have an earlier match."""
-    listed = cut(_keyed(sets, "line", "times", "id"))
+def _matched(listed: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
+    """The lines that have an earlier match, from the groups (line, times, id, n, at, key) they share with others and their words."""
     gone, met = None, []
     for head in (F.struct(-F.col("times"), "id", "line"), F.struct("id", "line"), None):
         later = (listed if gone is None else listed.join(gone, "line", "left_anti")).select("key", "line", "id", "n", "at")
@@ -136,7 +136,7 @@ def _matched(sets: DataFrame, first: DataFrame) -> DataFrame:
         now = cut(later.distinct() if gone is None else gone.union(later).distinct())
         drop(found, *([gone] if gone is not None else []))
         gone = now
-    drop(listed, *met)
+    drop(*met)
     return gone
 
 
