@@ -10,7 +10,7 @@ from ..operators import draws as dr
 from ..operators import ordination as ordi
 from ..operators import permanova as pm
 from ..operators import regression as reg
-from ..operators import scaling
+from ..operators import scaling, surface
 from ..operators import taxa as tx
 from ..operators.design import categorical, design_rows, numeric
 from ..operators.simper import simper
@@ -185,6 +185,13 @@ def surface_grid(spark, sf):
     return ordi.surface_grid(tv.coords(spark, sf), env, "lat", nx=8, ny=6).withColumn("mean", r("mean"))
 
 
+@query("smooth_surface")
+def smooth_surface(spark, sf):
+    env = tv.stations(spark, sf).select(F.col("station").alias("unit"), "lat")
+    found = surface.smooth_surface(tv.coords(spark, sf), env, "lat")
+    return found.grid.withColumns({"penalty": F.lit(found.penalty), "edf": F.lit(found.edf), "r2": F.lit(found.r2)})
+
+
 # ---------------------------------------------------------------- regression
 
 
