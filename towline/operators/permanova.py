@@ -24,40 +24,65 @@ JOINED_PERMUTATIONS = 64
 _RESULT = "term string, df bigint, ss double, ms double, f double, r2 double, p double"
 
 
+_MASK = 0xFFFFFFFF
+_SEED_STEP, _MIX = 0x9E3779B1, 0x45D9F3B
+_TURNS = 7
+
+
 def permuted_index(index: np.ndarray, n: int, seed: int, permutation: np.ndarray) -> np.ndarray:
     """Where each permutation sends each of 0..n-1: a keyed bijection, so no task holds a permutation.
 
-    A balanced network of mixing rounds permutes the next power of four; values that land outside
-    0..n-1 are sent round again. Permutation 0 is the identity.
+    A balanced network of mixing rounds permutes the next power of four; values that land outside 0..n-1 are sent round
+    again. Permutation 0 is the identity. All numbers fit signed 64-bit integers, so SQL draws the same (`permutation_sql`).
     """
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-    shift = np.uint64(half)
+    low = np.int64((1 << half) - 1)
 
     def mix(v):
-        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return v ^ (v >> np.uint64(31))
-
-    with np.errstate(over="ignore"):
-        start = np.uint64(seed & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
-        keys = [mix(permutation.astype(np.uint64) * np.uint64(8) + np.uint64(r) + start)[:, None] for r in range(7)]
-
-        def turn(v):
-            left, right = v >> shift, v & mask
-            for key in keys:
-                left, right = right, left ^ (mix(right + key) & mask)
-            return (left << shift) | right
-
-        value = turn(np.broadcast_to(index.astype(np.uint64), (len(permutation), len(index))))
-        while True:
-            outside = value >= n
-            if not outside.any():
-                break
-            value = np.where(outside, turn(value), value)
-    result = value.astype(np.int64)
-    result[permutation == 0] = index
-    return result
+        for _ in range(2):
+            v = ((v ^ (v >> 16)) * np.int64(_MIX)) & np.int64(_MASK)
+        return v ^ (v >> 16)
+
+    start = (seed * _SEED_STEP) & _MASK
+    keys = [mix((permutation.astype(np.int64) * 8 + r + start) & np.int64(_MASK))[:, None] for r in range(_TURNS)]
+
+    def turn(v):
+        left, right = v >> half, v & low
+        for key in keys:
+            left, right = right, left ^ (mix((right + key) & np.int64(_MASK)) & low)
+        return (left << half) | right
+
+    value = turn(np.broadcast_to(index.astype(np.int64), (len(permutation), len(index))))
+    while (outside := value >= n).any():
+        value = np.where(outside, turn(value), value)
+    value[permutation == 0] = index
+    return value
+
+
+def permutation_sql(units: str, seed: int, permutations: int) -> str:
+    """Tables `placed` (unit, pos) and `sent` (perm, pos, too) in SQL, for the units of a table: what `permuted_index` draws, without the identity."""
+    mix = lambda v: f"list_reduce([{v}, 1, 1, 2], lambda x, step: CASE WHEN step = 1 THEN (xor(x, x >> 16) * {_MIX}) & {_MASK} ELSE xor(x, x >> 16) END)"
+    turn = f"list_reduce(list_prepend({{v}}, keys), lambda s, k: ((s & low) << half) | xor(s >> half, {mix(f'((s & low) + k) & {_MASK}')} & low))"
+    return f"""placed AS (SELECT unit, CAST(row_number() OVER (ORDER BY unit) - 1 AS BIGINT) AS pos FROM {units}),
+dims AS (SELECT count(*) AS n, greatest(1, (CAST(floor(log2(greatest(count(*) - 1, 1))) AS INTEGER) + 2) // 2) AS half FROM placed),
+drawn AS (SELECT CAST(p AS BIGINT) AS perm, n, half, CAST((1 << half) - 1 AS BIGINT) AS low,
+  list_transform(CAST(range({_TURNS}) AS BIGINT[]), lambda r: {mix(f'(CAST(p AS BIGINT) * 8 + r + {(seed * _SEED_STEP) & _MASK}) & {_MASK}')}) AS keys
+  FROM dims, range(1, {permutations + 1}) g(p)),
+walk AS (
+  SELECT perm, pos, {turn.format(v='pos')} AS too FROM drawn, placed
+  UNION ALL SELECT w.perm, w.pos, {turn.format(v='w.too')} FROM walk w JOIN drawn USING (perm) WHERE w.too >= n
+), sent AS (SELECT perm, pos, too FROM walk, dims WHERE too < n)"""
+
+
+def _positions(units: DataFrame) -> DataFrame:
+    """`(unit, at)`: the place of each unit in their order, from 0, however they are laid out."""
+    ordered = cut(units.select("unit").orderBy("unit").select("unit", F.monotonically_increasing_id().alias("__id")))
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    offsets, total = {}, 0
+    for r in sorted(ordered.groupBy(part.alias("part")).count().collect()):  # one row per partition
+        offsets[r["part"]], total = total, total + r["count"]
+    before = F.element_at(F.map_from_arrays(F.array([F.lit(b).cast("bigint") for b in offsets]), F.array([F.lit(v).cast("bigint") for v in offsets.values()])), part)
+    return ordered.select("unit", (before + row).alias("at"))
 
 
 def _squares(tile: Tile) -> np.ndarray:
@@ -78,25 +103,25 @@ def _emit(totals: np.ndarray, perms: np.ndarray) -> dict:
     return {"perm": np.repeat(perms, width), "term": np.tile(np.arange(width) - 1, len(perms)), "v": totals.ravel()}
 
 
-def _sums_with_broadcast(blocks, n_blocks, q_by_block, n, terms_of, n_terms, permutations, seed) -> DataFrame:
-    """Sums for all permutations in one pass; the design rows of all units are broadcast."""
+def _places(z: bytes, units: int) -> np.ndarray:
+    return np.frombuffer(z).reshape(units, -1)[:, 0].astype(np.int64)
+
+
+def _sums_with_broadcast(blocks, n_blocks, rows, n, terms_of, n_terms, permutations, seed) -> DataFrame:
+    """Sums for all permutations in one pass; the design rows of all units, in order of their places, are broadcast."""
     spark = blocks.sparkSession
-    offsets = np.zeros(n_blocks, dtype=np.int64)
-    order = sorted(q_by_block)
-    offsets[order] = np.concatenate([[0], np.cumsum([len(q_by_block[b]) for b in order])[:-1]])
-    shared = spark.sparkContext.broadcast((np.concatenate([q_by_block[b] for b in order]), offsets))
+    shared = spark.sparkContext.broadcast(rows)
     member = np.equal.outer(np.array(terms_of), np.arange(n_terms)).astype(float)
 
     def kernel(tiles: Iterator[Tile]):
-        q, offset = shared.value
+        q = shared.value
         width = q.shape[1]
         totals = np.zeros((permutations + 1, n_terms + 1))
         seen = False
         for tile in tiles:
             seen = True
             d2 = _squares(tile)
-            at_a = offset[tile.row.bi] + np.arange(len(tile.a))
-            at_b = offset[tile.row.bj] + np.arange(len(tile.b))
+            at_a, at_b = _places(tile.row.z_a, len(tile.a)), _places(tile.row.z_b, len(tile.b))
             totals[:, 0] += d2.sum()
             step = max(1, (1 << 22) // max(1, len(tile.b) * max(width, 1)))
             for low in range(0, permutations + 1, step):
@@ -112,7 +137,7 @@ def _sums_with_broadcast(blocks, n_blocks, q_by_block, n, terms_of, n_terms, per
     return map_tiles(block_tiles(blocks, n_blocks), kernel, _SUMS)
 
 
-def _sums_with_join(com, rows, blocks, n, terms_of, n_terms, permutations, seed, means, inverse, kept) -> DataFrame:
+def _sums_with_join(com, rows, n, terms_of, n_terms, permutations, seed, means, inverse, kept) -> DataFrame:
     """The same sums when the design rows are too large to broadcast.
 
     Permuted rows reach their unit by a join on the permuted position, a slice of permutations at a
@@ -120,15 +145,7 @@ def _sums_with_join(com, rows, blocks, n, terms_of, n_terms, permutations, seed,
     these joins are told to merge.
     """
     width = len(kept)
-    sizes = {r["block"]: r["n"] for r in blocks.select("block", F.size("units").alias("n")).collect()}
-    offsets, total = {}, 0
-    for b in sorted(sizes):
-        offsets[b], total = total, total + sizes[b]
-    offset = F.element_at(F.map_from_arrays(F.array([F.lit(b) for b in offsets]),
-                                            F.array([F.lit(v).cast("bigint") for v in offsets.values()])), F.col("block"))
-    placed = blocks.select(offset.alias("offset"), F.posexplode("units").alias("pos", "unit")).select(
-        "unit", (F.col("offset") + F.col("pos")).alias("at"))
-    positions = cut(placed.join(rows, "unit"))
+    positions = cut(rows.select("unit", F.get("z", F.lit(0)).cast("bigint").alias("at"), "z"))
     targets = positions.select(F.col("at").alias("to"), "z")
     member = np.equal.outer(np.array(terms_of), np.arange(n_terms)).astype(float)
     parts = []
@@ -199,19 +216,17 @@ def permanova(
     fit = factor(matrix)
     n = int(round(fit.n))
     terms_of = [spec.terms.index(spec.columns[k].term) for k in fit.kept]
-    # A leading zero keeps the array from being empty when every factor has one level.
-    rows = complete.select("unit", F.array(F.lit(0.0), *[c.shifted() for c in spec.columns]).alias("z"))
+    # The place of a unit goes before its design row.
+    rows = complete.join(_positions(complete), "unit").select("unit", F.array(F.col("at").cast("double"), *[c.shifted() for c in spec.columns]).alias("z"))
     blocks, n_blocks = blocks_of(com, rows)
     blocks = cut(blocks)
     means, inverse, kept = fit.means, fit.inverse, fit.kept
     if n * max(1, len(kept)) * 8 <= broadcast_bytes:
-        q_by_block = {
-            r["block"]: (np.frombuffer(r["z"]).reshape(-1, len(spec.columns) + 1)[:, 1:][:, kept] - means[kept]) @ inverse
-            for r in blocks.select("block", "z").collect()
-        }
-        sums = _sums_with_broadcast(blocks, n_blocks, q_by_block, n, terms_of, len(spec.terms), permutations, seed)
+        z = np.concatenate([np.frombuffer(r["z"]).reshape(-1, len(spec.columns) + 1) for r in blocks.select("z").collect()])
+        in_order = z[np.argsort(z[:, 0])]
+        sums = _sums_with_broadcast(blocks, n_blocks, (in_order[:, 1:][:, kept] - means[kept]) @ inverse, n, terms_of, len(spec.terms), permutations, seed)
     else:
-        sums = _sums_with_join(com, rows, blocks, n, terms_of, len(spec.terms), permutations, seed, means, inverse, kept)
+        sums = _sums_with_join(com, rows, n, terms_of, len(spec.terms), permutations, seed, means, inverse, kept)
     # One row per permutation and term.
     table = np.zeros((permutations + 1, len(spec.terms) + 1))
     for r in sums.groupBy("perm", "term").agg(F.sum("v").alias("v")).collect():

@@ -100,9 +100,24 @@ def permanova_interaction(spark, sf):
     return _rounded_test(pm.permanova(tv.community(spark, sf), tv.unit_env(spark, sf), ["region*reach"], permutations=0))
 
 
-@query("permanova_permutations")
+@query("permanova_permutations", f"""WITH RECURSIVE {tv.UNIT_ENV_SQL}, {tv.PAIRS_SQL}, {pm.permutation_sql("env", 7, 999)},
+c AS (SELECT unit, region, ggdist - avg(ggdist) OVER (PARTITION BY region) AS v FROM env), q AS (SELECT unit, region, v / sqrt(sum(v * v) OVER ()) AS q FROM c),
+labelled AS (SELECT perm, a.unit, t.region, t.q FROM (SELECT * FROM sent UNION ALL SELECT 0, pos, pos FROM placed) s JOIN placed a ON a.pos = s.pos JOIN placed b ON b.pos = s.too JOIN q t ON t.unit = b.unit),
+sizes AS (SELECT region, count(*) AS size FROM env GROUP BY 1),
+sums AS (SELECT a.perm, sum(CASE WHEN a.region = b.region THEN d * d / size ELSE 0 END) AS within, -sum(d * d * a.q * b.q) AS covariate
+  FROM pairs JOIN labelled a ON a.unit = i JOIN labelled b ON b.unit = j AND b.perm = a.perm JOIN sizes ON sizes.region = a.region GROUP BY 1),
+b AS (SELECT {_TOTAL} AS total, (SELECT count(*) FROM env) AS n, (SELECT count(*) FROM sizes) AS k),
+f AS (SELECT perm, total, n, k, total - within AS ss1, covariate AS ss2, within - covariate AS residual, n - k - 1 AS df_residual FROM sums, b),
+ratio AS (SELECT *, (ss1 / (k - 1)) / (residual / df_residual) AS f1, ss2 / (residual / df_residual) AS f2 FROM f),
+s AS (SELECT * FROM ratio WHERE perm = 0),
+p AS (SELECT (1 + count(*) FILTER (r.f1 >= s.f1 * (1 - 1e-12))) / 1000 AS p1, (1 + count(*) FILTER (r.f2 >= s.f2 * (1 - 1e-12))) / 1000 AS p2 FROM ratio r, s WHERE r.perm > 0)
+SELECT 'region' AS term, k - 1 AS df, round(ss1, 6) AS ss, round(ss1 / (k - 1), 6) AS ms, round(f1, 6) AS f, round(ss1 / total, 6) AS r2, p1 AS p FROM s, p
+UNION ALL SELECT 'ggdist', 1, round(ss2, 6), round(ss2, 6), round(f2, 6), round(ss2 / total, 6), p2 FROM s, p
+UNION ALL SELECT 'residual', df_residual, round(residual, 6), round(residual / df_residual, 6), NULL, round(residual / total, 6), NULL FROM s
+UNION ALL SELECT 'total', n - 1, round(total, 6), NULL, NULL, 1.0, NULL FROM s""")
 def permanova_permutations(spark, sf):
-    return pm.permanova(tv.community(spark, sf), tv.unit_env(spark, sf), ["region", "ggdist"], permutations=999, seed=7)
+    result = pm.permanova(tv.community(spark, sf), tv.unit_env(spark, sf), ["region", "ggdist"], permutations=999, seed=7)
+    return result.withColumns({c: r(c) for c in ("ss", "ms", "f", "r2")})
 
 
 @query("explained_variance", f"""{_TESTED_SQL}, s AS (SELECT {_TOTAL} AS ss_total, {_within('region')} AS ss_residual)
