@@ -169,3 +169,28 @@ def test_tables_on_an_ordination(spark, rows):
     assert rows(ordi.group_spider(coords, groups), "unit", "center1") == [("a", 1.0), ("b", 1.0), ("c", 0.0)]
     env = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", None)], "unit string, sal double")
     assert rows(ordi.surface_grid(coords, env, "sal", nx=2, ny=2)) == [(0, 0, 1.0, 1), (1, 0, 3.0, 1)]
+
+
+def test_many_taxa_take_memory_by_entries(spark, monkeypatch):
+    """Fifty thousand taxa, few to a unit: the blocks hold entries only, and pairs and contributions equal brute force."""
+    rng = np.random.default_rng(8)
+    units = [dict(zip(rng.choice(50_000, 400, replace=False).tolist(), rng.integers(1, 50, 400).tolist())) | {u % 3: 7, 9: int(u) + 1} for u in range(60)]
+    cells = [(u, f"t{k}", float(x)) for u, own in enumerate(units) for k, x in own.items()]
+    table = spark.createDataFrame(cells, "unit long, taxon string, x double")
+    com = community(table)
+    assert com.n_entries == len(cells)
+    monkeypatch.setattr(bl, "BLOCK_ENTRIES", 5_000)
+    blocks, n_blocks = bl.blocks_of(com)
+    assert n_blocks >= 5
+    assert max(len(r["x"]) for r in blocks.select("x").collect()) < 8 * 3 * 5_000
+    found = {(r["i"], r["j"]): r["d"] for r in bray_curtis(com).collect()}
+    assert len(found) == 60 * 59 // 2
+    for (i, j), d in found.items():
+        keys = set(units[i]) | set(units[j])
+        gap = sum(abs(units[i].get(k, 0) - units[j].get(k, 0)) for k in keys)
+        assert abs(d - gap / (sum(units[i].values()) + sum(units[j].values()))) < 1e-12
+    env = spark.createDataFrame([(u, "ab"[u % 2]) for u in range(60)], "unit long, region string")
+    rows = {r["taxon"]: r for r in simper(com, env, "region").collect()}
+    for taxon in (0, 9, next(iter(units[5]))):
+        parts = [abs(units[i].get(taxon, 0) - units[j].get(taxon, 0)) / (sum(units[i].values()) + sum(units[j].values())) for i in range(0, 60, 2) for j in range(1, 60, 2)]
+        assert abs(rows[f"t{taxon}"]["average"] - np.mean(parts)) < 1e-12 and abs(rows[f"t{taxon}"]["sd"] - np.std(parts, ddof=1)) < 1e-12

@@ -14,32 +14,68 @@ from .dissimilarity import group_labels
 from .reshape import expand_tables
 
 
+CELLS = 1 << 20  # cells of taxon and pair of groups held at once
+
+
+def _by_group(at: np.ndarray, x: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of their unit's group, the groups, and where each begins."""
+    order = np.argsort(code[at], kind="stable")
+    at, x = at[order], x[order]
+    groups, starts = np.unique(code[at], return_index=True)
+    return at, x, groups, starts
+
+
+def _summed(rows: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by their code."""
+    out = np.zeros((n, rows.shape[1]))
+    np.add.at(out, code, rows)
+    return out
+
+
 def _contribution_sums(com: Community, groups: DataFrame, group: str) -> DataFrame:
-    """Per group pair and taxon: sum and sum of squares of |a - b| / (total_a + total_b) over the pairs."""
+    """Per group pair and taxon: sum and sum of squares of |a - b| / (total_a + total_b) over the pairs.
+
+    |a - b| is a + b less twice the lesser value, and its square a^2 + b^2 - 2 a b. So a value enters by its unit's weights towards the
+    groups of the other block, and only taxa that both blocks hold need their pairs. Taxa are handled some at a time, which bounds the
+    cells of groups held at once.
+    """
 
     def kernel(tiles: Iterator[Tile]):
         for tile in tiles:
             names_a, code_a = np.unique(np.asarray(tile.row.label_a, dtype=object), return_inverse=True)
             names_b, code_b = np.unique(np.asarray(tile.row.label_b, dtype=object), return_inverse=True)
-            member_a = np.eye(len(names_a))[code_a]
-            member_b = np.eye(len(names_b))[code_b]
-            n_taxa = tile.a.shape[1]
-            first = np.zeros((n_taxa, len(names_a), len(names_b)))
-            second = np.zeros_like(first)
-            for rows, mask in tile.strips():
-                weight = mask / (tile.a[rows].sum(1)[:, None] + tile.b.sum(1)[None, :])
-                for k in range(n_taxa):
-                    part = np.abs(tile.a[rows, k, None] - tile.b[None, :, k]) * weight
-                    first[k] += member_a[rows].T @ part @ member_b
-                    part *= part
-                    second[k] += member_a[rows].T @ part @ member_b
-            taxon_at, a_at, b_at = (v.ravel() for v in np.indices(first.shape))
-            left, right = names_a[a_at], names_b[b_at]
-            swap = left > right
-            between = left != right
-            yield {"g1": np.where(swap, right, left)[between], "g2": np.where(swap, left, right)[between],
-                   "taxon": tile.taxa[taxon_at][between],
-                   "c1": first.ravel()[between], "c2": second.ravel()[between]}
+            weight = 1 / (tile.a.total[:, None] + tile.b.total[None, :])
+            if tile.diagonal:
+                weight = np.triu(weight, 1)
+            square = weight * weight
+            by_b = [_summed(w.T, code_b, len(names_b)).T for w in (weight, square)]  # of a unit of a, towards groups of b
+            by_a = [_summed(w, code_a, len(names_a)) for w in (weight, square)]
+            shape = len(names_a), len(names_b)
+            taxa = np.unique(np.concatenate([tile.a.taxa, tile.b.taxa]))
+            in_a, in_b = ({t: k for k, t in enumerate(side.taxa)} for side in (tile.a, tile.b))
+            step = max(1, CELLS // (shape[0] * shape[1]))
+            for low in range(0, len(taxa), step):
+                chunk = taxa[low : low + step]
+                sums = np.zeros((2, len(chunk), *shape))
+                for k, taxon in enumerate(chunk):
+                    ka, kb = in_a.get(taxon), in_b.get(taxon)
+                    if ka is not None:
+                        i, x, g, a_starts = _by_group(*tile.a.entries(ka), code_a)
+                        for m in (0, 1):
+                            sums[m, k, g] += np.add.reduceat((x ** (m + 1))[:, None] * by_b[m][i], a_starts, axis=0)
+                    if kb is not None:
+                        j, y, h, b_starts = _by_group(*tile.b.entries(kb), code_b)
+                        for m in (0, 1):
+                            sums[m, k][:, h] += np.add.reduceat((y ** (m + 1)) * by_a[m][:, j], b_starts, axis=1)
+                    if ka is not None and kb is not None:
+                        pairs = np.ix_(i, j)
+                        for m, both in ((0, np.minimum.outer(x, y) * weight[pairs]), (1, np.multiply.outer(x, y) * square[pairs])):
+                            sums[m, k][np.ix_(g, h)] -= 2 * np.add.reduceat(np.add.reduceat(both, a_starts, axis=0), b_starts, axis=1)
+                taxon_at, a_at, b_at = np.nonzero(sums.any(0))
+                left, right = names_a[a_at], names_b[b_at]
+                swap, between = left > right, left != right
+                yield {"g1": np.where(swap, right, left)[between], "g2": np.where(swap, left, right)[between], "taxon": chunk[taxon_at][between],
+                       "c1": sums[0][taxon_at, a_at, b_at][between], "c2": sums[1][taxon_at, a_at, b_at][between]}
 
     tiles = tiles_of(com, group_labels(groups, group))
     partial = map_tiles(tiles, kernel, "g1 string, g2 string, taxon string, c1 double, c2 double")
