@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from towline.session import cut, drop
+from towline.session import cut, drop, release
 
 from .frames import bounded
 from .winnow import _row_keys
@@ -96,6 +96,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
     # Only the groups that another line has are met again below.
     shared = cut(x.join(y.hint("merge"), matches, "left_semi").select("line", "n", "at", "key"))
+    release(docs.sparkSession)  # the postings of all lines are by far the largest shuffle
     live = cut(shared.select("line").distinct())
     sets = cut(distinct.join(bounded(live, 16), "line", "left_semi").select("line", _tokens("words", levels).alias("t")))
     drop(several, copied, live)
