@@ -58,11 +58,6 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: its cleaner does so when the driver next collects garbage."""
-    spark._jvm.System.gc()
-
-
 def drop(*tables: DataFrame) -> None:
     """Delete tables that `cut` wrote, once everything made from them is written itself."""
     for table in tables:
