@@ -68,6 +68,17 @@ def t_quantile(df: float) -> float:
     return high
 
 
+def f_quantile(p: float, df1: float, df2: float) -> float:
+    """The point of the F distribution with probability `p` below it, by bisection on its upper tail."""
+    low, high = 0.0, 1.0
+    while f_p(high, df1, df2) > 1 - p:
+        low, high = high, 2 * high
+    while high - low > 1e-13 * high:
+        middle = (low + high) / 2
+        low, high = (middle, high) if f_p(middle, df1, df2) > 1 - p else (low, middle)
+    return high
+
+
 @dataclass
 class Fit:
     """A fitted linear predictor. `kept` lists the design columns that were not aliased."""

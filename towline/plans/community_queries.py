@@ -418,6 +418,23 @@ def scale_reduction(spark, sf):
     return dr.psrf(tv.draws(spark, sf)).withColumn("psrf", r("psrf"))
 
 
+_THREE_CHAINS = tv.DRAWS_SQL.replace("event_id % 4", "event_id % 3").replace("event_id / 4", "event_id / 3")
+
+
+# With three chains the F distribution has two degrees of freedom between chains, and its quantiles a closed form.
+@query("scale_reduction_limit", f"""WITH {_THREE_CHAINS}, c AS (
+  SELECT param, chain, avg(value) AS m, var_samp(value) AS s2, CAST(count(*) AS DOUBLE) AS n FROM draws GROUP BY ALL
+), p AS (
+  SELECT param, CAST(count(*) AS DOUBLE) AS k, avg(n) AS n, avg(s2) AS w, avg(m) AS mu, avg(n) * var_samp(m) AS b, var_samp(s2) AS vs,
+         avg(n) / count(*) * (covar_samp(s2, m * m) - 2 * avg(m) * covar_samp(s2, m)) AS cwb FROM c GROUP BY 1
+), v AS (SELECT *, (n - 1) / n * w + (1 + 1 / k) * b / n AS v, 2 * w * w * k / vs AS dw,
+  ((n - 1) ** 2 * vs / k + (1 + 1 / k) ** 2 * 2 * b * b / (k - 1) + 2 * (n - 1) * (1 + 1 / k) * cwb) / (n * n) AS vv FROM p
+), f AS (SELECT *, (2 * v * v / vv + 3) / (2 * v * v / vv + 1) AS correction, dw / 2 * (0.025 ** (-2 / dw) - 1) AS quantile FROM v)
+SELECT param, round(sqrt(correction * v / w), 6) AS psrf, round(sqrt(correction * ((n - 1) / n + quantile * (1 + 1 / k) * b / n / w)), 6) AS upper FROM f""")
+def scale_reduction_limit(spark, sf):
+    return dr.psrf(tv.draws(spark, sf, chains=3), confidence=0.95).withColumns({"psrf": r("psrf"), "upper": r("upper")})
+
+
 @query("renumbered_draws", f"""WITH {tv.DRAWS_SQL}
 SELECT chain, param, row_number() OVER (PARTITION BY chain, param ORDER BY iter) - 1 AS iter, value FROM draws""")
 def renumbered_draws(spark, sf):
@@ -437,3 +454,26 @@ e AS (SELECT chain, param, any_value(n) AS n, sum(low) AS total, max(c0) AS c0 F
 SELECT param, round(sum(least(n, n * c0 / (2 * total - c0))), 4) AS ess, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY 1""")
 def effective_sample_size(spark, sf):
     return dr.ess(dr.renumber_iterations(tv.draws(spark, sf))).withColumn("ess", r("ess", 4))
+
+
+@query("spectral_sample_size", f"""WITH RECURSIVE {tv.DRAWS_SQL}, d AS (
+  SELECT chain, param, row_number() OVER (PARTITION BY chain, param ORDER BY iter) - 1 AS iter, value - avg(value) OVER (PARTITION BY chain, param) AS v,
+         count(*) OVER (PARTITION BY chain, param) AS n FROM draws
+), l AS (
+  SELECT a.chain, a.param, b.iter - a.iter AS lag, sum(a.v * b.v) / any_value(a.n) AS c, any_value(a.n) AS n
+  FROM d a JOIN d b ON a.chain = b.chain AND a.param = b.param AND b.iter BETWEEN a.iter AND a.iter + CAST(floor(least(a.n - 2, 10 * log10(a.n))) AS BIGINT)
+  GROUP BY ALL
+), c AS (SELECT chain, param, any_value(n) AS n, list(c ORDER BY lag) AS c FROM l GROUP BY ALL HAVING max(CASE WHEN lag = 0 THEN c END) > 0),
+steps(chain, param, n, c, k, a, v) AS (
+  SELECT chain, param, n, c, 0, CAST([] AS DOUBLE[]), c[1] FROM c
+  UNION ALL
+  SELECT chain, param, n, c, k + 1, list_append(list_transform(range(1, k + 1), lambda i: a[i] - q * a[k + 1 - i]), q), v * (1 - q * q)
+  FROM (SELECT *, (c[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: a[i] * c[k + 2 - i])), 0)) / v AS q FROM steps WHERE k + 1 < len(c))
+  WHERE q * q < 1
+), best AS (
+  SELECT DISTINCT ON (chain, param) * FROM steps ORDER BY chain, param, n * ln(v) + 2 * k, k
+)
+SELECT param, round(sum(n * (c[1] * n / (n - 1)) * (1 - coalesce(list_sum(a), 0)) ** 2 * (n - k - 1) / (v * n)), 4) AS ess, CAST(sum(n) AS BIGINT) AS n
+FROM best GROUP BY 1""")
+def spectral_sample_size(spark, sf):
+    return dr.ess_spectral(dr.renumber_iterations(tv.draws(spark, sf))).withColumn("ess", r("ess", 4))

@@ -184,11 +184,11 @@ COORDS_SQL = """coords AS (
 )"""
 
 
-def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posterior-style draws: four chains per parameter, values of both signs."""
+def draws(spark: SparkSession, sf_dir: str, chains: int = 4) -> DataFrame:
+    """Posterior-style draws: some chains per parameter, values of both signs."""
     return table(spark, sf_dir, "events").select(
-        F.pmod(F.col("event_id"), F.lit(4)).alias("chain"),
-        F.floor(F.col("event_id") / 4).alias("iter"),
+        F.pmod(F.col("event_id"), F.lit(chains)).alias("chain"),
+        F.floor(F.col("event_id") / chains).alias("iter"),
         F.col("event_type").alias("param"),
         (F.col("value") - 35).alias("value"),
     )
