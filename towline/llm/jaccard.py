@@ -17,6 +17,7 @@ A document is its set of 5-word shingles. Documents with equal sets form one cla
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -24,26 +25,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from towline.session import cut, drop
 
 from .components import components
-from .frames import bounded, map_texts
+from .frames import bounded
 from .text import FOLDED, Words, blocks, mix, shingles, whole
 
 K = 5
 PART, WHOLE = 75, 100  # linked if WHOLE * intersection >= PART * union
-BUCKET_POSTINGS = 2_000_000
+BUCKET_POSTINGS = 2_000_000  # counted as one for every WORD_BYTES of text
+WORD_BYTES = 6
 SKETCH_BITS = 18
 # Heads of lists in the rounds: first the set with the fewest shingles of its own, as the original of a group of near copies has.
 HEADS = (("plain / n", "set_id"), ("set_id",))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def shingle_sets(words: Words) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
-    words = Words(data, offsets, FOLDED)
     grams, out = shingles(words.hash, K), []
-    for d in range(len(offsets) - 1):
+    for d in range(len(words.first) - 1):
         low, high = words.first[d], words.first[d + 1]
         out.append(np.unique(grams[low : high - K + 1]) if high - low >= K else whole(words.hash[low:high]) if high > low else grams[:0])
     return out
@@ -90,9 +93,13 @@ def _packed(bucket: np.ndarray, sets: np.ndarray, sizes: np.ndarray, hashes: np.
     return out
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=_NAMES)
+def _fill(columns: dict[str, pa.Array], schema: pa.Schema, n: int) -> pa.RecordBatch:
+    """A batch of `n` rows with these columns; the others are NULL."""
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return _fill({name: pa.array(list(c), schema.field(name).type) for name, c in zip(_NAMES, zip(*rows))}, schema, len(rows))
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,31 +113,47 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1]) if len(sorted_values) else np.zeros(0, int)
 
 
-def _ship(batches, bits: int):
-    """Postings of a task's texts. What stands in several of its sets is known to be listed and is shipped once, unowned."""
+def _ship(batches, bits: int, schema: pa.Schema, keep: list[str], extra):
+    """One row per text, and the postings of a task's texts. What stands in several of its sets is known to be listed and is shipped once, unowned."""
+    seen = 0
     for batch in batches:
-        for rows, data, offsets in blocks(batch):
-            own = {set_id(s): s for s in shingle_sets(data, offsets) if len(s)}
-            if not own:
-                continue
-            ids, sizes = np.array(list(own), np.uint64), np.array([len(s) for s in own.values()], np.int32)
-            hashes, owner = np.concatenate(list(own.values())), np.repeat(np.arange(len(ids)), sizes)
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            heads = _runs(hashes)
-            length = np.diff(np.append(heads, len(hashes)))
-            single = length == 1
-            first, to = hashes[heads], np.where(single, ids[owner[heads]], np.uint64(0))
-            out = _packed(_top(first, bits), to, np.where(single, sizes[owner[heads]], 0), first, False)
-            several = np.repeat(~single, length)
-            here = np.full(np.count_nonzero(several), _top(ids[:1], bits)[0])
-            out += _packed(here, ids[owner[several]], sizes[owner[several]], hashes[several], True)
-            yield _table(out)
-
-
-def _listed(table: pa.Table, bits: int) -> pa.Table:
-    """Of one bucket: the postings whose shingle stands in two sets or more, dealt by set."""
-    rows = []
+        for rows, data, offsets in blocks(batch, "__text"):
+            n = rows.stop - rows.start
+            words = Words(data, offsets, FOLDED)
+            sets = shingle_sets(words)
+            ids = np.array([set_id(x) if len(x) else 0 for x in sets], np.uint64)
+            counts = np.array([len(x) for x in sets], np.int64)
+            texts = {c: batch.column(c).slice(rows.start, n) for c in keep}
+            # Rows are dealt out evenly, also those without words.
+            texts |= {"bucket": pa.array(_top(mix(np.arange(seen, seen + n)), bits), pa.int32()), "n_shingles": pa.array(counts),
+                      "set_id": pa.array(ids.view(np.int64), mask=counts == 0)}
+            texts |= {name: pa.array(x) for name, x in extra(words, data, offsets).items()} if extra else {}
+            yield _fill(texts, schema, n)
+            seen += n
+            own = {i: x for i, x in zip(ids, sets) if len(x)}
+            if own:
+                yield _table(_posted(own, bits), schema)
+
+
+def _posted(own: dict[np.uint64, np.ndarray], bits: int) -> list[tuple]:
+    """Packed postings of distinct sets."""
+    ids, sizes = np.array(list(own), np.uint64), np.array([len(s) for s in own.values()], np.int32)
+    hashes, owner = np.concatenate(list(own.values())), np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    heads = _runs(hashes)
+    length = np.diff(np.append(heads, len(hashes)))
+    single = length == 1
+    first, to = hashes[heads], np.where(single, ids[owner[heads]], np.uint64(0))
+    out = _packed(_top(first, bits), to, np.where(single, sizes[owner[heads]], 0), first, False)
+    several = np.repeat(~single, length)
+    here = np.full(np.count_nonzero(several), _top(ids[:1], bits)[0])
+    return out + _packed(here, ids[owner[several]], sizes[owner[several]], hashes[several], True)
+
+
+def _listed(table: pa.Table, bits: int, schema: pa.Schema) -> pa.Table:
+    """Of one bucket: the rows of texts, and the postings whose shingle stands in two sets or more, dealt by set."""
+    rows, texts = [], table.filter(pc.is_null(table.column("listed"))).select(schema.names).cast(schema)
     for known in (True, False):
         mask = table.column("listed") if known else pc.invert(table.column("listed"))
         sets, sizes, hashes = _unpacked(table.filter(mask))
@@ -142,11 +165,13 @@ def _listed(table: pa.Table, bits: int) -> pa.Table:
             keep = np.repeat(several, np.diff(np.append(heads, len(hashes)))) & (sets != 0)
             sets, sizes, hashes = sets[keep], sizes[order[keep]], hashes[keep]
         rows += _packed(_top(sets, bits), sets, sizes, hashes, True)
-    return pa.Table.from_batches([_table(rows)])
+    return pa.concat_tables([texts, pa.Table.from_batches([_table(rows, schema)])])
 
 
-def _survivors(table: pa.Table) -> pa.Table:
-    """Of the sets of one bucket: those with enough listed shingles, and these."""
+def _survivors(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Of one bucket: the rows of texts, and of its sets those with enough listed shingles, and these."""
+    text = pc.is_null(table.column("listed"))
+    texts, table = table.filter(text), table.filter(pc.invert(text))
     sets, sizes, hashes = _unpacked(table)
     order = np.lexsort((hashes, sets))
     sets, sizes, hashes = sets[order], sizes[order], hashes[order]
@@ -156,10 +181,13 @@ def _survivors(table: pa.Table) -> pa.Table:
     heads = _runs(sets)
     ends = np.append(heads[1:], len(sets))
     good = [(a, b) for a, b in zip(heads, ends) if b - a >= least_shared(int(sizes[a]))]
-    return pa.table({
+    found = {
         "set_id": pa.array([int(sets[a].astype(np.int64)) for a, _ in good], pa.int64()), "n": pa.array([int(sizes[a]) for a, _ in good], pa.int32()),
         "hashes": pa.array([hashes[a:b].tobytes() for a, b in good], pa.binary()),
-    })
+    }
+    none = {"n": pa.nulls(len(texts), pa.int32()), "hashes": pa.nulls(len(texts), pa.binary())}
+    own = pa.table([none[f.name] if f.name in none else texts.column(f.name).cast(f.type) for f in schema], schema=schema)
+    return pa.concat_tables([own, pa.Table.from_batches([_fill(found, schema, len(good))])])
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -239,16 +267,28 @@ def _other(short: DataFrame, *more: Column) -> DataFrame:
     return short.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("left"), *more)
 
 
-def linked_sets(docs: DataFrame, n_postings: int) -> DataFrame:
-    """(node, root) for the shingle sets of `docs` that are linked with another; `n_postings` is the sum of their sizes."""
-    bits = max(0, int(np.ceil(np.log2(max(1, n_postings) / BUCKET_POSTINGS))))
-    shipped = docs.select("text").mapInArrow(partial(_ship, bits=bits), _PACKED)
-    listed = shipped.groupBy("bucket").applyInArrow(lambda rows: _listed(rows, bits), _PACKED)
-    sets = cut(listed.groupBy("bucket").applyInArrow(lambda rows: _survivors(rows), "set_id bigint, n int, hashes binary"))
+def _read_texts(docs: DataFrame, keep: list[str], extra, fields: str) -> tuple[DataFrame, DataFrame]:
+    """In one pass over the texts: a row for each text (`keep`, n_shingles, set_id and `fields`), and one for each shingle set that
+    may be linked with another (set_id, n, hashes). The rows of texts travel with the postings, so that no text is parsed twice."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, size) / WORD_BYTES / BUCKET_POSTINGS))))
+    names = [f"__keep{i}" for i in range(len(keep))]
+    source = docs.select(*[F.col(c).alias(name) for c, name in zip(keep, names)], F.col("text").alias("__text"))
+    texts = ", ".join([f"{name} {docs.schema[c].dataType.simpleString()}" for c, name in zip(keep, names)] + ["n_shingles bigint, set_id bigint"] + ([fields] if fields else []))
+    sent, end = f"{texts}, {_PACKED}", f"{texts}, n int, hashes binary"
+    arrow = [to_arrow_schema(StructType.fromDDL(x)) for x in (sent, end)]
+    shipped = source.mapInArrow(partial(_ship, bits=bits, schema=arrow[0], keep=names, extra=extra), sent)
+    listed = shipped.groupBy("bucket").applyInArrow(lambda rows: _listed(rows, bits, arrow[0]), sent)
+    done = cut(listed.groupBy("bucket").applyInArrow(lambda rows: _survivors(rows, arrow[1]), end))
+    return done.withColumnsRenamed(dict(zip(names, keep))), done
+
+
+def linked_sets(sets: DataFrame) -> DataFrame:
+    """(node, root) for those of the sets (set_id, n, hashes) that are linked with another."""
     level = _sketch(sets)
     short = cut(sets.mapInArrow(partial(_postings, level=level), "shingle bigint, set_id bigint, n int, rest int, plain int"))
 
-    ties, met, roots, written = None, None, None, [sets, short]
+    ties, met, roots, written = None, None, None, [short]
     for order in HEADS:
         placed = short.withColumn("root", F.col("set_id")) if roots is None else _mixed(short, roots)
         heads = placed.groupBy("shingle").agg(F.min_by(F.struct("set_id", "n", "rest", "root"), F.struct(*[F.expr(x) for x in order])).alias("h"))
@@ -266,7 +306,7 @@ def linked_sets(docs: DataFrame, n_postings: int) -> DataFrame:
         (F.col("set_id") < F.col("b")) & (F.col("root") != F.col("other")) & _can_link())
     rest = rest.select(F.col("set_id").alias("a"), "b").distinct().join(met, ["a", "b"], "left_anti")
     last = _verified(rest, sets, level)
-    drop(sets, short, placed)
+    drop(placed)
     result = components(ties.union(last))
     drop(last, *written)
     return result
@@ -279,20 +319,19 @@ def _mixed(short: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "shingle")
 
 
-def clusters(docs: DataFrame, keep: list[str], least: str | Column) -> DataFrame:
-    """`keep`, n_shingles, cluster and least for each row of `docs`.
+def clusters(
+    docs: DataFrame, keep: list[str], least: str | Column, extra: Callable[[Words, np.ndarray, np.ndarray], dict[str, np.ndarray]] | None = None, fields: str = "",
+) -> DataFrame:
+    """`keep`, n_shingles, cluster and least for each row of `docs`, and `fields`, which `extra` gives for a block of texts.
 
     `cluster` is a number that linked rows share, and `least` the least value of that expression of `keep` among them. Both are NULL
     for rows that are linked with no other, as those without words are. Rows with equal sets are linked.
     """
-
-    def sizes(data, offsets):
-        sets = shingle_sets(data, offsets)
-        return [np.array([len(s) for s in sets], np.int64), np.array([set_id(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)]
-
-    own = cut(map_texts(docs, keep, sizes, "n_shingles bigint, set_id bigint").withColumn("set_id", F.when(F.col("n_shingles") > 0, F.col("set_id"))))
+    done, written = _read_texts(docs, keep, extra, fields)
+    added = [f.split()[0] for f in fields.split(", ")] if fields else []
+    own = done.filter("hashes is null").select(*keep, "n_shingles", "set_id", *added)
     classes = own.filter("set_id is not null").groupBy("set_id").agg(F.min(least).alias("__least"))
-    roots = linked_sets(docs, own.agg(F.sum("n_shingles")).first()[0] or 0)
+    roots = linked_sets(written.filter("hashes is not null").select("set_id", "n", "hashes"))
     named = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = cut(named)
     groups = named.groupBy("root").agg(F.min("__least").alias("least"), F.count(F.lit(1)).alias("__classes"))
@@ -301,7 +340,9 @@ def clusters(docs: DataFrame, keep: list[str], least: str | Column) -> DataFrame
     look = named.join(groups, "root").join(many, "set_id").filter("__rows > 1 or __classes > 1").select("set_id", F.col("root").alias("cluster"), "least")
     look = bounded(cut(look), 40)
     drop(roots, named)
-    return own.join(look, "set_id", "left").select(*keep, "n_shingles", "cluster", "least")
+    result = own.join(look, "set_id", "left").select(*keep, "n_shingles", "cluster", "least", *added)
+    result._written_to = written._written_to  # so that the caller can drop it
+    return result
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:

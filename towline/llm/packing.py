@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from towline.session import cut
+from towline.session import cut, drop
 
 from .jaccard import clusters
+from .text import FOLDED, Words, sequences
 
 CAPACITY = 2048  # words
 SHARD_PIECES = 20_000
@@ -97,6 +99,18 @@ def pack(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return f
 
 
+def _text_keys(words: Words, data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
+    """Per text: its number of words, and a hash of its words in lower case, NULL without any. `words` are those with A-Z as a-z."""
+    folded = sequences(words)
+    for d in np.flatnonzero(np.add.reduceat(np.append(data > 127, False), offsets[:-1]) * (np.diff(offsets) > 0)):
+        text = data[offsets[d] : offsets[d + 1]].tobytes()
+        lower = text.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
+        if lower != text.lower():  # capitals beyond A-Z
+            folded[d] = sequences(Words(np.frombuffer(lower, np.uint8), np.array([0, len(lower)]), FOLDED))[0]
+    n = words.counts()
+    return {"n_words": pa.array(n, pa.int64()), "folded": pa.array(folded.view(np.int64), mask=n == 0)}
+
+
 def packed(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, cluster: str | None = None, near: bool = False) -> DataFrame:
     """(doc_id, piece, n_tokens, source, shard, bin, start): each piece, its bin within its shard, and where it starts there.
 
@@ -106,13 +120,18 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     Pieces of one document conflict with one another. Repeated rows are packed one by one. An empty table gives an empty
     result.
     """
-    folded = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    key = F.col(cluster).cast("string") if cluster else F.when(n > 0, F.xxhash64(folded).cast("string"))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n.cast("bigint").alias("__n"),
-                       key.alias("__folded" if near else "__cluster"), F.xxhash64("doc_id", "text").alias("__row"), "text")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "text").alias("__row"), "text", *([F.col(cluster).cast("string").alias("__given")] if cluster else []))
     kept = [c for c in rows.columns if c != "text"]
-    rows = cut(clusters(rows, kept, "__row").select(*kept, F.col("cluster").alias("__cluster")) if near else rows.select(*kept))
+    if near:
+        linked = clusters(rows, kept, "__row", _text_keys, "n_words bigint, folded bigint")
+        equal = F.col("__given") if cluster else F.col("folded").cast("string")
+        rows = cut(linked.select("doc_id", "source", "__row", F.col("n_words").alias("__n"), equal.alias("__folded"), F.col("cluster").alias("__cluster")))
+        drop(linked)
+    else:
+        folded = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ")))
+        n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+        key = F.col("__given") if cluster else F.when(n > 0, F.xxhash64(folded).cast("string"))
+        rows = cut(rows.select("doc_id", "source", n.cast("bigint").alias("__n"), key.alias("__cluster"), "__row"))
     keys = [c for c in ("__cluster", "__folded") if c in rows.columns]
     last = F.greatest(F.ceil(F.col("__n") / capacity).cast("int") - 1, F.lit(0))
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))

@@ -112,6 +112,17 @@ def whole(words: np.ndarray) -> np.ndarray:
     return mix(np.array([total], np.uint64))
 
 
+def sequences(words: Words) -> np.ndarray:
+    """One hash per text of its words in their order; 0 for a text without words."""
+    counts = words.counts()
+    place = np.arange(len(words.hash), dtype=np.uint64) - np.repeat(words.first[:-1], counts).astype(np.uint64)
+    value = mix(words.hash + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    out, some = np.zeros(len(counts), np.uint64), counts > 0
+    if some.any():
+        out[some] = mix(np.add.reduceat(value, words.first[:-1][some]))
+    return out
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Rows of a batch, the bytes of their texts, and where each text starts. NULL counts as empty."""
     texts = batch.column(column)
