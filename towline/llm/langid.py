@@ -127,13 +127,18 @@ def fit(docs: DataFrame, parts: int = 4, part: int = 2, max_texts: int = 4_000,
     """
     usable = docs.select("doc_id", "lang", "text").filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"), parts, part))
-    n_languages = usable.agg(F.countDistinct("lang")).first()[0]
-    if not n_languages:
+    # One row per language, and about how many documents it has.
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
+    if not sizes:
         return None
-    # Ranks below 1000 are found before the shuffle, so that a frequent language makes no large task.
+    share = max(1, min(1000, max_texts // len(sizes)))
+    # A document can only be among the first of its language if its hash is low. Below these limits are four times as many as are
+    # wanted, and some more, so that a frequent language makes no large task.
+    limits = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, (4 * share + 64) * (1 << 64) // max(1, r["n"]))) for r in sizes]
+    limits = usable.sparkSession.createDataFrame(limits, "lang string, __limit bigint")
+    low = usable.select("doc_id", "lang").join(F.broadcast(limits), "lang").filter(F.xxhash64("doc_id") <= F.col("__limit"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    share = max(1, min(1000, max_texts // n_languages))
-    chosen = usable.select("doc_id", "lang").withColumn("__rank", rank).filter(F.col("__rank") <= share).select("doc_id", "lang").distinct()
+    chosen = low.select("doc_id", "lang").distinct().withColumn("__rank", rank).filter(F.col("__rank") <= share).select("doc_id", "lang")
     # At most max_texts ids, or one per language: safe to broadcast at any size of the corpus.
     sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     each = max(1, max_windows // max_texts)
