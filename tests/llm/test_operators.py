@@ -336,18 +336,26 @@ def test_warc(spark):
     tricky = "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n\r\n\r\nWARC/1.1"
     rows = [(1, "http://a/", "same"), (2, "http://b c/\r\nX: y", "same"), (7, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", tricky), (6, "u", "ünï" * 5000), (7, None, "same"), (8, "u", "alone"), (None, "u", "none")]
     got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
-    last, expected = {}, set()
+    last, expected = {}, []
     for i, _, h in rows:
         last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
     for i, _, h in rows:
         b = (h or "").encode()
         to = last[h or ""]
         again = i is not None and to != i
-        expected.add((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", to if again else None))
+        expected.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", to if again else None))
     same(got, expected, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_keeps_repeated_rows(spark):
+    rows = [(4, "u", "same")] * 2500 + [(3, "u", "same")] * 3 + [(None, None, None)] * 2 + [(1, "u", "alone")]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got.select("capture_id").distinct().count() == len(rows)
+    expected = [(4, 4, "response", None)] * 2500 + [(3, 4, "revisit", 4)] * 3 + [(None, 0, "response", None)] * 2 + [(1, 5, "response", None)]
+    same(got, expected, "page_id", "payload_bytes", "record_type", "refers_to")
+
+
 def test_warc_keeps_urls_apart(spark):
     rows = [(None, "u", "none"), (None, "v", "none"), (None, None, "none"), (1, "a", "same"), (1, "b", "same"), (0, "c", "same"), (None, "d", "same"), (None, "e", "same")]
     got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from towline.session import checkpoint_folder, cut
+from towline.session import checkpoint_folder, cut, drop
 
 from .frames import bounded
 
@@ -52,28 +52,48 @@ def _record(kind: str, headers: list[Column], block: Column) -> Column:
     return F.concat(F.lit(f"WARC/1.1{_END}WARC-Type: {kind}{_END}"), *headers, length, F.lit(_END), block)
 
 
+def _numbered(rows: DataFrame, repeated: DataFrame, together: int = 1000) -> DataFrame:
+    """`rows` with a `number` that tells equal captures apart. The `repeated` ones are written from one row each and their count, so no group is
+    sorted, and are dealt out again, `together` at a time, so none makes a large task."""
+    if repeated.isEmpty():
+        return rows.withColumn("number", F.lit(0).cast("bigint"))
+    keys = ["digest", "page_id", "url"]
+    some = bounded(repeated, F.lit(96) + F.coalesce(F.octet_length("url"), F.lit(0))).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    once = rows.join(some, same, "left_anti").withColumn("number", F.lit(0).cast("bigint"))
+    again = rows.join(some, same).groupBy(*keys).agg(F.first("body").alias("body"), F.first("__n").alias("__n"))
+    again = again.withColumn("__low", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(together).cast("bigint"))))
+    again = again.repartition(*keys, "__low").withColumn("number", F.explode(F.sequence("__low", F.least(F.col("__low") + together, F.col("__n")) - 1)))
+    return once.unionByName(again.drop("__n", "__low"))
+
+
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0) -> None:
     """Write a transaction for each capture of `pages` (page_id, url, html) as gzipped WARC files into `folder`.
 
     Of captures with equal payloads of at least `least_bytes` bytes, the one with the largest page_id is a response and
     the others are revisits of it; smaller payloads are always responses. NULL html is an empty payload; a NULL url has no
     target. NULL page_ids are smaller than all others and never revisited unless all are NULL. Rows with the same
-    page_id, url and payload are one capture, whose record is written again.
+    page_id, url and payload are numbered, so that each is a capture of its own; of those the first is the one revisited.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("body"), base32_sha1(payload.cast("binary")).alias("digest"))
     # Only payloads that recur: with the written size known, a small table is sent to all tasks and the pages are not shuffled.
-    copies = rows.filter(F.octet_length("body") >= least_bytes).groupBy("digest").agg(
+    # Equal captures are counted first, so that a payload of any number of copies is combined before it is shuffled.
+    seen = cut(rows.groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("__n"), F.first(F.octet_length("body")).alias("__bytes")))
+    copies = seen.filter(F.col("__bytes") >= least_bytes).groupBy("digest").agg(
         F.max(F.struct("page_id", "url")).alias("__first"), F.min("page_id").alias("__min"), F.count("page_id").alias("__ids"), F.count(F.lit(1)).alias("__all"))
     copies = copies.select("digest", F.col("__first.page_id").alias("keep"), F.col("__first.url").alias("keep_url"), "__min", "__ids", "__all")
     copies = cut(copies.filter("keep is not null and (keep <> __min or __ids < __all)").select("digest", "keep", "keep_url"))
-    rows = rows.join(bounded(copies, F.lit(80) + F.coalesce(F.octet_length("keep_url"), F.lit(0))), "digest", "left")
+    repeated = cut(seen.filter("__n > 1").select("digest", "page_id", "url", "__n"))
+    mean = seen.agg(F.sum(F.col("__bytes") * F.col("__n")) / F.sum("__n")).first()[0] or 0
+    drop(seen)
+    rows = _numbered(rows, repeated).join(bounded(copies, F.lit(80) + F.coalesce(F.octet_length("keep_url"), F.lit(0))), "digest", "left")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
 
     # The url comes last and is marked, so that no two captures read alike.
-    own = [F.col("page_id"), F.col("digest"), F.concat(F.lit("url "), "url")]
+    own = [F.col("page_id"), F.col("digest"), F.concat(F.lit("url "), "url"), F.when(F.col("number") > 0, F.col("number"))]
     name = _record_id("response", *own)
-    original = _record_id("response", F.col("keep"), F.col("digest"), F.concat(F.lit("url "), "keep_url"))
+    original = _record_id("response", F.col("keep"), F.col("digest"), F.concat(F.lit("url "), "keep_url"), F.lit(None))
     size = F.octet_length("body").cast("string")
     target, when = _header("WARC-Target-URI", F.col("url")), _header("WARC-Date", F.lit(date))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), size, F.lit(_END + _END))
@@ -93,7 +113,6 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     ], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_END)))
     records = rows.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
     # Files are read whole, so their sizes are bounded by rows of mean size; one huge record is a file of its own at most.
-    mean = rows.agg(F.avg(F.octet_length("body"))).first()[0] or 0
     per_file = max(1, int(MAX_FILE_BYTES / (mean + 2000)) * 3)
     records.write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
 
@@ -205,16 +224,18 @@ def _followed(beside: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, capture_id) per capture, from archives written and read back.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, capture_id) per row of `pages`, from archives written and read back.
 
     Length and digest of a revisit are those of the payload it refers to.
     """
     folder = f"{checkpoint_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder)
-    captures = cut(assemble(read_archives(spark, folder, payload=False)).select(
+    records = cut(read_archives(spark, folder, payload=False))
+    captures = cut(assemble(records).select(
         "capture_id", F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("original"),
         F.coalesce("response.payload_digest", "response.stated_digest").alias("payload_digest"), F.col("response.payload_bytes").alias("own_bytes"),
         F.regexp_extract(F.get("metadata", F.lit(0))["fields"], r"pageId: (-?\d*)", 1).alias("page")))
+    drop(records)
     page = F.when(F.col("page") != "", F.col("page").cast("bigint"))
     seen = captures.filter("record_type = 'revisit'").select(F.col("original").alias("capture_id")).distinct()
     originals = captures.join(seen, "capture_id", "left_semi").select(
