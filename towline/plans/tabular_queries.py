@@ -11,6 +11,7 @@ from ..functions import (
 from ..operators import aggregate as agg
 from ..operators import joins, reshape
 from ..operators.describe import describe_table
+from ..operators.regions import box_table, classify_by_boxes
 from ..session import cut as cut_lineage
 from ..sources import season_of
 from . import testviews as tv
@@ -175,6 +176,36 @@ def region_boxes(spark, sf):
     return classify_boxes(tv.stations(spark, sf), "lat", "lon", REGION_BOXES, out="box").select("station", "box")
 
 
+@query("region_boxes_indexed", f"""WITH {tv.STATIONS_SQL}
+SELECT station, {_BOX_CASE} AS box FROM stations""")
+def region_boxes_indexed(spark, sf):
+    stations = tv.stations(spark, sf)
+    return classify_by_boxes(stations, "lat", "lon", box_table(spark, REGION_BOXES), out="box").select("station", "box")
+
+
+# As many boxes as there are parts, of very different sizes, over as many positions as there are orders.
+@query("regions_of_many_boxes", """WITH boxes AS (
+  SELECT p_name AS name, p_partkey AS priority, 37 + (p_partkey * 31 % 1900) / 1000.0 AS lat_low, -123 + (p_partkey * 17 % 2900) / 1000.0 AS lon_low,
+         p_size / 200.0 / (1 + p_partkey % 7) AS height, p_size / 300.0 / (1 + p_partkey % 11) AS width FROM part
+), points AS (SELECT o_orderkey, 37 + (o_orderkey * 7919 % 2000) / 1000.0 AS lat, -123 + (o_orderkey * 104729 % 3000) / 1000.0 AS lon FROM orders),
+named AS (
+  SELECT o_orderkey, arg_max(name, priority) AS name FROM points JOIN boxes
+  ON lat >= lat_low AND lat < lat_low + height AND lon > lon_low AND lon <= lon_low + width GROUP BY 1
+)
+SELECT o_orderkey, name FROM points LEFT JOIN named USING (o_orderkey)""")
+def regions_of_many_boxes(spark, sf):
+    key = F.col("p_partkey")
+    low, left = F.lit(37) + key * 31 % 1900 / 1000.0, F.lit(-123) + key * 17 % 2900 / 1000.0
+    boxes = tv.table(spark, sf, "part").select(
+        F.col("p_name").alias("name"), key.alias("priority"), low.alias("lat_low"), F.lit(False).alias("lat_low_open"),
+        (low + F.col("p_size") / 200.0 / (1 + key % 7)).alias("lat_high"), F.lit(True).alias("lat_high_open"), left.alias("lon_low"),
+        F.lit(True).alias("lon_low_open"), (left + F.col("p_size") / 300.0 / (1 + key % 11)).alias("lon_high"), F.lit(False).alias("lon_high_open"))
+    order = F.col("o_orderkey")
+    points = tv.table(spark, sf, "orders").select(
+        order, (F.lit(37) + order * 7919 % 2000 / 1000.0).alias("lat"), (F.lit(-123) + order * 104729 % 3000 / 1000.0).alias("lon"))
+    return classify_by_boxes(points, "lat", "lon", boxes, out="name").select("o_orderkey", "name")
+
+
 @query("constant_tag", """SELECT s_suppkey AS station, 'shore' AS survey FROM supplier""")
 def constant_tag(spark, sf):
     return tv.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("station"), F.lit("shore").alias("survey"))
