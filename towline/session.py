@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int | str = "*", app: str = "towline", memory: str = "12g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -49,10 +51,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     The result survives lost executors, ends the lineage, and is planned with its real size: a table
     that went through many joins would otherwise carry the product of all their size estimates.
+    The shuffle files of the write are deleted at its end, not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/towline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, True)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
