@@ -85,20 +85,31 @@ def test_winnowing(spark, docs, texts):
 
 
 def brute_factors(texts):
-    """A row is judged against rows of smaller id (NULL is the largest) and earlier starts of its own."""
+    """A row is judged against rows of smaller id (NULL is the largest) and earlier starts of its own; factors go on while their reference does."""
     place = lambda i: 1 << 62 if i is None else i
+    first = {}
+    for i, t in texts:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            first[g] = min(first.get(g, (place(i), k)), (place(i), k))
     out = []
     for i, t in texts:
         w = WORD.findall(t or "")
-        before = {tuple(x[k : k + 20]) for j, u in texts if place(j) < place(i) for x in [WORD.findall(u or "")] for k in range(len(x) - 19)}
-        keep, own = [True] * len(w), set()
+        keep, own, found, last = [True] * len(w), {}, [], None
         for k in range(len(w) - 19):
             g = tuple(w[k : k + 20])
-            if g in before or g in own:
+            at = first[g] if first[g][0] < place(i) else (place(i), own[g]) if g in own else None
+            own.setdefault(g, k)
+            if at:
                 keep[k : k + 20] = [False] * 20
-            own.add(g)
+                if last and at == (last[0], last[1] + 1):
+                    found[-1][1] += 1
+                else:
+                    found.append([k, k + 20, None if at[0] == 1 << 62 else at[0], at[1]])
+            last = at
         kept = " ".join(x for x, y in zip(w, keep) if y)
-        out.append((i, len(w), keep.count(False), hashlib.sha256(kept.encode()).hexdigest(), kept))
+        out.append((i, len(w), keep.count(False), hashlib.sha256(kept.encode()).hexdigest(), kept, str(found)))
     return out
 
 
@@ -107,10 +118,27 @@ def test_factors(docs, texts, monkeypatch, size):
     monkeypatch.setattr(factors, "BLOCK_PHRASES", size)
     same(factors.without_repeats(docs), [e[:4] for e in brute_factors(texts)], "doc_id", "n_words", "n_removed", "kept_sha256")
     if size == 50:
-        same(factors.without_repeats(docs, spans=True), [e[:3] + e[4:] for e in brute_factors(texts)], "doc_id", "n_words", "n_removed", "kept_text")
+        found = factors.without_repeats(docs, spans=True)
+        listed = "concat('[', array_join(transform(factors, f -> concat('[', f.start, ', ', f.end, ', ', coalesce(string(f.reference), 'None'), ', ', f.reference_start, ']')), ', '), ']') AS found"
+        same(found.selectExpr("*", listed), [e[:3] + e[4:] for e in brute_factors(texts)], "doc_id", "n_words", "n_removed", "kept_text", "found")
         assert factors.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_factors_follow_their_reference(spark, monkeypatch):
+    monkeypatch.setattr(factors, "BLOCK_PHRASES", 100)
+    rng = random.Random(5)
+    a, b, c = (prose(rng, n).split() for n in (300, 200, 100_000))
+    texts = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[40:100] + b[10:90])), (4, " ".join(a[:30] + b[:19] + a[30:60])), (5, " ".join(c)),
+             (6, " ".join(c[-50:] + b[100:130] + c[:60])), (7, " ".join(["x"] * 60)), (8, " ".join(["x"] * 45))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: [tuple(f) for f in r.factors] for r in factors.without_repeats(docs, spans=True).collect()}
+    brute = {e[0]: e[5] for e in brute_factors(texts)}
+    assert {i: str([list(f) for f in fs]) for i, fs in found.items()} == brute
+    assert (0, 60, 1, 40) in found[3] and (60, 140, 2, 10) in found[3]
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(0).alias("place"), F.lit(0).alias("key"))
+    assert factors.without_repeats(named).count() == 8
+
+
 def brute_components(texts):
     sets = []
     for _, t in texts:
