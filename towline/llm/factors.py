@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from towline.session import cut, drop
 
-from .text import Words, blocks, mix, shingles
+from .text import Words, blocks, from_planes, mix, shingles, to_planes
 
 PHRASE = 20
 BLOCK_PHRASES = 4_000_000
@@ -56,15 +56,6 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(counts.sum())
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 by planes of bytes, so that the high planes compress to nothing."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 class _Phrases:
     """The phrases of a block of texts (doc, at), and which of the distinct ones of its text each one is.
 
@@ -123,8 +114,8 @@ def _ship(batches, bits: int):
             for low, high in zip(edges[:-1], edges[1:]):
                 head, part = low + _runs(doc[low:high]), known[low:high]
                 same = shipped[lead[low:high][part]] - (shipped[low - 1] + 1 if low else 0)
-                out.append((int(block[low]), key[doc[head]].tobytes(), own[doc[head]].tobytes(), _pack(_lengths(head, high)),
-                            np.packbits(part).tobytes(), _pack(same), _pack(start[low:high]), hashes[low:high][~part].tobytes()))
+                out.append((int(block[low]), key[doc[head]].tobytes(), own[doc[head]].tobytes(), to_planes(_lengths(head, high)),
+                            np.packbits(part).tobytes(), to_planes(same), to_planes(start[low:high]), hashes[low:high][~part].tobytes()))
             yield _batch(out, _SHIPPED)
 
 
@@ -143,11 +134,11 @@ def _answer(table: pa.Table, bits: int) -> pa.Table:
     keys, places, counts, same, starts, hashes, known, n = [], [], [], [], [], [], [], 0
     for k, p, c, b, s, a, h in zip(*(table.column(x).to_pylist() for x in ("keys", "places", "counts", "known", "same", "starts", "hashes"))):
         keys.append(np.frombuffer(k, np.int64))
-        counts.append(_unpack(c))
+        counts.append(from_planes(c).astype(np.int64))
         places.append(np.repeat(np.frombuffer(p, np.int64), counts[-1]))
         known.append(np.unpackbits(np.frombuffer(b, np.uint8), count=len(places[-1])).astype(bool))
-        same.append(_unpack(s) + n)
-        starts.append(_unpack(a))
+        same.append(from_planes(s).astype(np.int64) + n)
+        starts.append(from_planes(a).astype(np.int64))
         hashes.append(np.frombuffer(h, np.uint64))
         n += len(hashes[-1])
     keys, places, counts, known, same, starts, hashes = (np.concatenate(x) for x in (keys, places, counts, known, same, starts, hashes))
@@ -176,7 +167,7 @@ def _answer(table: pa.Table, bits: int) -> pa.Table:
     for low, high in zip(edges[:-1], edges[1:]):
         own = some[low:high]
         at = _ranges(heads[own], sizes[own])
-        out.append((int(part[low]), block, keys[own].tobytes(), _pack(sizes[own]), _pack(length[at]), shift[at].astype(np.int32).tobytes(), place[at].tobytes()))
+        out.append((int(part[low]), block, keys[own].tobytes(), to_planes(sizes[own]), to_planes(length[at]), shift[at].astype(np.int32).tobytes(), place[at].tobytes()))
     return pa.Table.from_batches([_batch(out, _ANSWERED)])
 
 
@@ -188,9 +179,9 @@ def _gather(table: pa.Table) -> pa.Table:
     keys, block, sizes, lengths, shifts, places = [], [], [], [], [], []
     for n, k, c, s, d, p in zip(*(table.column(x).to_pylist() for x in ("block", "keys", "sizes", "lengths", "shifts", "places"))):
         keys.append(np.frombuffer(k, np.int64))
-        sizes.append(_unpack(c))
+        sizes.append(from_planes(c).astype(np.int64))
         block.append(np.full(len(keys[-1]), n, np.int32))
-        lengths.append(_unpack(s).astype(np.int32))
+        lengths.append(from_planes(s))
         shifts.append(np.frombuffer(d, np.int32))
         places.append(np.frombuffer(p, np.int64))
     keys, block, sizes, lengths, shifts, places = (np.concatenate(x) for x in (keys, block, sizes, lengths, shifts, places))

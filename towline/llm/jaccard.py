@@ -32,7 +32,7 @@ from towline.session import cut, drop
 
 from .components import components
 from .frames import bounded
-from .text import FOLDED, Words, blocks, mix, shingles, whole
+from .text import FOLDED, Words, blocks, from_planes, mix, shingles, to_planes, whole
 
 K = 5
 PART, WHOLE = 75, 100  # linked if WHOLE * intersection >= PART * union
@@ -76,20 +76,20 @@ _PACKED = "bucket int, listed boolean, sets binary, sizes binary, counts binary,
 _NAMES = [f.split()[0] for f in _PACKED.split(", ")]
 
 
-def _packed(bucket: np.ndarray, sets: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, listed: bool) -> list[tuple]:
-    """Postings (set, its size, hash) as one row per bucket, each set named once per row."""
+def _packed(bucket: np.ndarray, sets: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, listed: bool, rank: np.ndarray | None = None) -> list[tuple]:
+    """Postings (set, its size, hash) as one row per bucket, each set named once per row; `rank` are small numbers that tell the sets apart."""
     if not len(hashes):
         return []
-    order = np.lexsort((sets, bucket))
+    order = np.lexsort((sets if rank is None else rank, bucket))
     bucket, sets, sizes, hashes = bucket[order], sets[order], sizes[order], hashes[order]
     change = np.flatnonzero((sets[1:] != sets[:-1]) | (bucket[1:] != bucket[:-1])) + 1
     heads = np.concatenate([[0], change])
-    counts = np.diff(np.append(heads, len(sets))).astype(np.int32)
+    counts = np.diff(np.append(heads, len(sets)))
     edges = np.flatnonzero(bucket[heads][1:] != bucket[heads][:-1]) + 1
     out = []
     for low, high in zip(np.concatenate([[0], edges]), np.append(edges, len(heads))):
         own, to = heads[low:high], heads[high] if high < len(heads) else len(hashes)
-        out.append((int(bucket[own[0]]), listed, sets[own].tobytes(), sizes[own].astype(np.int32).tobytes(), counts[low:high].tobytes(), hashes[own[0] : to].tobytes()))
+        out.append((int(bucket[own[0]]), listed, sets[own].tobytes(), to_planes(sizes[own]), to_planes(counts[low:high]), hashes[own[0] : to].tobytes()))
     return out
 
 
@@ -103,9 +103,10 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    counts = join("counts", np.int32)
-    return np.repeat(join("sets", np.uint64), counts), np.repeat(join("sizes", np.int32), counts), join("hashes", np.uint64)
+    join = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint64)
+    small = lambda name: np.concatenate([np.zeros(0, np.int32), *map(from_planes, table.column(name).to_pylist())])
+    counts = small("counts")
+    return np.repeat(join("sets"), counts), np.repeat(small("sizes"), counts), join("hashes")
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -145,7 +146,8 @@ def _posted(own: dict[np.uint64, np.ndarray], bits: int) -> list[tuple]:
     length = np.diff(np.append(heads, len(hashes)))
     single = length == 1
     first, to = hashes[heads], np.where(single, ids[owner[heads]], np.uint64(0))
-    out = _packed(_top(first, bits), to, np.where(single, sizes[owner[heads]], 0), first, False)
+    rank = np.where(single, owner[heads] + 1, 0).astype(np.uint16 if len(ids) < 1 << 16 else np.int64)
+    out = _packed(_top(first, bits), to, np.where(single, sizes[owner[heads]], 0), first, False, rank)
     several = np.repeat(~single, length)
     here = np.full(np.count_nonzero(several), _top(ids[:1], bits)[0])
     return out + _packed(here, ids[owner[several]], sizes[owner[several]], hashes[several], True)
@@ -278,8 +280,9 @@ def _read_texts(docs: DataFrame, keep: list[str], extra, fields: str) -> tuple[D
     sent, end = f"{texts}, {_PACKED}", f"{texts}, n int, hashes binary"
     arrow = [to_arrow_schema(StructType.fromDDL(x)) for x in (sent, end)]
     shipped = source.mapInArrow(partial(_ship, bits=bits, schema=arrow[0], keep=names, extra=extra), sent)
-    listed = shipped.groupBy("bucket").applyInArrow(lambda rows: _listed(rows, bits, arrow[0]), sent)
+    listed = cut(shipped.groupBy("bucket").applyInArrow(lambda rows: _listed(rows, bits, arrow[0]), sent))
     done = cut(listed.groupBy("bucket").applyInArrow(lambda rows: _survivors(rows, arrow[1]), end))
+    drop(listed)
     return done.withColumnsRenamed(dict(zip(names, keep))), done
 
 

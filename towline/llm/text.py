@@ -38,6 +38,15 @@ def _alphabet(between: bytes, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
     return separates, values
 
 
+def to_planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**31 by planes of bytes, so that the high planes compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 _NOT_ALNUM = bytes(b for b in range(128) if not chr(b).isalnum())
 PLAIN = _alphabet(_SPACES, False)
 FOLDED = _alphabet(_SPACES, True)  # A-Z count as a-z
