@@ -89,7 +89,7 @@ def _packed(bucket: np.ndarray, sets: np.ndarray, sizes: np.ndarray, hashes: np.
     out = []
     for low, high in zip(np.concatenate([[0], edges]), np.append(edges, len(heads))):
         own, to = heads[low:high], heads[high] if high < len(heads) else len(hashes)
-        out.append((int(bucket[own[0]]), listed, sets[own].tobytes(), to_planes(sizes[own]), to_planes(counts[low:high]), hashes[own[0] : to].tobytes()))
+        out.append((int(bucket[own[0]]), listed, sets[own].tobytes(), to_planes(sizes[own]), to_planes(counts[low:high]), to_planes(hashes[own[0] : to], "<u8")))
     return out
 
 
@@ -103,10 +103,10 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    join = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint64)
-    small = lambda name: np.concatenate([np.zeros(0, np.int32), *map(from_planes, table.column(name).to_pylist())])
-    counts = small("counts")
-    return np.repeat(join("sets"), counts), np.repeat(small("sizes"), counts), join("hashes")
+    sets = np.frombuffer(b"".join(table.column("sets").to_pylist()), np.uint64)
+    joined = lambda name, kind: np.concatenate([np.zeros(0, kind), *(from_planes(x, kind) for x in table.column(name).to_pylist())])
+    counts = joined("counts", "<i4")
+    return np.repeat(sets, counts), np.repeat(joined("sizes", "<i4"), counts), joined("hashes", "<u8")
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:

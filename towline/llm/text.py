@@ -38,13 +38,14 @@ def _alphabet(between: bytes, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
     return separates, values
 
 
-def to_planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**31 by planes of bytes, so that the high planes compress to nothing."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def to_planes(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers by planes of bytes, so that the high planes of small numbers, or of hashes with the same first bits, compress."""
+    numbers = numbers.astype(kind, copy=False)
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
 
 
-def from_planes(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def from_planes(packed: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 _NOT_ALNUM = bytes(b for b in range(128) if not chr(b).isalnum())
