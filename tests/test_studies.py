@@ -149,3 +149,17 @@ def test_queries_equal_their_sql(spark, name):
 def test_entry_has_rows(spark):
     result = entry.entry(spark)
     assert result.columns == ["region", "month", "taxon", "total", "share"] and result.count() > 0
+
+
+def test_raw_lines_come_in_tasks_of_bounded_size(spark, monkeypatch):
+    """The rows of a task do not grow with the table, and the results are those of few large tasks."""
+    from towline.plans import testviews
+
+    folder = "/root/testdata/sf0.001"
+    names = ["sample_sizes", "mean_of_totals", "community_matrix", "relative_abundance", "cascade_mean"]
+    before = {n: sorted(map(repr, entry.queries()[n](spark, folder).collect())) for n in names}
+    monkeypatch.setattr(testviews, "TASK_ROWS", 100)
+    rows = [r["count"] for r in testviews.raw(spark, folder).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) > 40 and max(rows) <= 300
+    for n in names:
+        assert sorted(map(repr, entry.queries()[n](spark, folder).collect())) == before[n]
