@@ -1,5 +1,7 @@
 """Pair operators against brute force on small communities."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +196,39 @@ def test_many_taxa_take_memory_by_entries(spark, monkeypatch):
     for taxon in (0, 9, next(iter(units[5]))):
         parts = [abs(units[i].get(taxon, 0) - units[j].get(taxon, 0)) / (sum(units[i].values()) + sum(units[j].values())) for i in range(0, 60, 2) for j in range(1, 60, 2)]
         assert abs(rows[f"t{taxon}"]["average"] - np.mean(parts)) < 1e-12 and abs(rows[f"t{taxon}"]["sd"] - np.std(parts, ddof=1)) < 1e-12
+
+
+def test_units_of_equal_profile_are_paired_once(spark, data, monkeypatch):
+    x, region, _, depth = data
+    of = np.repeat(np.arange(12), 5)  # five copies of each of twelve profiles, in three regions
+    values, regions, n = x[of], region[np.arange(60) % 30], 60
+    depths = np.concatenate([depth, depth[:20] + 1])
+    cells = [(i, f"t{k}", float(values[i, k])) for i in range(n) for k in range(TAXA) if values[i, k]]
+    long = spark.createDataFrame(cells, "unit int, taxon string, x double")
+    env = spark.createDataFrame([(i, str(regions[i]), float(depths[i])) for i in range(n)], "unit int, region string, depth double")
+    distinct = len(np.unique(x[:12], axis=0))
+    com = community(long)
+    assert com.n_units == n and bl.copies_of(com.profiles).n_units == distinct
+    monkeypatch.setattr(bl, "BLOCK_UNITS", 5)
+    d = matrix(values)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    for r in dissimilarity_summary(com, env, "region").collect():
+        among = [d[i, j] for i, j in pairs if sorted((regions[i], regions[j])) == [r["g1"], r["g2"]]]
+        assert r["n_pairs"] == len(among) and abs(r["mean_d"] - np.mean(among)) < 1e-12
+    total = values.sum(1)
+    for r in simper(com, env, "region").collect():
+        k = int(r["taxon"][1:])
+        c = [abs(values[i, k] - values[j, k]) / (total[i] + total[j]) for i in range(n) for j in range(n) if (regions[i], regions[j]) == (r["g1"], r["g2"])]
+        assert abs(r["average"] - np.mean(c)) < 1e-12 and abs(r["sd"] - np.std(c, ddof=1)) < 1e-9
+    # The permutation test on pairs of units, without classes.
+    design = np.hstack([np.ones((n, 1)), dummies(regions), depths[:, None]])
+    q = np.linalg.qr(design)[0][:, 1:]
+    sent = permuted_index(np.arange(n), n, 4, np.arange(30))
+    ss = np.array([[-sum(d[i, j] ** 2 * (q[p[i]][c] @ q[p[j]][c]) for i, j in pairs) for c in (slice(0, 2), slice(2, 3))] for p in sent])
+    whole = (d**2)[np.triu_indices(n, 1)].sum() / n
+    f = ss / [2, 1] / ((whole - ss.sum(1)) / (n - 4))[:, None]
+    got = {r["term"]: r for r in permanova(com, env, ["region", "depth"], permutations=29, seed=4).collect()}
+    for k, term in enumerate(["region", "depth"]):
+        assert abs(got[term]["ss"] - ss[0, k]) < 1e-9 and abs(got[term]["f"] - f[0, k]) < 1e-9
+        assert got[term]["p"] == (1 + (f[1:, k] >= f[0, k] * (1 - 1e-12)).sum()) / 30
+    assert abs(got["total"]["ss"] - whole) < 1e-9
