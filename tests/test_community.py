@@ -232,3 +232,12 @@ def test_units_of_equal_profile_are_paired_once(spark, data, monkeypatch):
         assert abs(got[term]["ss"] - ss[0, k]) < 1e-9 and abs(got[term]["f"] - f[0, k]) < 1e-9
         assert got[term]["p"] == (1 + (f[1:, k] >= f[0, k] * (1 - 1e-12)).sum()) / 30
     assert abs(got["total"]["ss"] - whole) < 1e-9
+
+
+def test_places_are_permuted_in_bounded_memory():
+    index, permutations = np.arange(2000), np.arange(500)
+    tracemalloc.start()
+    sent = permuted_index(index, 6000, 3, permutations)  # the power of four above is 16,384, so most places are sent on
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sent.nbytes and sent.max() < 6000

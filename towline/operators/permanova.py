@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .blocks import Community, Tile, block_tiles, blocks_of, community, map_tiles
+from .blocks import Community, Tile, block_tiles, blocks_of, community, copies_of, map_tiles, tiles_of
 from .design import design, factor, gram, term_variables
 from .dissimilarity import group_labels, group_sums
 
@@ -27,6 +27,7 @@ _RESULT = "term string, df bigint, ss double, ms double, f double, r2 double, p
 _MASK = 0xFFFFFFFF
 _SEED_STEP, _MIX = 0x9E3779B1, 0x45D9F3B
 _TURNS = 7
+INDEX_CELLS = 1 << 16  # places permuted at once
 
 
 def permuted_index(index: np.ndarray, n: int, seed: int, permutation: np.ndarray) -> np.ndarray:
@@ -36,25 +37,33 @@ def permuted_index(index: np.ndarray, n: int, seed: int, permutation: np.ndarray
     again. Permutation 0 is the identity. All numbers fit signed 64-bit integers, so SQL draws the same (`permutation_sql`).
     """
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    low = np.int64((1 << half) - 1)
+    low = np.uint32((1 << half) - 1)
 
     def mix(v):
         for _ in range(2):
-            v = ((v ^ (v >> 16)) * np.int64(_MIX)) & np.int64(_MASK)
+            v = (v ^ (v >> 16)) * np.uint32(_MIX)  # 32 bits are kept
         return v ^ (v >> 16)
 
     start = (seed * _SEED_STEP) & _MASK
-    keys = [mix((permutation.astype(np.int64) * 8 + r + start) & np.int64(_MASK))[:, None] for r in range(_TURNS)]
+    keys = [mix(((permutation.astype(np.int64) * 8 + r + start) & _MASK).astype(np.uint32)) for r in range(_TURNS)]
 
-    def turn(v):
-        left, right = v >> half, v & low
+    def turn(v, row):
+        left, right = (v >> half).astype(np.uint32), (v & int(low)).astype(np.uint32)
         for key in keys:
-            left, right = right, left ^ (mix((right + key) & np.int64(_MASK)) & low)
-        return (left << half) | right
-
-    value = turn(np.broadcast_to(index.astype(np.int64), (len(permutation), len(index))))
-    while (outside := value >= n).any():
-        value = np.where(outside, turn(value), value)
+            left, right = right, left ^ (mix(right + key[row]) & low)
+        return (left.astype(np.int64) << half) | right
+
+    index = index.astype(np.int64)
+    value = np.empty((len(permutation), len(index)), np.int64)
+    step = max(1, INDEX_CELLS // max(1, len(index)))
+    for first in range(0, len(permutation), step):
+        rows = np.arange(first, min(first + step, len(permutation)))
+        drawn = turn(index[None, :], rows[:, None]).ravel()
+        at = np.flatnonzero(drawn >= n)
+        while len(at):  # only those outside are sent on
+            drawn[at] = turn(drawn[at], rows[at // len(index)])
+            at = at[drawn[at] >= n]
+        value[rows] = drawn.reshape(len(rows), -1)
     value[permutation == 0] = index
     return value
 
@@ -103,13 +112,24 @@ def _emit(totals: np.ndarray, perms: np.ndarray) -> dict:
     return {"perm": np.repeat(perms, width), "term": np.tile(np.arange(width) - 1, len(perms)), "v": totals.ravel()}
 
 
-def _places(z: bytes, units: int) -> np.ndarray:
-    return np.frombuffer(z).reshape(units, -1)[:, 0].astype(np.int64)
+def _in_order(rows: DataFrame, width: int) -> np.ndarray:
+    """The rows `z` in order of their first value, fetched as bytes."""
+
+    def pack(batches):
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"z": [np.concatenate(batch["z"].to_numpy()).astype(float).tobytes()]})
+
+    z = np.concatenate([np.zeros((0, width)), *(np.frombuffer(r["z"]).reshape(-1, width) for r in rows.select("z").mapInPandas(pack, "z binary").collect())])
+    return z[np.argsort(z[:, 0])]
+
 
+def _sums_with_broadcast(com, rows, n, terms_of, n_terms, permutations, seed) -> DataFrame:
+    """Sums for all permutations in one pass over pairs of profiles; the design rows of all units, in order of their places, are broadcast.
 
-def _sums_with_broadcast(blocks, n_blocks, rows, n, terms_of, n_terms, permutations, seed) -> DataFrame:
-    """Sums for all permutations in one pass; the design rows of all units, in order of their places, are broadcast."""
-    spark = blocks.sparkSession
+    With d the same for all units of two profiles, the sum over their pairs is d^2 times the product of their sums of design rows.
+    """
+    spark = com.profiles.sparkSession
     shared = spark.sparkContext.broadcast(rows)
     member = np.equal.outer(np.array(terms_of), np.arange(n_terms)).astype(float)
 
@@ -121,20 +141,27 @@ def _sums_with_broadcast(blocks, n_blocks, rows, n, terms_of, n_terms, permutati
         for tile in tiles:
             seen = True
             d2 = _squares(tile)
-            at_a, at_b = _places(tile.row.z_a, len(tile.a)), _places(tile.row.z_b, len(tile.b))
-            totals[:, 0] += d2.sum()
-            step = max(1, (1 << 22) // max(1, len(tile.b) * max(width, 1)))
+            copies_a, copies_b = np.frombuffer(tile.row.copies_a), np.frombuffer(tile.row.copies_b)
+            at_a, at_b = (np.frombuffer(v).astype(np.int64) for v in (tile.row.places_a, tile.row.places_b))
+            totals[:, 0] += copies_a @ d2 @ copies_b
+            step = max(1, (1 << 22) // max(1, len(at_a) * max(width, 1), len(at_b) * max(width, 1)))
             for low in range(0, permutations + 1, step):
                 perms = np.arange(low, min(low + step, permutations + 1))
-                qa = q[permuted_index(at_a, n, seed, perms)]
-                qb = q[permuted_index(at_b, n, seed, perms)]
+                qa, qb = (_added(q[permuted_index(at, n, seed, perms)], copies) for at, copies in ((at_a, copies_a), (at_b, copies_b)))
                 moved = d2 @ qb.transpose(1, 0, 2).reshape(len(tile.b), -1)
                 product = (moved.reshape(len(tile.a), len(perms), width) * qa.transpose(1, 0, 2)).sum(0)
                 totals[perms, 1:] -= product @ member
         if seen:
             yield _emit(totals, np.arange(permutations + 1))
 
-    return map_tiles(block_tiles(blocks, n_blocks), kernel, _SUMS)
+    return map_tiles(tiles_of(com), kernel, _SUMS)
+
+
+def _added(q: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Rows added up over the units of each profile."""
+    if q.shape[1] == len(copies):
+        return q
+    return np.add.reduceat(q, np.concatenate([[0], np.cumsum(copies[:-1])]).astype(np.int64), axis=1)
 
 
 def _sums_with_join(com, rows, n, terms_of, n_terms, permutations, seed, means, inverse, kept) -> DataFrame:
@@ -218,13 +245,12 @@ def permanova(
     terms_of = [spec.terms.index(spec.columns[k].term) for k in fit.kept]
     # The place of a unit goes before its design row.
     rows = complete.join(_positions(complete), "unit").select("unit", F.array(F.col("at").cast("double"), *[c.shifted() for c in spec.columns]).alias("z"))
-    blocks, n_blocks = blocks_of(com, rows)
-    blocks = cut(blocks)
     means, inverse, kept = fit.means, fit.inverse, fit.kept
     if n * max(1, len(kept)) * 8 <= broadcast_bytes:
-        z = np.concatenate([np.frombuffer(r["z"]).reshape(-1, len(spec.columns) + 1) for r in blocks.select("z").collect()])
-        in_order = z[np.argsort(z[:, 0])]
-        sums = _sums_with_broadcast(blocks, n_blocks, (in_order[:, 1:][:, kept] - means[kept]) @ inverse, n, terms_of, len(spec.terms), permutations, seed)
+        rows = cut(rows)
+        in_order = _in_order(rows, len(spec.columns) + 1)
+        placed = com.profiles.join(rows.select("unit", F.get("z", F.lit(0)).alias("at")), "unit")
+        sums = _sums_with_broadcast(copies_of(placed, place="at"), (in_order[:, 1:][:, kept] - means[kept]) @ inverse, n, terms_of, len(spec.terms), permutations, seed)
     else:
         sums = _sums_with_join(com, rows, n, terms_of, len(spec.terms), permutations, seed, means, inverse, kept)
     # One row per permutation and term.
