@@ -9,9 +9,9 @@ corpus, so a prefix holds groups of three neighbours in that order. If linked se
 least 0.8 (n + what the other has alone). A word that the one of n words has alone breaks at most three of its groups, one
 that the other has alone at most two, at most 0.6 n in all: of its first 0.6 n + 1 groups one is whole, and the first whole
 group is the same for both. Sets of up to six words have pairs too, of which 0.4 n may be broken; sets of fewer than four
-are linked with equal ones only. Size and position filters go with each group, and what remains is verified on the whole
-sets. All this is done for distinct lines. Lines are met in rounds: first with one line of each list, the most frequent and
-then the earliest; only lines not yet removed meet all earlier ones.
+are linked with equal ones only. Size and position filters go with each group, and 128 bits of each set that bound the words in which two sets differ; what remains
+is verified on the whole sets. All this is done for distinct lines. Lines are met in two rounds: first with two lines of each list, the
+most frequent and the earliest; only lines not yet removed meet all earlier ones.
 """
 
 from __future__ import annotations
@@ -50,28 +50,48 @@ def _levels(docs: DataFrame) -> Column:
 
 def _tokens(line: str, levels: Column) -> Column:
     """Distinct words of a line as numbers, from rare to frequent; ties by hash."""
-    hashes = F.transform(F.filter(_parts(F.col(line)), lambda x: x != ""), lambda x: F.xxhash64(x))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, _slot(h)), _HASH_BITS) + F.shiftrightunsigned(h, 64 - _HASH_BITS))))
+    hashes = F.transform(F.array_remove(_parts(F.col(line)), ""), lambda x: F.xxhash64(x))
+    level = lambda h: F.coalesce(F.get(levels, _slot(h)), F.lit(0).cast("bigint"))  # noqa: E731  (numbers without NULL are sorted faster)
+    return F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(level(h), _HASH_BITS) + F.shiftrightunsigned(h, 64 - _HASH_BITS)))
 
 
 def _keyed(lines: DataFrame, *columns: str) -> DataFrame:
-    """`columns`, n, and key and at of each group of the prefix of the tokens `t`."""
-    n = F.size("t")
-    grouped = lambda size, share: F.transform(
-        F.slice("t", 1, F.least(n - size + 1, F.floor(share * n).cast("int") + 1)), lambda x, i: F.xxhash64(x, *[F.get("t", i + k) for k in range(1, size)]))
-    keys = F.when(n > PAIRED, grouped(3, 0.6)).when(n == PAIRED, F.concat(grouped(3, 0.6), grouped(2, 0.4))).when(n >= 4, grouped(2, 0.4)).otherwise(F.array(F.xxhash64("t")))
-    exploded = lines.select(*columns, n.alias("n"), F.posexplode(keys).alias("place", "key"))
-    threes = min(PAIRED - 2, 6 * PAIRED // 10 + 1)  # of a set with both, these come first
-    at = F.when((F.col("n") == PAIRED) & (F.col("place") >= threes), F.col("place") - threes).otherwise(F.col("place"))
-    return exploded.select(*columns, "n", at.alias("at"), "key")
-
-
-def _can_match(n: Column, at: Column, m: Column, other: Column) -> Column:
-    """Size filter, and position filter: what stands before the shared pair and what stands from there on bounds the intersection."""
-    most = F.least(at, other) + F.least(n - at, m - other)
+    """`columns`, and key and spot of each group of the prefix of the tokens `t`; a spot is n and the group's place in one number."""
+    n, i = F.size("t"), F.col("i")
+    groups = lambda size, share: F.least(n - size + 1, F.floor(share * n).cast("int") + 1)
+    threes = min(PAIRED - 2, 6 * PAIRED // 10 + 1)  # of a set with pairs too, these come first
+    many = F.when(n > PAIRED, groups(3, 0.6)).when(n == PAIRED, threes + groups(2, 0.4)).when(n >= 4, groups(2, 0.4)).otherwise(1)
+    # Numbers are exploded and not keys, so that no function of higher order runs for each group.
+    each = lines.select(*columns, "t", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"))
+    at = F.when((n == PAIRED) & (i >= threes), i - threes).otherwise(i)
+    two = F.get("t", at), F.get("t", at + 1)
+    key = F.when(n < 4, F.xxhash64("t")).when((n > PAIRED) | ((n == PAIRED) & (i < threes)), F.xxhash64(*two, F.get("t", at + 2))).otherwise(F.xxhash64(*two))
+    return each.select(*columns, key.alias("key"), (F.shiftleft(n.cast("bigint"), 32) + at).alias("spot"))
+
+
+def _can_match(spot: Column, other: Column) -> Column:
+    """Size filter, and position filter: what stands before the shared group and what stands from there on bounds the intersection."""
+    n, m = F.shiftright(spot, 32), F.shiftright(other, 32)
+    at, to = (x.bitwiseAND((1 << 32) - 1) for x in (spot, other))
+    most = F.least(at, to) + F.least(n - at, m - to)
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
 
 
+def _bits(high: bool) -> Column:
+    """A bit for each of 64 classes of the tokens `t`: whether an odd number of them fall into it. Each word that one of
+    two sets has alone changes one bit, so that they differ in at least as many words as their bits do."""
+    of = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
+    mine = lambda x: x.bitwiseAND(64) == (64 if high else 0)
+    return F.aggregate(F.filter("t", mine), F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseXOR(of(x)))
+
+
+def _may_be_alike(x: str, y: str) -> Column:
+    """Similar sets of n and m words differ in at most (n + m) / 9 words, and so in as many of their bits at most."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    differ = sum(F.bit_count(c(x, name).bitwiseXOR(c(y, name))) for name in ("low", "high"))
+    return _can_match(c(x, "spot"), c(y, "spot")) & (9 * differ <= F.shiftright(c(x, "spot"), 32) + F.shiftright(c(y, "spot"), 32))
+
+
 def _has_words(line: str) -> Column:
     return F.trim(F.replace(F.col(line), F.lit("\t"), F.lit(" "))) != ""
 
@@ -92,16 +112,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     postings = _keyed(distinct.select("line", _tokens("words", levels).alias("t")), "line")
     x, y = postings.alias("x"), postings.alias("y")
-    matches = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") != F.col("y.line")) & _can_match(
-        F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    matches = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") != F.col("y.line")) & _can_match(F.col("x.spot"), F.col("y.spot"))
     # Only the groups that another line has are met again below.
-    shared = cut(x.join(y.hint("merge"), matches, "left_semi").select("line", "n", "at", "key"))
+    shared = cut(x.join(y.hint("merge"), matches, "left_semi").select("line", "key", "spot"))
     live = cut(shared.select("line").distinct())
-    sets = cut(distinct.join(bounded(live, 16), "line", "left_semi").select("line", _tokens("words", levels).alias("t")))
+    words = distinct.join(bounded(live, 16), "line", "left_semi").select("line", _tokens("words", levels).alias("t"))
+    sets = cut(words.join(first, "line").select("line", "first", "times", "t", _bits(False).alias("low"), _bits(True).alias("high")))
     drop(several, copied, live)
-    listed = cut(shared.join(first.select("line", "times", F.col("first.id").alias("id")), "line"))
+    listed = cut(shared.join(sets.select("line", "times", F.col("first.id").alias("id"), "low", "high"), "line"))
     drop(shared)
-    gone = _matched(listed, sets, first)
+    gone = _matched(listed, sets)
 
     copies = lines.join(first.filter("times > 1").select("line", "first"), "line").filter(F.col("place") != F.col("first")).select("place")
     near = lines.join(gone, "line").select("place")
@@ -111,33 +131,32 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return bounded(found, 64 + 4 * F.size("gone"))
 
 
-def _matched(listed: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
-    """The lines that have an earlier match, from the groups (line, times, id, n, at, key) they share with others and their words."""
-    gone, met = None, []
-    for head in (F.struct(-F.col("times"), "id", "line"), F.struct("id", "line"), None):
-        later = (listed if gone is None else listed.join(gone, "line", "left_anti")).select("key", "line", "id", "n", "at")
-        if head is None:
-            earlier = listed.select("key", F.struct("line", "id", "n", "at").alias("h"))
-        else:
-            earlier = listed.groupBy("key").agg(F.min_by(F.struct("line", "id", "n", "at"), head).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-        # Ids bound the order, lines of one document are told apart below.
-        both = later.join(earlier, "key").filter((F.col("h.id") <= F.col("id")) & (F.col("h.line") != F.col("line")) & _can_match(
-            F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at")))
-        pairs = both.select("line", F.col("h.line").alias("other")).distinct()
-        for before in met:
-            pairs = pairs.join(before, ["line", "other"], "left_anti")
-        pairs = cut(pairs)
-        met.append(pairs)
-        left, right = sets.select("line", "t"), sets.select(F.col("line").alias("other"), F.col("t").alias("u"))
-        alike = 9 * F.size(F.array_intersect("t", "u")) >= 4 * (F.size("t") + F.size("u"))
-        found = cut(pairs.join(left, "line").join(right, "other").filter(alike).select("line", "other"))
-        after = first.select("line", "first"), first.select(F.col("line").alias("other"), F.col("first").alias("before"))
-        later = found.join(after[0], "line").join(after[1], "other").filter(F.col("before") < F.col("first")).select("line")
-        now = cut(later.distinct() if gone is None else gone.union(later).distinct())
-        drop(found, *([gone] if gone is not None else []))
-        gone = now
-    drop(*met)
-    return gone
+def _matched(listed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lines that have an earlier match, from the groups (line, times, id, key, spot and bits) they share with others and their words."""
+    row = F.struct("line", "id", "spot", "low", "high")
+    heads = listed.groupBy("key").agg(F.min_by(row, F.struct(-F.col("times"), "id", "line")).alias("most"), F.min_by(row, F.struct("id", "line")).alias("first"))
+    heads = heads.select("key", F.explode(F.array_distinct(F.array("most", "first"))).alias("h"))
+    met = _pairs(listed, heads)
+    gone = _later(met, sets)
+    rest = _pairs(listed.join(gone, "line", "left_anti"), listed.select("key", row.alias("h")))
+    late = _later(cut(rest.join(met, ["line", "other"], "left_anti")), sets)
+    both = cut(gone.union(late))
+    drop(met, gone, late)
+    return both
+
+
+def _pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs (line, other) that share a group and may be similar. Ids bound the order; lines of one document are told apart later."""
+    both = later.join(earlier.select("key", "h.*").select("key", *[F.col(c).alias(f"h_{c}") for c in ("line", "id", "spot", "low", "high")]), "key")
+    may = (F.col("h_id") <= F.col("id")) & (F.col("h_line") != F.col("line")) & _may_be_alike("", "h_")
+    return cut(both.filter(may).select("line", F.col("h_line").alias("other")).distinct())
+
+
+def _later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lines whose other line is similar and stands earlier."""
+    left, right = sets.select("line", "first", "t"), sets.select(F.col("line").alias("other"), F.col("first").alias("before"), F.col("t").alias("u"))
+    alike = 9 * F.size(F.array_intersect("t", "u")) >= 4 * (F.size("t") + F.size("u"))
+    return cut(pairs.join(left, "line").join(right, "other").filter((F.col("before") < F.col("first")) & alike).select("line").distinct())
 
 
 def _without(docs: DataFrame, columns: list[Column | str]) -> DataFrame:
