@@ -116,30 +116,35 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # Only the groups that another line has are met again below.
     shared = cut(x.join(y.hint("merge"), matches, "left_semi").select("line", "key", "spot"))
     live = cut(shared.select("line").distinct())
-    words = distinct.join(bounded(live, 16), "line", "left_semi").select("line", _tokens("words", levels).alias("t"))
-    sets = cut(words.join(first, "line").select("line", "first", "times", "t", _bits(False).alias("low"), _bits(True).alias("high")))
+    few = bounded(live, 16)
+    words = distinct.join(few, "line", "left_semi").select("line", _tokens("words", levels).alias("t"))
+    sets = cut(words.select("line", "t", _bits(False).alias("low"), _bits(True).alias("high")))
+    order = cut(first.join(few, "line", "left_semi"))
     drop(several, copied, live)
-    listed = cut(shared.join(sets.select("line", "times", F.col("first.id").alias("id"), "low", "high"), "line"))
+    named = sets.select("line", "low", "high").join(order.select("line", "times", F.col("first.id").alias("id")), "line")
+    listed = cut(shared.join(named, "line"))
     drop(shared)
-    gone = _matched(listed, sets)
+    gone = _matched(listed, sets, order)
 
     copies = lines.join(first.filter("times > 1").select("line", "first"), "line").filter(F.col("place") != F.col("first")).select("place")
     near = lines.join(gone, "line").select("place")
     parts = copies.union(near).groupBy(F.col("place.__a").alias("__a"), F.col("place.__b").alias("__b"))
     found = cut(parts.agg(F.collect_set("place.number").alias("gone")))
-    drop(lines, first, listed, sets, gone)
+    drop(lines, first, listed, sets, order, gone)
     return bounded(found, 64 + 4 * F.size("gone"))
 
 
-def _matched(listed: DataFrame, sets: DataFrame) -> DataFrame:
-    """The lines that have an earlier match, from the groups (line, times, id, key, spot and bits) they share with others and their words."""
+def _matched(listed: DataFrame, sets: DataFrame, order: DataFrame) -> DataFrame:
+    """The lines that have an earlier match, from the groups (line, times, id, key, spot and bits) they share with others, their words and places."""
     row = F.struct("line", "id", "spot", "low", "high")
-    heads = listed.groupBy("key").agg(F.min_by(row, F.struct(-F.col("times"), "id", "line")).alias("most"), F.min_by(row, F.struct("id", "line")).alias("first"))
+    # Lists are laid out by key before they are aggregated, as a task holds few rows of a key and two heads are wider than a row.
+    by_key = listed.repartition("key")
+    heads = by_key.groupBy("key").agg(F.min_by(row, F.struct(-F.col("times"), "id", "line")).alias("most"), F.min_by(row, F.struct("id", "line")).alias("first"))
     heads = heads.select("key", F.explode(F.array_distinct(F.array("most", "first"))).alias("h"))
-    met = _pairs(listed, heads)
-    gone = _later(met, sets)
+    met = _pairs(by_key, heads)
+    gone = _later(met, sets, order)
     rest = _pairs(listed.join(gone, "line", "left_anti"), listed.select("key", row.alias("h")))
-    late = _later(cut(rest.join(met, ["line", "other"], "left_anti")), sets)
+    late = _later(cut(rest.join(met, ["line", "other"], "left_anti")), sets, order)
     both = cut(gone.union(late))
     drop(met, gone, late)
     return both
@@ -152,11 +157,15 @@ def _pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
     return cut(both.filter(may).select("line", F.col("h_line").alias("other")).distinct())
 
 
-def _later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _later(pairs: DataFrame, sets: DataFrame, order: DataFrame) -> DataFrame:
     """The lines whose other line is similar and stands earlier."""
-    left, right = sets.select("line", "first", "t"), sets.select(F.col("line").alias("other"), F.col("first").alias("before"), F.col("t").alias("u"))
+    after, before = order.select("line", "first"), order.select(F.col("line").alias("other"), F.col("first").alias("before"))
+    left, right = sets.select("line", "t"), sets.select(F.col("line").alias("other"), F.col("t").alias("u"))
     alike = 9 * F.size(F.array_intersect("t", "u")) >= 4 * (F.size("t") + F.size("u"))
-    return cut(pairs.join(left, "line").join(right, "other").filter((F.col("before") < F.col("first")) & alike).select("line").distinct())
+    turned = bounded(cut(pairs.join(after, "line").join(before, "other").filter("before < first").select("line", "other")), 24)
+    found = cut(turned.join(left, "line").join(right, "other").filter(alike).select("line").distinct())
+    drop(turned)
+    return found
 
 
 def _without(docs: DataFrame, columns: list[Column | str]) -> DataFrame:
